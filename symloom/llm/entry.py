@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symloom.llm import leakage
+from symloom.llm import leakage, secrets
 from symloom.tables import table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "code_sources"), table(spark, sf_dir, "code_variables"))
+    return found.select("origin", "record_key", "line_no").distinct()
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.redact(table(spark, sf_dir, "code_sources"), table(spark, sf_dir, "code_variables"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return found.select("doc_id", "item_id").distinct()
@@ -20,7 +29,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_found, p7_report)}
+    return {f.__name__: f for f in (p4_found, p4_redacted, p7_found, p7_report)}
 
 
 def oracle_sql() -> dict[str, str]:
