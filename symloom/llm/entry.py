@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symloom.llm import leakage, secrets
+from symloom.llm import leakage, provenance, secrets
 from symloom.tables import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = provenance.classify(table(spark, sf_dir, "code_files"), table(spark, sf_dir, "code_sources"))
+    return judged.filter("kind <> 'hand_written'").select("file_id")
+
+
+def p3_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.classify(table(spark, sf_dir, "code_files"), table(spark, sf_dir, "code_sources"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(table(spark, sf_dir, "code_sources"), table(spark, sf_dir, "code_variables"))
     return found.select("origin", "record_key", "line_no").distinct()
@@ -29,7 +38,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_redacted, p7_found, p7_report)}
+    return {f.__name__: f for f in (p3_found, p3_kinds, p4_found, p4_redacted, p7_found, p7_report)}
 
 
 def oracle_sql() -> dict[str, str]:
