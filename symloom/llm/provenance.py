@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("generated", "minified", "vendored", "data")
+DATA = KINDS.index("data")
+#: A data file has at least this share of its text in rows of nothing but literals.
+TABLE_SHARE = 0.5
 #: Files that the classifiers are fitted on, drawn by a hash of the path.
 SAMPLE = 4000
 #: One repository in so many is kept out of the fit.
@@ -321,6 +324,9 @@ def classify(files: DataFrame, sources: DataFrame, model: Model | None = None) -
             texts = [masked(bytes(c)) if c is not None else None for c in batch.content]
             scores = held.scores(texts, list(zip(batch.path, batch.absolute_path))) if len(batch) else np.zeros((0, len(KINDS)))
             margin = scores - held.threshold
+            for i in np.flatnonzero(margin[:, DATA] > 0):  # mostly a table, not some constants
+                if batch.content[i] is not None and literal_share(bytes(batch.content[i])) < TABLE_SHARE:
+                    margin[i, DATA] = -1.0
             top = margin.argmax(axis=1) if len(batch) else np.zeros(0, dtype=int)
             most = margin.max(axis=1) if len(batch) else np.zeros(0)
             yield pd.DataFrame({"file_id": batch.file_id, "path": batch.path, "kind": [KINDS[k] if m > 0 else "hand_written" for k, m in zip(top, most)], "score": most.astype(float)})
