@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symloom.llm import leakage, provenance, secrets
+from symloom.llm import docpairs, leakage, packing, provenance, secrets
 from symloom.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.describe(*(table(spark, sf_dir, t) for t in ("code_functions", "code_symbols", "defines_rel"))).select("function_id")
+
+
+def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.pairs(*(table(spark, sf_dir, t) for t in ("code_functions", "code_symbols", "defines_rel", "code_sources")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = provenance.classify(table(spark, sf_dir, "code_files"), table(spark, sf_dir, "code_sources"))
     return judged.filter("kind <> 'hand_written'").select("file_id")
@@ -28,6 +36,14 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.redact(table(spark, sf_dir, "code_sources"), table(spark, sf_dir, "code_variables"))
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_limits"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p6_containers(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return found.select("doc_id", "item_id").distinct()
@@ -38,7 +54,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_kinds, p4_found, p4_redacted, p7_found, p7_report)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_kinds, p4_found, p4_redacted, p6_containers, p6_fill, p7_found, p7_report)}
 
 
 def oracle_sql() -> dict[str, str]:
