@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symloom.llm import docpairs, leakage, packing, provenance, secrets
+from symloom.llm import docpairs, leakage, packing, pii, provenance, secrets
 from symloom.tables import table
 
 
@@ -53,8 +53,16 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.report(leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents")).select("doc_id", "pii_type").distinct()
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_kinds, p4_found, p4_redacted, p6_containers, p6_fill, p7_found, p7_report)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_kinds, p4_found, p4_redacted, p6_containers, p6_fill, p7_found, p7_report, p8_found, p8_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
