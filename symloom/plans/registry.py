@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symloom.plans import corpus
+from symloom.plans import basic, corpus
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(corpus.QUERIES)
+    return basic.query.queries | corpus.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(corpus.ORACLE)
+    return basic.query.oracle | corpus.ORACLE
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
