@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symloom.plans import basic, corpus
+from symloom.plans import basic, corpus, functions, named
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return basic.query.queries | corpus.QUERIES
+    return basic.query.queries | functions.query.queries | named.query.queries | corpus.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return basic.query.oracle | corpus.ORACLE
+    return basic.query.oracle | functions.query.oracle | named.query.oracle | corpus.ORACLE
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.p5_found(spark, sf_dir)
+    return named.dependencies(spark, sf_dir)
