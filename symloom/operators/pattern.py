@@ -49,21 +49,32 @@ def mentions(tokens: DataFrame, names: DataFrame, limit: int) -> DataFrame:
 
     tokens (token), names (id, text, alt): a name matches when text or alt contains the token. A
     substring join as an equi-join: both sides are cut into overlapping character trigrams, the token's
-    rarest-first trigram is looked up, and the full test follows; tokens of fewer than three characters
-    are compared with words. No pair is made that does not share the trigram.
+    rarest trigram is looked up, and the full test follows. No pair is made that does not share the trigram.
     """
     from pyspark.sql import Window as W
 
     distinct = tokens.filter("token is not null and token <> ''").select("token").distinct()
-    texts = names.select("id", "text", "alt", F.explode(F.array_distinct(F.flatten(F.array(_grams("text"), _grams("alt"))))).alias("_gram"))
-    counts = texts.groupBy("_gram").agg(F.count("*").alias("_n"))
-    grams = distinct.select("token", F.explode(_grams("token")).alias("_gram"))
-    rarest = grams.join(counts, "_gram", "left").groupBy("token").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)), F.col("_gram"))).alias("_r")).select("token", F.col("_r._gram").alias("_gram"))
-    hit = rarest.join(texts, "_gram").filter(F.contains("text", "token") | F.coalesce(F.contains("alt", "token"), F.lit(False)))
+    # Short tokens have no trigram; they are looked up by their own one or two characters.
+    size = F.least(F.length("token"), F.lit(3))
+    sized = distinct.withColumn("_size", size)
+    parts = []
+    for n in (1, 2, 3):
+        wanted = sized.filter(F.col("_size") == n).select("token", F.explode(_grams("token", n)).alias("_gram"))
+        texts = names.select("id", "text", "alt", F.explode(F.array_distinct(F.flatten(F.array(_grams("text", n), _grams("alt", n))))).alias("_gram"))
+        if n == 3:
+            counts = texts.groupBy("_gram").agg(F.count("*").alias("_n"))
+            rarest = wanted.join(counts, "_gram", "left").groupBy("token").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)), F.col("_gram"))).alias("_r"))
+            wanted = rarest.select("token", F.col("_r._gram").alias("_gram"))
+        else:  # no names are cut for sizes that no token has
+            texts = texts.join(wanted.select("_gram").distinct(), "_gram", "left_semi")
+        parts.append(wanted.join(texts, "_gram"))
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    hit = every.filter(F.coalesce(F.contains("text", "token"), F.lit(False)) | F.coalesce(F.contains("alt", "token"), F.lit(False)))
     first = W.partitionBy("token").orderBy(F.col("text").asc_nulls_last(), "id")
+    # Spark limits each task's rows by rank before the shuffle, so a token that nearly all names hold is no hot task.
     return hit.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= limit).select("token", "id", "text")
 
 
-def _grams(column: str) -> Column:
-    size = F.length(column)
-    return F.when(size >= 3, F.transform(F.sequence(F.lit(1), size - 2), lambda i: F.substring(F.col(column), i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+def _grams(column: str, n: int) -> Column:
+    size = F.coalesce(F.length(column), F.lit(0))
+    return F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.substring(F.col(column), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))

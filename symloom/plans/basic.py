@@ -48,6 +48,14 @@ def a5_go_sources(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "code_sources").select("path").filter(sym.is_go_source(F.col("path"))).distinct()
 
 
+@query()
+def a6_go_declarations(spark: SparkSession, sf: str) -> DataFrame:
+    """Declarations of all Go files."""
+    from symloom.sources import gosrc
+
+    return gosrc.extract(table(spark, sf, "code_sources").filter(sym.is_go_source(F.col("path"))))
+
+
 @query("SELECT DISTINCT path, CASE WHEN path LIKE '%.go' THEN 'Go' WHEN path LIKE '%.java' THEN 'Java' WHEN path LIKE '%.py' THEN 'Python' WHEN path LIKE '%.ts' OR path LIKE '%.js' THEN 'TypeScript' ELSE 'unknown' END AS code_language FROM code_sources")
 def a9_file_languages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "code_sources").select("path", sym.language(F.col("path")).alias("code_language")).distinct()

@@ -251,19 +251,21 @@ def l14_complexity(spark: SparkSession, sf: str) -> DataFrame:
     return Star(spark, sf).nodes("Function").agg(F.count("*").alias("functions"), F.round(F.avg("complexity"), 6).alias("average"), F.max("complexity").alias("most"), F.count_if(F.col("complexity") > 10).alias("high"))
 
 
-@query(f"WITH {_F}, v AS (SELECT id, any_value(file_path) AS file_path, any_value(start_line) AS line FROM code_variables WHERE id IS NOT NULL GROUP BY id), h AS (SELECT v.id AS variable_id, f.id AS function_id, row_number() OVER (PARTITION BY v.id ORDER BY f.end_line - f.start_line, f.id) AS k FROM v JOIN f ON f.file_path = v.file_path AND f.start_line <= v.line AND v.line <= f.end_line) SELECT variable_id, function_id FROM h WHERE k = 1")
+@query(f"WITH {_F}, {_REF}, h AS (SELECT r.id AS reference_id, g.id AS function_id, row_number() OVER (PARTITION BY r.id ORDER BY g.end_line - g.start_line, g.id) AS k FROM r JOIN f ON f.id = r.start_id JOIN f g ON g.file_path = f.file_path AND g.start_line <= r.line_no AND r.line_no <= g.end_line) SELECT reference_id, function_id FROM h WHERE k = 1")
 def l16_hover(spark: SparkSession, sf: str) -> DataFrame:
-    """The innermost function around each place (file and line), here those of all variables.
+    """The innermost function around each place (file and line), here those of all references.
 
     A range join by file and block of 64 lines: a function is listed under every block it covers, so both
     sides meet by equality and a file with very many functions is spread over its blocks.
     """
     block = 64
-    f = _functions(spark, sf).filter("file_path is not null and start_line is not null and end_line >= start_line").select("file_path", F.col("id").alias("function_id"), "start_line", "end_line")
+    all_functions = _functions(spark, sf)
+    f = all_functions.filter("file_path is not null and start_line is not null and end_line >= start_line").select("file_path", F.col("id").alias("function_id"), "start_line", "end_line")
     spread = f.withColumn("_block", F.explode(F.sequence(F.floor(F.col("start_line") / block), F.floor(F.col("end_line") / block))))
-    v = one_per_key(table(spark, sf, "code_variables"), ["id"], ["file_path", "start_line"], "created_at").select(F.col("id").alias("variable_id"), "file_path", F.col("start_line").alias("_line")).filter("_line is not null")
-    hit = v.withColumn("_block", F.floor(F.col("_line") / block)).join(spread, ["file_path", "_block"]).filter("start_line <= _line and _line <= end_line")
-    return hit.groupBy("variable_id").agg(F.min_by("function_id", F.struct(F.col("end_line") - F.col("start_line"), "function_id")).alias("function_id"))
+    files = all_functions.select(F.col("id").alias("start_id"), "file_path")
+    places = _references(spark, sf).filter("line_no is not null").select(F.col("id").alias("reference_id"), "start_id", F.col("line_no").alias("_line")).join(files, "start_id")
+    hit = places.withColumn("_block", F.floor(F.col("_line") / block)).join(spread, ["file_path", "_block"]).filter("start_line <= _line and _line <= end_line")
+    return hit.groupBy("reference_id").agg(F.min_by("function_id", F.struct(F.col("end_line") - F.col("start_line"), "function_id")).alias("function_id"))
 
 
 # ------------------------------------------------------------------ containment and documented queries (C4, N)
