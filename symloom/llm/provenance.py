@@ -24,6 +24,10 @@ DATA = KINDS.index("data")
 TABLE_SHARE = 0.5
 #: Files that the classifiers are fitted on, drawn by a hash of the path.
 SAMPLE = 4000
+#: Longest text of the sample, in bytes (the fit only; every text is judged as a whole).
+SAMPLE_BYTES = 262_144
+#: Bytes that are hashed at once; a longer text is summed up over slices.
+SLICE = 2_000_000
 #: One repository in so many is kept out of the fit.
 HELD_OUT = 4
 #: Hashed dimensions: n-grams of the text, then components of the path.
@@ -164,20 +168,21 @@ class Model:
     def scores(self, texts: list[bytes | None], paths: list[tuple[str, str]]) -> np.ndarray:
         """(files, kinds): the mean weight of a text's n-grams, plus that of the path, plus the bias."""
         out = np.tile(self.weights[-1], (len(texts), 1)).astype(np.float32)
-        known = [i for i, t in enumerate(texts) if t]
-        # Slices of about 2 MB keep the gathered weights small; a longer text is a slice by itself.
+        pieces = [(i, t[k : k + SLICE + max(GRAMS) - 1]) for i, t in enumerate(texts) if t for k in range(0, len(t), SLICE)]
+        sums, sizes = np.zeros((len(texts), len(KINDS))), np.zeros(len(texts))
         at = 0
-        while at < len(known):
+        while at < len(pieces):
             end, size = at, 0
-            while end < len(known) and (end == at or size < 2_000_000):
-                size += len(texts[known[end]])
+            while end < len(pieces) and (end == at or size < SLICE):
+                size += len(pieces[end][1])
                 end += 1
-            rows = known[at:end]
-            grams, starts, sizes = gram_rows([texts[i] for i in rows])
+            rows = [i for i, _ in pieces[at:end]]
+            grams, starts, lengths = gram_rows([t for _, t in pieces[at:end]])
+            np.add.at(sizes, rows, lengths)
             for g in grams:
-                sums = np.stack([np.add.reduceat(self.weights[:, k].take(g), starts) for k in range(len(KINDS))], axis=1)
-                out[rows] += sums / (sizes * len(GRAMS))[:, None]
+                np.add.at(sums, rows, np.stack([np.add.reduceat(self.weights[:, k].take(g), starts) for k in range(len(KINDS))], axis=1))
             at = end
+        out += (sums / np.maximum(1, sizes * len(GRAMS))[:, None]).astype(np.float32)
         for i, (path, absolute) in enumerate(paths):
             own = path_features(path, absolute)
             out[i] += self.weights[own].sum(axis=0) / len(own) ** 0.5
@@ -304,7 +309,7 @@ def train(files: DataFrame, sources: DataFrame, sample: int = SAMPLE) -> Model:
     clean = F.regexp_replace(F.regexp_replace(F.translate(F.trim("path"), "\\", "/"), "/+", "/"), r"(^|(?<=/))\./", "")
     some = files.filter("path is not null").select(clean.alias("path"), F.coalesce("absolute_path", F.lit("")).alias("absolute_path")).groupBy("path").agg(F.max("absolute_path").alias("absolute_path"))
     some = some.orderBy(F.xxhash64("path"), "path").limit(sample)  # at most `sample` short rows
-    text = sources.select(F.col("path").alias("_path"), "content").join(F.broadcast(some), F.col("_path") == F.col("path")).groupBy("path").agg(F.max("absolute_path").alias("absolute_path"), F.max("content").alias("content"))
+    text = sources.filter(F.octet_length("content") <= SAMPLE_BYTES).select(F.col("path").alias("_path"), "content").join(F.broadcast(some), F.col("_path") == F.col("path")).groupBy("path").agg(F.max("absolute_path").alias("absolute_path"), F.max("content").alias("content"))
     rows = [(bytes(r["content"]), r["path"], r["absolute_path"], r["path"].split("/")[0]) for r in text.orderBy("path").toLocalIterator() if r["content"] is not None]
     return fit(rows)
 
