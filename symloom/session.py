@@ -79,3 +79,28 @@ def worker_threads() -> None:
     """Keep numeric libraries of a Python worker to its own core."""
     for key in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "RAYON_NUM_THREADS", "TOKENIZERS_PARALLELISM"):
         os.environ.setdefault(key, "1" if key != "TOKENIZERS_PARALLELISM" else "false")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, unless their search path has it.
+
+    Workers inherit PYTHONPATH from the driver's environment; where the package's folder is on it nothing
+    is sent.
+    """
+    import shutil
+    import sys
+
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    on_path = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    application = spark.sparkContext.applicationId
+    if home in on_path or application in _SHIPPED or not os.path.isdir(home):
+        return
+    folder = tempfile.mkdtemp(prefix="symloom-code-")
+    archive = shutil.make_archive(os.path.join(folder, "symloom"), "zip", home, "symloom")
+    before = list(sys.path)
+    spark.sparkContext.addPyFile(archive)
+    sys.path[:] = before  # the driver goes on with the folder itself
+    _SHIPPED.add(application)
