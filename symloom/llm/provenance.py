@@ -15,9 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from symloom.tables import one_per_key
+
 KINDS = ("generated", "minified", "vendored", "data")
 DATA = KINDS.index("data")
 #: A data file has at least this share of its text in rows of nothing but literals.
@@ -167,7 +169,9 @@ class Model:
 
     def scores(self, texts: list[bytes | None], paths: list[tuple[str, str]]) -> np.ndarray:
         """(files, kinds): the mean weight of a text's n-grams, plus that of the path, plus the bias."""
-        out = np.tile(self.weights[-1], (len(texts), 1)).astype(np.float32)
+        return self.text_scores(texts) + self.path_scores(paths)
+
+    def text_scores(self, texts: list[bytes | None]) -> np.ndarray:
         pieces = [(i, t[k : k + SLICE + max(GRAMS) - 1]) for i, t in enumerate(texts) if t for k in range(0, len(t), SLICE)]
         sums, sizes = np.zeros((len(texts), len(KINDS))), np.zeros(len(texts))
         at = 0
@@ -182,7 +186,10 @@ class Model:
             for g in grams:
                 np.add.at(sums, rows, np.stack([np.add.reduceat(self.weights[:, k].take(g), starts) for k in range(len(KINDS))], axis=1))
             at = end
-        out += (sums / np.maximum(1, sizes * len(GRAMS))[:, None]).astype(np.float32)
+        return (sums / np.maximum(1, sizes * len(GRAMS))[:, None]).astype(np.float32)
+
+    def path_scores(self, paths: list[tuple[str, str]]) -> np.ndarray:
+        out = np.tile(self.weights[-1], (len(paths), 1)).astype(np.float32)
         for i, (path, absolute) in enumerate(paths):
             own = path_features(path, absolute)
             out[i] += self.weights[own].sum(axis=0) / len(own) ** 0.5
@@ -294,19 +301,13 @@ def _best_threshold(scores: np.ndarray, truth: np.ndarray) -> tuple[float, float
 # ------------------------------------------------------------------------------------------ the operator
 
 
-def _joined(files: DataFrame, sources: DataFrame) -> DataFrame:
-    """(file_id, path, absolute_path, content): one record per id, its text if there is one."""
-    from symloom.tables import one_per_key
-
-    clean = F.regexp_replace(F.regexp_replace(F.translate(F.trim("path"), "\\", "/"), "/+", "/"), r"(^|(?<=/))\./", "")
-    one = one_per_key(files, ["id"], ["path", "absolute_path"], "updated_at").select(F.col("id").alias("file_id"), F.coalesce(clean, F.lit("")).alias("path"), F.coalesce("absolute_path", F.lit("")).alias("absolute_path"))
-    text = sources.filter("path is not null and content is not null").groupBy(F.col("path").alias("_path")).agg(F.max(F.col("content").cast("binary")).alias("content"))
-    return one.join(text, F.col("path") == F.col("_path"), "left").drop("_path")
+def _clean() -> Column:
+    return F.regexp_replace(F.regexp_replace(F.translate(F.trim("path"), "\\", "/"), "/+", "/"), r"(^|(?<=/))\./", "")
 
 
 def train(files: DataFrame, sources: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit the classifiers on `sample` files, those with the smallest hashes of their paths."""
-    clean = F.regexp_replace(F.regexp_replace(F.translate(F.trim("path"), "\\", "/"), "/+", "/"), r"(^|(?<=/))\./", "")
+    clean = _clean()
     some = files.filter("path is not null").select(clean.alias("path"), F.coalesce("absolute_path", F.lit("")).alias("absolute_path")).groupBy("path").agg(F.max("absolute_path").alias("absolute_path"))
     some = some.orderBy(F.xxhash64("path"), "path").limit(sample)  # at most `sample` short rows
     text = sources.filter(F.octet_length("content") <= SAMPLE_BYTES).select(F.col("path").alias("_path"), "content").join(F.broadcast(some), F.col("_path") == F.col("path")).groupBy("path").agg(F.max("absolute_path").alias("absolute_path"), F.max("content").alias("content"))
@@ -323,17 +324,31 @@ def classify(files: DataFrame, sources: DataFrame, model: Model | None = None) -
     model = model or train(files, sources)
     sent = files.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
 
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = sent.value
+        for batch in batches:
+            contents = [bytes(c) for c in batch.content]
+            scores = held.text_scores([masked(c) for c in contents]) if contents else np.zeros((0, len(KINDS)))
+            table = [literal_share(c) >= TABLE_SHARE for c in contents]
+            yield pd.DataFrame({"path": batch.path, "scores": list(scores.astype(float)), "table": table})
+
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = sent.value
         for batch in batches:
-            texts = [masked(bytes(c)) if c is not None else None for c in batch.content]
-            scores = held.scores(texts, list(zip(batch.path, batch.absolute_path))) if len(batch) else np.zeros((0, len(KINDS)))
-            margin = scores - held.threshold
+            if not len(batch):
+                continue
+            none = np.zeros(len(KINDS))
+            text = np.stack([none if s is None else np.asarray(s) for s in batch.scores])
+            margin = text + held.path_scores(list(zip(batch.path, batch.absolute_path))) - held.threshold
             for i in np.flatnonzero(margin[:, DATA] > 0):  # mostly a table, not some constants
-                if batch.content[i] is not None and literal_share(bytes(batch.content[i])) < TABLE_SHARE:
+                if batch.scores.iloc[i] is not None and not batch.table.iloc[i]:
                     margin[i, DATA] = -1.0
-            top = margin.argmax(axis=1) if len(batch) else np.zeros(0, dtype=int)
-            most = margin.max(axis=1) if len(batch) else np.zeros(0)
+            top, most = margin.argmax(axis=1), margin.max(axis=1)
             yield pd.DataFrame({"file_id": batch.file_id, "path": batch.path, "kind": [KINDS[k] if m > 0 else "hand_written" for k, m in zip(top, most)], "score": most.astype(float)})
 
-    return _joined(files, sources).mapInPandas(judge, "file_id string, path string, kind string, score double")
+    # Texts are read where they lie; only their few scores are shuffled and joined to the files.
+    texts = sources.filter("path is not null and content is not null").select("path", F.col("content").cast("binary").alias("content"))
+    scored = texts.mapInPandas(read, "path string, scores array<double>, table boolean").groupBy(F.col("path").alias("_path")).agg(F.max(F.struct("scores", "table")).alias("_t"))
+    one = one_per_key(files, ["id"], ["path", "absolute_path"], "updated_at").select(F.col("id").alias("file_id"), F.coalesce(_clean(), F.lit("")).alias("path"), F.coalesce("absolute_path", F.lit("")).alias("absolute_path"))
+    joined = one.join(scored, F.col("path") == F.col("_path"), "left").select("file_id", "path", "absolute_path", F.col("_t.scores").alias("scores"), F.col("_t.table").alias("table"))
+    return joined.mapInPandas(judge, "file_id string, path string, kind string, score double")
