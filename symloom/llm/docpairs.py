@@ -315,8 +315,13 @@ def _match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     out: list[tuple] = []
     for _, group in groupby(rows(), key=lambda r: (r[0], r[1])):
         functions, texts = [], []
+        known: set[tuple] = set()
         for r in group:
             line, end_line = (None if x is None else int(x) for x in (r[6], r[7]))
+            if r[2] and r[9] == "comment":  # repeated rows of a file repeat its comments
+                if (line, end_line, r[8]) in known:
+                    continue
+                known.add((line, end_line, r[8]))
             (functions if r[2] == 0 else texts).append((r[0], r[3], r[4], r[5], line, end_line, r[8], r[9], r[10]))
         if functions and texts:
             out += match_segment(functions, texts)
@@ -354,7 +359,7 @@ def describe(functions: DataFrame, symbols: DataFrame, defines: DataFrame, sourc
     )
     every = rows.unionByName(docs).unionByName(by_symbol)
     if sources is not None:
-        text = sources.filter("path is not null and content is not null").groupBy("path").agg(F.max(F.col("content").cast("binary")).alias("content"))
+        text = sources.filter("path is not null and content is not null").select("path", F.col("content").cast("binary").alias("content"))
         every = every.unionByName(text.mapInPandas(_comment_rows, _ROW))
     placed = every.repartition("file_path", "segment").sortWithinPartitions("file_path", "segment", "kind")
     matched = placed.mapInPandas(_match, "function_id string, description string, source string, weight double")
