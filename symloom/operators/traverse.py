@@ -51,7 +51,7 @@ def trails(edges: DataFrame, seeds: DataFrame, min_hops: int = 1, max_hops: int
     """
     cuts = Cuts(edges.sparkSession, "trails")
     here, there = ("src", "dst") if direction == "out" else ("dst", "src")
-    hop = edges.select(F.col("id").alias("_edge"), F.col(here).alias("_at"), F.col(there).alias("_to"))
+    hop = cuts.cut(edges.select(F.col("id").alias("_edge"), F.col(here).alias("_at"), F.col(there).alias("_to")))
     nothing = F.array().cast("array<string>")
     front = seeds.filter("seed is not null").select("seed", F.col("seed").alias("_at"), nothing.alias("edge_ids"), F.array("seed").alias("node_ids")).distinct()
     levels: list[DataFrame] = []

@@ -6,6 +6,7 @@ type reads only the tables and columns behind it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,31 +40,38 @@ def _symbol() -> Column:
 
 class Star:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.t = lambda name: table(spark, sf_dir, name)
+        read: dict[str, DataFrame] = {}  # one listing and one schema for each table of a query
+
+        def t(name: str) -> DataFrame:
+            if name not in read:
+                read[name] = table(spark, sf_dir, name)
+            return read[name]
+
+        self.t = t
 
     # ---------------------------------------------------------------- nodes
 
-    def node_parts(self) -> dict[str, DataFrame]:
+    def node_parts(self) -> dict[str, Callable[[], DataFrame]]:
+        """Each label's projection, made only when it is asked for."""
         t = self.t
-        route = t("part").filter("p_size < 5").select("p_type", "p_brand").distinct()
         return {
-            "Service": _node(t("region"), "Service", _id("svc", "r_regionkey"), name=F.concat(F.lit("Brand#"), (F.col("r_regionkey") + 1).cast("string"))),
-            "File": _node(t("nation"), "File", _id("file", "n_nationkey"), path=F.col("n_name")),
-            "Class": _node(t("customer"), "Class", _id("cls", "c_custkey"), name=F.col("c_name"), fqn=F.concat_ws(".", "c_mktsegment", "c_name")),
-            "Interface": _node(t("supplier"), "Interface", _id("if", "s_suppkey"), name=F.col("s_name"), fqn=F.concat(F.lit("pkg."), "s_name")),
-            "Method": _node(t("orders"), "Method", _id("mth", "o_orderkey"), name=F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")), created_at=F.col("o_orderdate")).unionByName(
+            "Service": lambda: _node(t("region"), "Service", _id("svc", "r_regionkey"), name=F.concat(F.lit("Brand#"), (F.col("r_regionkey") + 1).cast("string"))),
+            "File": lambda: _node(t("nation"), "File", _id("file", "n_nationkey"), path=F.col("n_name")),
+            "Class": lambda: _node(t("customer"), "Class", _id("cls", "c_custkey"), name=F.col("c_name"), fqn=F.concat_ws(".", "c_mktsegment", "c_name")),
+            "Interface": lambda: _node(t("supplier"), "Interface", _id("if", "s_suppkey"), name=F.col("s_name"), fqn=F.concat(F.lit("pkg."), "s_name")),
+            "Method": lambda: _node(t("orders"), "Method", _id("mth", "o_orderkey"), name=F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")), created_at=F.col("o_orderdate")).unionByName(
                 _node(t("events").select("user_id").distinct(), "Method", _id("um", "user_id"), name=F.concat(F.lit("user_"), F.col("user_id").cast("string")))
             ),
-            "Function": _node(
+            "Function": lambda: _node(
                 t("part"), "Function", _id("fn", "p_partkey"), name=F.col("p_name"), signature=F.concat("p_name", F.lit("("), "p_type", F.lit(") "), "p_brand"), file_path=F.concat(F.lit("src/"), "p_brand", F.lit(".go")),
                 start_line=F.col("p_size"), end_line=F.col("p_size") + F.col("p_partkey") % 50, lines_of_code=F.col("p_partkey") % 50 + 1, complexity=F.col("p_size") % 20 + 1, is_exported=F.col("p_size") > 25,
             ),
-            "Symbol": _node(t("part"), "Symbol", _id("sym", "p_partkey"), symbol=_symbol(), display_name=F.col("p_name"), kind=F.lit("Function")),
-            "APIRoute": _node(route, "APIRoute", F.concat(F.lit("api:"), "p_type", F.lit("|"), "p_brand"), path=F.concat(F.lit("/"), "p_brand", F.lit("/"), "p_type"), method=F.when(F.length("p_type") % 2 == 0, "GET").otherwise("POST"), protocol=F.lit("REST")),
-            "Parameter": _node(t("events").filter("event_type in ('purchase', 'click')"), "Parameter", _id("ev", "event_id"), name=F.concat_ws("_", "event_type", F.col("event_id").cast("string")), created_at=F.col("ts")),
-            "Variable": _node(t("events").filter("event_type not in ('purchase', 'click')"), "Variable", _id("ev", "event_id"), name=F.concat_ws("_", "event_type", F.col("event_id").cast("string")), created_at=F.col("ts")),
-            "Reference": _node(self.lines(), "Reference", self.ref_id(), file_path=F.lit("src/orders.go"), start_line=F.col("l_linenumber")),
-            "Document": _node(t("documents"), "Document", _id("doc", "doc_id"), title=F.col("title"), doc_type=F.col("doc_type"), path=F.col("source_url")),
+            "Symbol": lambda: _node(t("part"), "Symbol", _id("sym", "p_partkey"), symbol=_symbol(), display_name=F.col("p_name"), kind=F.lit("Function")),
+            "APIRoute": lambda: _node(t("part").filter("p_size < 5").select("p_type", "p_brand").distinct(), "APIRoute", F.concat(F.lit("api:"), "p_type", F.lit("|"), "p_brand"), path=F.concat(F.lit("/"), "p_brand", F.lit("/"), "p_type"), method=F.when(F.length("p_type") % 2 == 0, "GET").otherwise("POST"), protocol=F.lit("REST")),
+            "Parameter": lambda: _node(t("events").filter("event_type in ('purchase', 'click')"), "Parameter", _id("ev", "event_id"), name=F.concat_ws("_", "event_type", F.col("event_id").cast("string")), created_at=F.col("ts")),
+            "Variable": lambda: _node(t("events").filter("event_type not in ('purchase', 'click')"), "Variable", _id("ev", "event_id"), name=F.concat_ws("_", "event_type", F.col("event_id").cast("string")), created_at=F.col("ts")),
+            "Reference": lambda: _node(self.lines(), "Reference", self.ref_id(), file_path=F.lit("src/orders.go"), start_line=F.col("l_linenumber")),
+            "Document": lambda: _node(t("documents"), "Document", _id("doc", "doc_id"), title=F.col("title"), doc_type=F.col("doc_type"), path=F.col("source_url")),
         }
 
     def lines(self) -> DataFrame:
@@ -77,45 +85,56 @@ class Star:
 
     # ---------------------------------------------------------------- edges
 
-    def edge_parts(self) -> dict[str, list[DataFrame]]:
+    def edge_parts(self) -> dict[str, list[Callable[[], DataFrame]]]:
+        """Each type's projections, made only when they are asked for."""
         t = self.t
-        suppliers = t("supplier").agg(F.count("*").alias("_suppliers"))
-        calls = t("lineitem").select("l_orderkey", "l_partkey").distinct()
-        by_line = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
-        follow = t("lineitem").withColumn("_next", F.lead("l_partkey").over(by_line)).filter("_next is not null and l_returnflag = 'R' and l_quantity <= 10").select("l_partkey", "_next").distinct()
-        by_time = W.partitionBy("user_id").orderBy("ts", "event_id")
-        flows = t("events").select("event_id", "event_type", F.lead("event_id").over(by_time).alias("_one"), F.lead("event_id", 2).over(by_time).alias("_two"))
-        implements = t("customer").crossJoin(F.broadcast(suppliers)).join(t("supplier").select("s_suppkey"), F.expr("c_custkey % _suppliers = s_suppkey"))
+        chosen = "event_type in ('purchase', 'click')"
         return {
             "CONTAINS": [
-                _edge(t("nation"), "CONTAINS", _id("svc", "n_regionkey"), _id("file", "n_nationkey")),
-                _edge(t("customer"), "CONTAINS", _id("file", "c_nationkey"), _id("cls", "c_custkey")),
-                _edge(t("orders"), "CONTAINS", _id("cls", "o_custkey"), _id("mth", "o_orderkey")),
-                _edge(self.lines(), "CONTAINS", _id("mth", "l_orderkey"), self.ref_id()),
-                _edge(t("events").filter("event_type in ('purchase', 'click')"), "CONTAINS", _id("um", "user_id"), _id("ev", "event_id")),
+                lambda: _edge(t("nation"), "CONTAINS", _id("svc", "n_regionkey"), _id("file", "n_nationkey")),
+                lambda: _edge(t("customer"), "CONTAINS", _id("file", "c_nationkey"), _id("cls", "c_custkey")),
+                lambda: _edge(t("orders"), "CONTAINS", _id("cls", "o_custkey"), _id("mth", "o_orderkey")),
+                lambda: _edge(self.lines(), "CONTAINS", _id("mth", "l_orderkey"), self.ref_id()),
+                lambda: _edge(t("events").filter(chosen), "CONTAINS", _id("um", "user_id"), _id("ev", "event_id")),
+            ],
+            "REFERENCES": [lambda: _edge(self.lines(), "REFERENCES", self.ref_id(), _id("sym", "l_partkey"), line=F.col("l_linenumber"))],
+            "DEFINES": [lambda: _edge(t("part"), "DEFINES", _id("fn", "p_partkey"), _id("sym", "p_partkey"))],
+            "CALLS": [
+                lambda: _edge(t("lineitem").select("l_orderkey", "l_partkey").distinct(), "CALLS", _id("mth", "l_orderkey"), _id("fn", "l_partkey")),
+                lambda: _edge(self._follow(), "CALLS", _id("fn", "l_partkey"), _id("fn", "_next")),
             ],
-            "REFERENCES": [_edge(self.lines(), "REFERENCES", self.ref_id(), _id("sym", "l_partkey"), line=F.col("l_linenumber"))],
-            "DEFINES": [_edge(t("part"), "DEFINES", _id("fn", "p_partkey"), _id("sym", "p_partkey"))],
-            "CALLS": [_edge(calls, "CALLS", _id("mth", "l_orderkey"), _id("fn", "l_partkey")), _edge(follow, "CALLS", _id("fn", "l_partkey"), _id("fn", "_next"))],
-            "EXPOSES_API": [_edge(t("part").filter("p_size < 5"), "EXPOSES_API", _id("fn", "p_partkey"), F.concat(F.lit("api:"), "p_type", F.lit("|"), "p_brand"))],
-            "IMPLEMENTS": [_edge(implements, "IMPLEMENTS", _id("cls", "c_custkey"), _id("if", "s_suppkey"))],
+            "EXPOSES_API": [lambda: _edge(t("part").filter("p_size < 5"), "EXPOSES_API", _id("fn", "p_partkey"), F.concat(F.lit("api:"), "p_type", F.lit("|"), "p_brand"))],
+            "IMPLEMENTS": [lambda: _edge(self._implements(), "IMPLEMENTS", _id("cls", "c_custkey"), _id("if", "s_suppkey"))],
             "FLOWS_TO": [
-                _edge(flows.filter("_one is not null"), "FLOWS_TO", _id("ev", "event_id"), _id("ev", "_one")),
-                _edge(flows.filter("_two is not null and event_type = 'purchase'"), "FLOWS_TO", _id("ev", "event_id"), _id("ev", "_two")),
+                lambda: _edge(self._flows().filter("_one is not null"), "FLOWS_TO", _id("ev", "event_id"), _id("ev", "_one")),
+                lambda: _edge(self._flows().filter("_two is not null and event_type = 'purchase'"), "FLOWS_TO", _id("ev", "event_id"), _id("ev", "_two")),
             ],
         }
 
+    def _follow(self) -> DataFrame:
+        by_line = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
+        after = self.t("lineitem").withColumn("_next", F.lead("l_partkey").over(by_line))
+        return after.filter("_next is not null and l_returnflag = 'R' and l_quantity <= 10").select("l_partkey", "_next").distinct()
+
+    def _flows(self) -> DataFrame:
+        by_time = W.partitionBy("user_id").orderBy("ts", "event_id")
+        return self.t("events").select("event_id", "event_type", F.lead("event_id").over(by_time).alias("_one"), F.lead("event_id", 2).over(by_time).alias("_two"))
+
+    def _implements(self) -> DataFrame:
+        suppliers = self.t("supplier").agg(F.count("*").alias("_suppliers"))
+        return self.t("customer").crossJoin(F.broadcast(suppliers)).join(self.t("supplier").select("s_suppkey"), F.expr("c_custkey % _suppliers = s_suppkey"))
+
     def nodes(self, *labels: str) -> DataFrame:
         parts = self.node_parts()
-        return reduce(DataFrame.unionByName, [parts[k] for k in (labels or parts)])
+        return reduce(DataFrame.unionByName, [parts[k]() for k in (labels or parts)])
 
     def edges(self, *types: str) -> DataFrame:
         parts = self.edge_parts()
-        return reduce(DataFrame.unionByName, [df for k in (types or parts) for df in parts[k]])
+        return reduce(DataFrame.unionByName, [make() for k in (types or parts) for make in parts[k]])
 
     def edge_part(self, kind: str, n: int) -> DataFrame:
         """One projection of a type: CONTAINS between two known labels needs one table, not five."""
-        return self.edge_parts()[kind][n]
+        return self.edge_parts()[kind][n]()
 
     def graph(self) -> Graph:
         return Graph(self.nodes(), self.edges())
