@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,13 +42,31 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(?:\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="symloom-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 
 
+_BASES: list[tuple[SparkSession, str]] = []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _clean() -> None:
+    """Remove what this driver wrote below the shared folder; results may read it until then."""
+    for spark, base in _BASES:
+        try:
+            _remove(spark, base)
+        except Exception:  # noqa: BLE001 - the application is gone already
+            return
+
+
 class Cuts:
     """Written tables that cut lineage; each is a Parquet folder below the shared one.
 
@@ -58,6 +78,7 @@ class Cuts:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/symloom-{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        _BASES.append((spark, self.base))
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -70,15 +91,8 @@ class Cuts:
     def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "_symloom_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
+            _remove(self.spark, path)
 
-def worker_threads() -> None:
-    """Keep numeric libraries of a Python worker to its own core."""
-    for key in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "RAYON_NUM_THREADS", "TOKENIZERS_PARALLELISM"):
-        os.environ.setdefault(key, "1" if key != "TOKENIZERS_PARALLELISM" else "false")
 
 
 _SHIPPED: set[str] = set()

@@ -55,8 +55,8 @@ def test_features_merge(spark):
 
 
 def test_code_tokens(spark):
-    got = one(spark, text.code_tokens(F.col("s")), s=("string", "`IndexProject` and `the`, `a_b.C()` then `IndexProject`, `lower`, `Get`"))
-    assert got == ["IndexProject", "a_b.C()"]
+    got = one(spark, text.code_tokens(F.col("s")), s=("string", "`BuildTable` and `the`, `a_b.C()` then `BuildTable`, `lower`, `Get`"))
+    assert got == ["BuildTable", "a_b.C()"]
 
 
 def test_slices(spark):
