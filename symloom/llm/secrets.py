@@ -42,20 +42,27 @@ _FORMS = re.compile(
     r")(?![A-Za-z0-9_])"
 )
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>.*?)(?:-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.S)
-_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://(?P<user>[^\s:/@\"'`<>]*):(?P<value>[^\s/\"'`<>]*?)@(?=[\w.\[-])")
-_QUERY = re.compile(r"[?&](?:[A-Za-z_]*(?:token|key|secret|password|passwd|pwd|sig|signature|auth|credential)[A-Za-z_]*)=(?P<value>[^&\s\"'`#<>]+)", re.I)
+# The patterns below take time in proportion to a line's length, as a file may be one line.
+_URL = re.compile(r"(?<=[A-Za-z0-9+.-])://(?P<user>[^\s:/@\"'`<>]*):(?P<value>[^\s/\"'`<>]*?)@(?=[\w.\[-])")
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*")
+_QUERY = re.compile(r"[?&](?=[A-Za-z_]*=)(?=[A-Za-z_]*(?:token|key|secret|password|passwd|pwd|sig|auth|credential))[A-Za-z_]*=(?P<value>[^&\s\"'`#<>]+)", re.I)
 _HEADER = re.compile(r"\b(?P<how>Bearer|Basic|Token|ApiKey)\s+(?P<value>[A-Za-z0-9._~+/=-]{8,})")
 _USER_FLAG = re.compile(r"(?:\s|^|[\"'`])(?:-u|--user)[ =][\"']?(?P<user>[\w.@-]+):(?P<value>[^\s\"'`]+)")
-_STRING = r"(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`)"
+_STRING = r"(?:\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`]*`)"
 _ASSIGN = re.compile(
     r"(?<![\w.-])(?P<name>(?!(?:var|const|let|export|final|static|public|private|val|set|return|local|readonly)\b)[A-Za-z_][\w.-]*)[\"'`]?\]?"
     r"(?:[ \t]+[\w.\[\]*]+(?=[ \t]*=)|[ \t]*:[ \t]*[A-Za-z_][\w.<>\[\]]*(?=[ \t]*=))?[ \t]*(?::=|=>|=|:)[ \t]*"
-    r"(?P<value>" + _STRING + r"(?:\s*\+?\s*\\?\s*" + _STRING + r")*|[^\s\"'`,;]\S*)"
+    r"(?P<value>" + _STRING + r"(?:\s*(?:\+\s*)?(?:\\\s*)?" + _STRING + r")*|[^\s\"'`,;])"  # without quotes: the first character of what goes on to a white space
 )
-_CALL = re.compile(r"\b(?P<name>\w*(?:login|logon|sign_?in|authenticate|connect|password|passwd|credentials?|basic_?auth)\w*)\((?P<args>[^()\n]*)\)", re.I)
+_SPACE = re.compile(r"\s")
+_CALL = re.compile(r"\b(?=\w*(?:login|logon|sign_?in|authenticate|connect|password|passwd|credential|basic_?auth))(?P<name>\w+)\((?P<args>[^()\n]*)\)", re.I)
 _LITERAL = re.compile(_STRING)
 # What a comment tells: 'login for the box: admin / value', 'the password is value'.
-_PROSE = re.compile(r"\b(?:log-?in|sign-?in|logon|pass(?:word|phrase|wd)?|credentials?)\b(?:[^\n/]{0,60}?[\w.@-]+\s+/\s+|[^\n/:=]{0,20}\s(?:is|was)\s+[\"']?)(?P<value>[^\s\"'`,;]+)", re.I)
+_PROSE = re.compile(r"\b(?:log-?in|sign-?in|logon|pass(?:word|phrase|wd)?|credentials?)\b", re.I)
+_PROSE_PAIR = re.compile(r"(?<=[\w.@-])\s+/\s+(?P<value>[^\s\"'`,;]+)")
+_PROSE_IS = re.compile(r"[^\n/:=]{0,20}\s(?:is|was)\s+[\"']?(?P<value>[^\s\"'`,;]+)", re.I)
+#: Characters between such a word and the user name before the stroke.
+PROSE_REACH = 60
 # Key material that is meant to be public.
 _PUBLIC = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*(?:PUBLIC KEY|CERTIFICATE|CERTIFICATE REQUEST|CRL|DH PARAMETERS)[A-Z ]*-----.*?-----END [A-Z0-9 ]+-----", re.S)
 _CAMEL = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -149,11 +156,12 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
     are held against the owners of their literal.
     """
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # in order, none overlapping
 
     def add(first: int, last: int, kind: str, literal: str) -> None:
-        if last > first and not any(first < b and a < last for a, b in taken):
-            taken.append((first, last))
+        k = bisect.bisect_left(taken, (first, last))
+        if last > first and not (k and taken[k - 1][1] > first or k < len(taken) and taken[k][0] < last):
+            taken.insert(k, (first, last))
             found.append((first, last, kind, literal))
 
     if "-----BEGIN" in text:
@@ -163,10 +171,6 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
             if len(re.findall(r"[A-Za-z0-9+/]", m["body"].replace("\\n", ""))) >= 40 and not is_elsewhere(m["body"].strip()[:60]):
                 add(m.start(), m.end(), "pem", m[0][:80])
     for a, b in _lines_of_interest(text):
-        if b - a > 20_000:  # a minified or data line: forms that prove themselves only, in its whole length
-            for m in _FORMS.finditer(text, a, b):
-                add(m.start(), m.end(), m.lastgroup, m[0])
-            continue
         _line(text, a, b, add)
     return found
 
@@ -192,7 +196,7 @@ def _line(text: str, a: int, b: int, add) -> None:
     line = text[a:b]
     if "://" in line:
         for m in _URL.finditer(line):
-            if len(m["value"]) >= 3 and not is_elsewhere(m["value"]) and not m["value"].startswith("$"):
+            if _has_scheme(line, m.start()) and len(m["value"]) >= 3 and not is_elsewhere(m["value"]) and not m["value"].startswith("$"):
                 add(a + m.start("value"), a + m.end("value"), "url", m["value"])
         for m in _QUERY.finditer(line):
             if is_random(m["value"]) and not is_elsewhere(m["value"]):
@@ -213,33 +217,89 @@ def _line(text: str, a: int, b: int, add) -> None:
             if is_password(value) and "/" not in value[:1]:
                 first = a + m.start("args") + s.start() + 1
                 add(first, first + len(value), "call", value)
-    for m in _ASSIGN.finditer(text, a, b):
-        _assigned(text, m, add)
-    for m in _PROSE.finditer(line):
+    _assignments(text, a, b, add)
+    for m in _told(line):
         value = m["value"].rstrip(".)]>")
         if is_password(value) and not re.search(r"[(\[{]", value):
             add(a + m.start("value"), a + m.start("value") + len(value), "prose", value)
 
 
-def _assigned(text: str, m: re.Match, add) -> None:
+def _told(line: str) -> Iterator[re.Match]:
+    """What stands after a word for a login: 'user / value' behind it, or 'is value'."""
+    pairs: list[tuple[int, int, re.Match]] | None = None
+    at = n = 0
+    for m in _PROSE.finditer(line):
+        k = m.end()
+        if m.start() < at:
+            continue
+        if pairs is None:
+            pairs = []
+            for p in _PROSE_PAIR.finditer(line):
+                a = p.start()
+                while a > 0 and (line[a - 1] in ".@-_" or line[a - 1].isalnum()):
+                    a -= 1
+                pairs.append((p.start(), a, p))
+        while n < len(pairs) and pairs[n][0] <= k:
+            n += 1
+        if n < len(pairs) and pairs[n][1] - PROSE_REACH <= k and line.find("/", k, pairs[n][0]) < 0:
+            told = pairs[n][2]
+        else:
+            told = _PROSE_IS.match(line, k)
+        if told:
+            yield told
+            at = told.end()
+
+
+def _has_scheme(line: str, at: int) -> bool:
+    """Whether a URL's scheme ends at `at`: what stands before has a letter in it."""
+    while at > 0 and line[at - 1] in "0123456789+.-":
+        at -= 1
+    return at > 0 and bool(_SCHEME.match(line, at - 1))
+
+
+def _assignments(text: str, a: int, b: int, add) -> None:
+    """Every assignment of a line. A value without quotes may be a whole program or record without a white
+    space: if it is no secret itself, the quoted values that are assigned within it are looked at."""
+    at = end = a
+    while m := _ASSIGN.search(text, at, b):
+        first = m.start("value")
+        if m.start() < end <= first:  # such a value's end is the name of no other
+            at = end
+            continue
+        if text[first] in "\"'`":
+            _assigned(text, m, m.end(), add)
+            at = m.end()
+            continue
+        within = first < end
+        if not within:
+            space = _SPACE.search(text, first, b)
+            end = space.start() if space else b
+        at = end if not within and _assigned(text, m, end, add) else first
+
+
+def _assigned(text: str, m: re.Match, end: int, add) -> bool:
+    """Whether an assignment, whose value ends at `end`, is one of a secret; it is added then."""
     how = names_secret(m["name"])
     if not how:
-        return
-    raw = m["value"]
+        return False
+    first = m.start("value")
+    raw = text[first:end]
+    if text[first] not in "\"'`" and len(raw.rstrip(",;)}]")) > 200 and not (how == "key" and re.fullmatch(r"[A-Za-z0-9+/_=.~-]++[,;)}\]]*", raw)):
+        return False  # too long for a password, and no key by its letters
     if raw[0] == "=":
-        return  # a comparison, or padding
-    if raw[0] in "\"'`" and raw.count(raw[0]) < 2:
-        return
+        return False  # a comparison, or padding
     if raw[0] in "\"'`":
         more = _ASSIGN.match(text, m.start())  # joined pieces may go on in the next lines
         raw = more["value"] if more else raw
     value, first, last, _ = _unquote(raw, m.start("value"))
     if not value or is_elsewhere(value) or "://" in value or "-----BEGIN" in value:
-        return
+        return False
     if raw[0] not in "\"'`" and re.search(r"[()\[\]{}]|^(?:[a-z_]\w*\.)+\w+$", value):
-        return  # an expression, not a literal
+        return False  # an expression, not a literal
     if how == "word" and is_password(value) or how == "key" and is_random(value):
         add(first, last, how, value)
+        return True
+    return False
 
 
 # ------------------------------------------------------------------------------------------ the operator
