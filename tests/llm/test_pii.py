@@ -93,6 +93,59 @@ def test_windows_cover_stretches():
         assert all(p[1] - q[0] == pii.OVERLAP for p, q in zip(ws, ws[1:]))
 
 
+def covered(text, value):
+    a = text.index(value)
+    return any(x <= a and a + len(value) <= y for x, y in pii.stretches(text))
+
+
+@pytest.mark.parametrize(
+    "value",
+    ["Jean DUPONT", "ANNA MUELLER", "Anna\nMueller", "Anna\u00a0Mueller", "Anna \r\n Mueller", "Anna_Mueller", "MUELLER, Anna", "Dr. Weber", "Mr. Smith", "J. Miller", "J. R. Miller", "Bei Ling", "M Weber", "Jean-Pierre O'Hara", "SSN: 12345", "passport number 1A2B3C4D5", "P.O.Box 1234567", "a" * 40 + "@b.example", "a" * 40 + " (at) b.example", "a@" + "b" * 40 + ".example", "12\nLantern Road"],
+)
+@pytest.mark.parametrize("before", ["", "See ", "Bei ", "With ", "As ", "The ", "when ", "_", "(", "-"])
+def test_signs_are_necessary(value, before):
+    assert covered("x " * 60 + before + value + ". and" + " x" * 60, value)
+
+
+def test_stretches_cover_all_labels(spark):
+    """Whatever the trainer can label is read: values of all its forms, and the labels of real documents."""
+    rng = random.Random(5)
+    first, last = ["Hana", "Owen", "Jean-Luc", "Zoë"], ["Tammaro", "Velkmoor", "O’Harran"]
+    names = pii_train.Names([f"Regards, {a} {b}" for a in first for b in last] * 3)
+    seen = {k: 0 for k in ("email", "phone", "id_number", "address", "person")}
+    for n in range(3000):
+        a, b, c, d = rng.choice(first), rng.choice(last), rng.choice(last), lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+        title, sep = rng.choice(["Mr", "Dr.", "Frau", "Herrn", "Mme", "Señora", "M"]), rng.choice([", ", " ", "\n", "\r\n", ",\n"])
+        value = rng.choice([
+            f"{a} {b}", f"{a}_{b}", f"{a} K. {b}-{c}", f"{b}, {a}", f"{b.upper()}, {a} K.", f"{title} {b}", f"{title} K. {b}", f"K. {b}", f"{a.upper()} {b.upper()}", f"{a.lower()}.{d(9) * rng.randint(1, 5)}@mail.example", f"{a.lower()} (at) post [dot] example", f"x.{d(2)} at post.example", f"{a.lower()} at post dot example",
+            f"+{d(2)} {d(4)} {d(6)}", f"+1 ({d(3)}) {d(3)}-{d(4)}", f"0{d(2)}/{d(4)}", f"{d(3)}.{d(3)}.{d(4)}".replace(".", rng.choice("-. ")), f"SSN: {d(5)}", f"passport is {d(2)}A{d(2)}-B{d(1)}", f"tax ID = AB {d(2)} {d(2)} {d(2)} C",
+            f"{d(3)} Lantern Road, Flat {d(2)}{sep}Elkspire", f"Elkspire, {d(1)} Old Lantern Ave.", f"{d(2)}, bis rue de la Tour{sep}{d(5)} Nanterre", f"Calle de la Luna {d(3)}", f"An der Mauer {d(2)}{sep}{d(5)} Bad Elk", f"Lindenstraße {d(3)}", f"P. O. Box {d(rng.randint(1, 8))}", f"P.O.Box {d(6)}{sep}Elkspire", f"Postfach {d(3)}",
+        ])
+        text = "it runs at night. " * 4 + rng.choice(["See ", "Bei ", "by ", "", "The ", "\n", "user="]) + value + rng.choice([" and", ".", "\n", ", "]) + " it runs" * 8
+        parts = pii.stretches(text)
+        for x, y, kind in pii_train.label(text, names):
+            seen[kind] += 1
+            assert any(p <= x and y <= q for p, q in parts), (kind, text[x:y], text)
+    assert min(seen.values()) > 200
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text is not null").select("text").collect()]
+    names = pii_train.Names(texts, 1)
+    for text in texts:
+        parts = pii.stretches(text)
+        assert all(any(p <= x and y <= q for p, q in parts) for x, y, _ in pii_train.label(text, names))
+
+
+@pytest.mark.parametrize(
+    "text,value",
+    [("See Dr. Velkmoor about it.", "Velkmoor"), ("The report was written by Jean DUPONT last week.", "Jean DUPONT"), ("The pager went to ANNA MUELLER, who found it.", "ANNA MUELLER"), ("The pager went to Anna\u00a0Mueller, who found it.", "Anna\u00a0Mueller")],
+)
+def test_people_without_former_sign(tagger, text, value):
+    assert (value, "person") in kinds(tagger, text)
+
+
+def test_shouted_text_holds_no_names(tagger):
+    assert not kinds(tagger, "LUMENAR REPLACED THEIR MATRIX WITH A MAGENTA STACK HOLDING 489 LEAVES. WHICH HEAP DOES THE TOKENIZER OF KATOPTRA USE")
+
+
 def test_far_apart_and_in_long_texts(tagger):
     one = "Regards, Hana Tammukova\n"
     text = ("the queue drains at night. " * 40 + one) * 30
