@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 #: A literal that this share of all owners (repositories) have, and at least so many, is shared widely: no
 #: secret. A share, as weak passwords of different owners coincide in a large corpus. PEM blocks are exempt.
 SHARED_SHARE, SHARED_LEAST = 0.02, 5
-#: Shortest confirmed value that the second scan looks for.
+#: A confirmed value shorter than this is looked for if it is no plain word, and with a delimiter on both sides.
 RESCAN_LENGTH = 8
+#: Characters that a word goes on with: between two of them a short value is a part of something else.
+_JOINS = frozenset("_-.$@#%&+*/\\~!?^=")
 #: Confirmed values in one automaton; more are looked for in further scans over the files.
 BLOCK_VALUES = 200_000
 #: Characters of a value's head that the automaton holds; the rest is compared in place.
@@ -68,7 +70,7 @@ _PUBLIC = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*(?:PUBLIC KEY|CERTIFICATE|CERTI
 _CAMEL = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 #: Anything that makes a line worth a look, in small letters; each is found by a plain substring search.
-_TRIGGERS = ("pass", "pwd", "secret", "token", "auth", "cred", "key", "pw", "salt", "://", "bearer ", "basic ", "eyj", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "_live_", "_test_", "_prod_", "aiza", "-u ", "--user", "signer", "login", "logon", "signin", "sign_in")
+_TRIGGERS = ("pass", "pwd", "secret", "token", "auth", "cred", "key", "pw", "salt", "://", "bearer", "basic", "eyj", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "_live_", "_test_", "_prod_", "aiza", "-u ", "-u=", "--user", "signer", "login", "logon", "signin", "sign_in", "sign-in", "log-in", "connect", "pat")
 
 # Words of names that hold secrets, words that say what else a name holds, and words that
 # make a key one.
@@ -378,6 +380,15 @@ def confirm(index: DataFrame) -> DataFrame:
     return index.join(shared, (F.col("literal") == F.col("_shared")) & (F.col("kind") != "pem"), "left_anti")
 
 
+def _delimited(text: str, first: int, last: int) -> bool:
+    """Whether a short value stands alone: not joined to a word, but behind '=' and before a full stop."""
+    before = text[first - 1 : first]
+    if before in _JOINS and before != "=":
+        return False
+    after = text[last : last + 1]
+    return after not in _JOINS or after in ".!?" and not text[last + 1 : last + 2].strip()
+
+
 class Automaton:
     """All occurrences of many values in a text: their heads in an Aho-Corasick automaton, the rest
     compared where a head stands. An occurrence inside a longer word is none."""
@@ -398,17 +409,21 @@ class Automaton:
     def find(self, text: str) -> list[tuple[int, int, str, str]]:
         if self.empty:
             return []
-        found, reach = [], -1
+        met = []
         for end, (head, own) in self.machine.iter(text):
             first = end - len(head) + 1
-            if first < reach or first and text[first - 1].isalnum():
+            if first and text[first - 1].isalnum():
                 continue
             for v in own:
                 last = first + len(v)
-                if text.startswith(v, first) and not (last < len(text) and text[last].isalnum()):
-                    found.append((first, last, "known", v))
-                    reach = last
+                if text.startswith(v, first) and not (last < len(text) and text[last].isalnum()) and (len(v) >= RESCAN_LENGTH or _delimited(text, first, last)):
+                    met.append((first, -last, v))
                     break
+        found, reach = [], -1
+        for first, last, v in sorted(met):  # a short head ends before a long one that begins earlier
+            if first >= reach:
+                reach = -last
+                found.append((first, reach, "known", v))
         return found
 
 
@@ -425,13 +440,13 @@ def find(sources: DataFrame | None, variables: DataFrame | None) -> DataFrame:
     spark = some.sparkSession
     cuts = Cuts(spark, "secrets")
     confirmed = cuts.cut(confirm(cuts.cut(index_literals(sources, variables))))
-    values = cuts.cut(confirmed.filter(f"kind <> 'pem' and length(literal) >= {RESCAN_LENGTH}").select("literal").distinct())
+    values = cuts.cut(confirmed.filter("kind <> 'pem'").select("literal").distinct())
     n = values.count()
     blocks = max(1, -(-n // BLOCK_VALUES))
     out = confirmed
     for block in range(blocks if n else 0):
         part = values.filter(F.pmod(F.xxhash64("literal"), F.lit(blocks)) == block) if blocks > 1 else values
-        sent = spark.sparkContext.broadcast([r[0] for r in part.toLocalIterator()])  # about BLOCK_VALUES values
+        sent = spark.sparkContext.broadcast([r[0] for r in part.toLocalIterator() if len(r[0]) >= RESCAN_LENGTH or is_password(r[0])])  # about BLOCK_VALUES values
 
         def rescan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             machine = Automaton(sent.value)

@@ -65,6 +65,30 @@ def test_long_lines_take_time_in_proportion(unit):
     assert took[1] < 24 * max(took[0], 0.02)
 
 
+def test_every_word_of_the_rules_is_a_trigger():
+    import re
+
+    calls = "login logon signin sign_in authenticate connect password passwd credential credentials basicauth basic_auth".split()
+    told = "log-in login sign-in signin logon password passphrase passwd pass credential credentials".split()
+    lines = [f'db.{w}("db1", "svc", "Tr0ub4dor!")' for w in calls] + [f'{w} = "Tr0ub4dor!"' for w in s._SECRET_WORDS] + [f"{w} for the box: admin / Tr0ub4dor!" for w in told] + ['GITHUB_PAT = "Tr0ub4dor!"', "run -u=svc:Tr0ub4dor!", "h: Bearer\t587wydaDvu4RlSGb8FGHHLYv9N674K8gI9Vf8Cr6"]
+    for line in lines:
+        assert s._lines_of_interest(line) == [(0, len(line))], line
+        assert any(v == "Tr0ub4dor!" or v.startswith("587w") for *_, v in s.candidates(line)), line
+    assert all(re.search(s._CALL, f"{w}(x)") for w in calls)
+
+
+def test_short_values_again():
+    machine = s.Automaton(["ab1!x", "(ab1!x)foo9", "Harbor-ferry5784"])
+    assert [v for *_, v in machine.find("see ab1!x. ab1!x, 'ab1!x' k=ab1!x;")] == ["ab1!x"] * 4
+    assert not machine.find("a-ab1!x ab1!x-b ab1!xy yab1!x ab1!x.com $ab1!x x/ab1!x/y")
+    assert [v for *_, v in machine.find("x (ab1!x)foo9 y")] == ["(ab1!x)foo9"]
+
+
+def test_short_values_in_tables(spark):
+    src = spark.createDataFrame([("r/a.env", bytearray(b"password=ab1!x\n")), ("r/b.txt", bytearray(b"nothing\nsee ab1!x there\nnot ab1!x-y\n")), ("q/c.txt", bytearray(b"u = 'redis://u:plum@h.test/1'\na plum here"))], "path string, content binary")
+    assert {(r.record_key, r.line_no) for r in s.find(src, None).collect()} == {("r/a.env", 1), ("r/b.txt", 2), ("q/c.txt", 1)}
+
+
 def test_automaton_equals_search():
     rng = random.Random(2)
     values = list({"".join(rng.choice("abAB12") for _ in range(rng.randint(8, 12))) for _ in range(60)})
