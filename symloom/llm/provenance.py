@@ -22,7 +22,7 @@ from symloom.tables import one_per_key
 
 KINDS = ("generated", "minified", "vendored", "data")
 DATA = KINDS.index("data")
-#: A data file has at least this share of its text in rows of nothing but literals.
+#: A data file has at least this share of its text in rows of nothing but literals and their keys.
 TABLE_SHARE = 0.5
 #: Files that the classifiers are fitted on, drawn by a hash of the path.
 SAMPLE = 4000
@@ -34,24 +34,39 @@ SLICE = 2_000_000
 HELD_OUT = 4
 #: Hashed dimensions: n-grams of the text, then components of the path.
 TEXT_DIMS, PATH_DIMS = 1 << 15, 1 << 12
+#: Value of a component of the path, however deep the path is.
+PATH_SCALE = 0.35
 #: Lengths of the n-grams.
 GRAMS = (3, 5)
 #: Passes over the sample in the first and the second fit, step and decay.
 EPOCHS, STEP, DECAY = (7, 10), 0.6, 2e-5
 
-# What tools, and people who copy code, write above it.
+# Published conventions for what a tool writes above its output, and what people write above a
+# copy. Each stands for a statement about this file, so the first is read at the beginning of a comment line;
+# a comment that merely speaks of generated code elsewhere makes none. All take time linear in the line.
 _HEADER = re.compile(
-    r"code generated by\b.*do not edit|@generated\b|<auto-?generated|auto-?generated (?:file|code|by)|automatically generated|\bgenerated (?:code\b|from \S+|by \S+)|produced by the \w+ compiler"
-    r"|(?:edit|change)s? (?:is|will be|are) (?:over-?written|lost)|nicht von hand|do not (?:edit|modify)",
+    r"^[\W_]*(?:code |(?:this|the) \w+ (?:was |is |has been )(?:automatically |auto-?)?|auto-?|automatically )?generated\b(?! (?:files?|code|sources?) [a-z])"
+    r"|^[\W_]*(?:produced|emitted|created|written) by (?:the |a )?[\w.-]+ (?:compiler|generator|tool)\b"
+    r"|@generated\b|\bdo not (?:edit|modify)\b|\b(?:edits?|changes?) (?:is|are|will be) (?:over-?written|lost|discarded)\b|\bnicht von hand\b|\bne pas modifier\b|\bno editar\b",
     re.I,
 )
-_COPIED = re.compile(r"verbatim copy of|imported unchanged from|taken from \S+, local modifications|vendored from|copied from \S+ \d|see the upstream project|send patches upstream|copyright \(c\) [\d, -]+ the \w+ authors", re.I)
-_BANNER = re.compile(r"\A\s*/\*!")
+_COPIED = re.compile(
+    r"^[\W_]*(?:(?:verbatim|unmodified|exact) copy|(?:imported|copied|vendored|taken|borrowed|adapted)(?: \w+)? from)\b|\bupstream (?:project|sources?|repository)\b|\bpatches upstream\b|\bcopyright \(c\) [\d, -]+ the \w+ authors\b",
+    re.I,
+)
+#: Whatever one of these patterns matches holds one of these, in small letters: substring searches are cheaper.
+_HINTS = tuple(b"generated|produced by|emitted by|created by|written by|do not |edit|change|von hand|ne pas |no editar|upstream|copy|imported|copied|vendored|taken|borrowed|adapted".split(b"|"))
 _GENERATED_NAME = re.compile(r"\.pb\.\w+$|_pb2(?:_grpc)?\.pyi?$|_pb\.js$|\.g\.\w+$|[._-]gen(?:erated)?\.\w+$|_string\.go$|(?:^|/)(?:mock_|zz_generated)|(?:^|/)(?:__generated__|generated|autogen|gen)/", re.I)
 _MINIFIED_NAME = re.compile(r"[.-]min\.(?:js|css|mjs)$|\.[0-9a-f]{6,20}\.(?:js|css)$", re.I)
 _VENDORED_PATH = re.compile(r"(?:^|/)(?:vendor|_?vendored|node_modules|bower_components|godeps/_workspace|third[_-]?party|3rd[_-]?party|external|extern|deps|site-packages|dist-packages|contrib/upstream|\.cargo/registry|go/pkg/mod|gems|\.m2|jspm_packages)/", re.I)
-_COMMENT = re.compile(r"\s*(?://|#|/\*|\*|--|;|<!--|\"\"\")")
-_LITERAL_ROW = re.compile(rb"^[ \t]*[\[({]*[ \t]*(?:(?:0x[0-9a-fA-F]+|-?\d[\d._eE+-]*|\"[^\"]*\"|'[^']*'|b\"[^\"]*\")[ \t]*[,;+]?[ \t]*)+[\])}]*[,;+]?[ \t\r]*$", re.M)
+_COMMENT = re.compile(rb"\s*(?://|#|/\*|\*|--|;|<!--|\"\"\")")
+# A row of nothing but literals, brackets and separators. No two alternatives begin alike and all are possessive, so
+# a line is read once, whatever it holds.
+_LITERALS = rb"(?:[ \t\[\](){},;+]++|-?(?:0x[0-9a-fA-F]++|\d[\d._eE+-]*+)|b?\"[^\"\n]*+\"|'[^'\n]*+')++"
+_LITERAL_ROW = re.compile(rb"^(?=[^\n]*[\d\"'])" + _LITERALS + rb"[ \t\r]*+$", re.M)
+# The same with keys before the literals, or behind an assignment's name: rows of maps, and tables on one line.
+_KEYED = rb"(?:[ \t\[\](){},;+]++|[:=]>?|-?(?:0x[0-9a-fA-F]++|\d[\d._eE+-]*+)|b?\"[^\"\n]*+\"|'[^'\n]*+')++"
+_KEYED_ROW = re.compile(rb"^(?=[^\n]*[\d\"'])(?:[ \t]*+(?:[A-Za-z_][\w.]*+[ \t]++){0,3}[A-Za-z_][\w.]*+(?:\[[^\]\n]*+\])?[\w.]*+[ \t]*+:?=(?=[ \t]*+[\w*.]*+[\[({])(?:[ \t]*+\[\w*+\][\w.*]++)?+)?+" + _KEYED + rb"[ \t\r]*+$", re.M)
 
 
 def clean_path(path: str | None) -> str:
@@ -64,20 +79,20 @@ def clean_path(path: str | None) -> str:
 def split_head(text: bytes) -> tuple[list[bytes], int]:
     """The comment lines at the top of a file, and where the rest begins."""
     lines, at = [], 3 if text.startswith(b"\xef\xbb\xbf") else 0
-    while at < len(text) and len(lines) < 40:
+    while at < len(text):
         end = text.find(b"\n", at)
         end = len(text) if end < 0 else end
         line = text[at:end]
-        if line.strip() and not _COMMENT.match(line[:400].decode("utf-8", "replace")):
+        if line.strip() and not _COMMENT.match(line):
             break
         lines.append(line)
         at = end + 1
     return lines, min(at, len(text))
 
 
-def literal_share(text: bytes) -> float:
-    """Share of a text that stands in rows of nothing but literals."""
-    return sum(m.end() - m.start() for m in _LITERAL_ROW.finditer(text)) / max(1, len(text))
+def literal_share(text: bytes, keyed: bool = False) -> float:
+    """Share of a text that stands in rows of nothing but literals; with `keyed`, of keys and literals."""
+    return sum(m.end() - m.start() for m in (_KEYED_ROW if keyed else _LITERAL_ROW).finditer(text)) / max(1, len(text))
 
 
 def giveaways(text: bytes | None, path: str, absolute: str) -> set[str]:
@@ -91,10 +106,10 @@ def giveaways(text: bytes | None, path: str, absolute: str) -> set[str]:
         found.add("vendored")
     if text:
         head, begin = split_head(text)
-        top = b"\n".join(head).decode("utf-8", "replace")
-        if _HEADER.search(top) and not re.search(r"lives elsewhere|feeds the", top):
+        top = [line.decode("utf-8", "replace") for line in _hinted(head)]
+        if any(_HEADER.search(line) for line in top):
             found.add("generated")
-        if _COPIED.search(top):
+        if any(_COPIED.search(line) for line in top):
             found.add("vendored")
         body = text[begin:]
         lines = body.count(b"\n") + 1
@@ -107,14 +122,30 @@ def giveaways(text: bytes | None, path: str, absolute: str) -> set[str]:
 
 
 def masked(text: bytes) -> bytes:
-    """The text without its leading comments and without any line that gives its kind away; digits as one."""
+    """The text without its leading comments and without what gives its kind away: a comment line with such a
+    phrase goes, elsewhere (a line may be the whole file) the phrase does; digits as one."""
     _, begin = split_head(text)
     body = text[begin:]
-    if re.search(rb"generat|edit|upstream|copy|unchanged", body, re.I):
-        body = b"\n".join(line for line in body.split(b"\n") if not (len(line) < 400 and (_HEADER.search(s := line.decode("utf-8", "replace")) or _COPIED.search(s))))
+    lines = body.split(b"\n")
+    if told := set(_hinted(lines)):
+        body = b"\n".join(_bare(line) if line in told else line for line in lines)
     return body.translate(_DIGITS, b"\r")
 
 
+def _hinted(lines: list[bytes]) -> list[bytes]:
+    """The lines that may give something away."""
+    low = b"\n".join(lines).lower()
+    words = [w for w in _HINTS if w in low]
+    return [line for line, own in zip(lines, low.split(b"\n")) if any(w in own for w in words)] if words else []
+
+
+def _bare(line: bytes) -> bytes:
+    text = line.decode("utf-8", "surrogateescape")
+    if not (_HEADER.search(text) or _COPIED.search(text)):
+        return line
+    return b"" if _COMMENT.match(line) else _COPIED.sub("", _HEADER.sub("", text)).encode("utf-8", "surrogateescape")
+
+
 _DIGITS = bytes(48 if 48 <= i <= 57 else i for i in range(256))
 
 
@@ -192,13 +223,13 @@ class Model:
         out = np.tile(self.weights[-1], (len(paths), 1)).astype(np.float32)
         for i, (path, absolute) in enumerate(paths):
             own = path_features(path, absolute)
-            out[i] += self.weights[own].sum(axis=0) / len(own) ** 0.5
+            out[i] += self.weights[own].sum(axis=0) * PATH_SCALE
         return out
 
 
 def _sparse(text: bytes | None, path: str, absolute: str) -> tuple[np.ndarray, np.ndarray]:
     own = np.array(path_features(path, absolute), dtype=np.int64)
-    value = np.full(len(own), len(own) ** -0.5, dtype=np.float32)
+    value = np.full(len(own), PATH_SCALE, dtype=np.float32)
     if not text:
         return own, value
     grams, _, sizes = gram_rows([text])
@@ -329,7 +360,7 @@ def classify(files: DataFrame, sources: DataFrame, model: Model | None = None) -
         for batch in batches:
             contents = [bytes(c) for c in batch.content]
             scores = held.text_scores([masked(c) for c in contents]) if contents else np.zeros((0, len(KINDS)))
-            table = [literal_share(c) >= TABLE_SHARE for c in contents]
+            table = [literal_share(c, keyed=True) >= TABLE_SHARE for c in contents]
             yield pd.DataFrame({"path": batch.path, "scores": list(scores.astype(float)), "table": table})
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -66,3 +66,33 @@ def test_long_files_are_summed_over_slices(monkeypatch):
     whole = model.scores([text, b"abc", None, b""], [("a/b.go", "")] * 4)
     monkeypatch.setattr(p, "SLICE", 7_000)
     assert np.abs(model.scores([text, b"abc", None, b""], [("a/b.go", "")] * 4) - whole).max() < 2e-2
+
+
+def test_patterns_take_time_in_proportion_to_a_line():
+    import time
+
+    lines = [b"1" * 10_000 + b"a", b'"a"' * 5000 + b"x", b"'" * 20_001, b"0123456789012345678901234567890123abcdef  file.txt\n" * 300, b"[(" * 9000 + b"q", b"1 " * 9000 + b"z", b"- " * 9000, b"const " * 5000 + b"=", b"code generated by " * 3000, b"// generated " * 3000, b'a="' * 5000, b" " * 20_000 + b"x", b"copied from " * 3000]
+    for line in lines:
+        began = time.perf_counter()
+        p.literal_share(line), p.literal_share(line, True), p.masked(line), p.giveaways(line, "a/b.go", "")
+        assert time.perf_counter() - began < 1, line[:20]
+
+
+def test_literal_rows():
+    for row in (b"1, 2, 3,", b'"a", "b"', b"{1, 2}, {3, 4},", b"[0x1F, -2.5e3];"):
+        assert p.literal_share(row) == 1
+    for row in (b'"AD": "Andorra",', b"'a' => 1,", b"const T = [1, 2, 3];", b"var x = []float64{1, 2}", b"static const int T[] = {1, 2};"):
+        assert p.literal_share(row) == 0 and p.literal_share(row, True) == 1
+    for row in (b"foo(1)", b"x = 5", b"return x", b"", b"{ }", b"a, b"):
+        assert p.literal_share(row, True) == 0
+
+
+def test_heads_and_lines_of_any_length():
+    licence = b"// a line of a licence\n" * 200
+    assert p.giveaways(licence + b"// Code generated by x. DO NOT EDIT.\npackage a\n", "a/b.go", "") == {"generated"}
+    assert p.masked(licence + b"// Code generated by x. DO NOT EDIT.\npackage a\n") == b"package a\n"
+    assert b"DO NOT EDIT" not in p.masked(b"a();" * 300 + b"/* DO NOT EDIT */" + b"b();" * 300) and b"b();" in p.masked(b"a();" * 300 + b"/* DO NOT EDIT */b();")
+    for line in (b"// Generated from a.idl", b"# <auto-generated/>", b"/* @generated */", b"// AUTOGENERATED FILE.", b"// This file was automatically generated on 2020-01-01", b"// Produced by the x compiler"):
+        assert p.giveaways(line + b"\nx\n", "a/b.go", "") == {"generated"}, line
+    for line in (b"// Walks the generated files below x.", b"// The generator reads this file.", b"// Copies from one to another."):
+        assert p.giveaways(line + b"\nx\n", "a/b.go", "") == set(), line
