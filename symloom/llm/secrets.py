@@ -1,9 +1,9 @@
 """Credentials in source code and configuration: find them corpus-wide and mask them (problem 4).
 
-Three steps. Literals that stand where a secret would stand are indexed from all files and variables;
-literals that many owners share are placeholders, samples or defaults and are suppressed; what is rare
-and structured enough is confirmed. Then every file and variable is scanned again for the confirmed
-values with an automaton, so that a secret is also found where nothing around it gives it away.
+Three steps. Literals that stand where a secret would stand are indexed from all files and variables. Every
+file and variable is scanned again for these values with an automaton, so that a value is also found where
+nothing around it gives it away. Values that many owners have, anywhere in the corpus, are placeholders,
+samples or defaults and are suppressed; the places of all that is rare and structured enough are confirmed.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ import base64
 import binascii
 import bisect
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,10 +27,14 @@ SHARED_SHARE, SHARED_LEAST = 0.02, 5
 RESCAN_LENGTH = 8
 #: Characters that a word goes on with: between two of them a short value is a part of something else.
 _JOINS = frozenset("_-.$@#%&+*/\\~!?^=")
-#: Confirmed values in one automaton; more are looked for in further scans over the files.
-BLOCK_VALUES = 200_000
-#: Characters of a value's head that the automaton holds; the rest is compared in place.
-HEAD = 8
+#: Values that one automaton holds (about 10 MB). More are looked for with a filter of FILTER_BITS bits for values
+#: and their heads, which is of a fixed size, and a join with the values: one scan for any number of them.
+BLOCK_VALUES, FILTER_BITS = 200_000, 1 << 27
+#: Characters of a value's head that the automaton holds; the rest is compared in place. Characters of the part that
+#: the join compares; the rest of a longer value is compared after it.
+HEAD, JOINED = 8, 256
+#: A longer value is no password that someone chose; it is a token if it looks drawn at random.
+LONGEST = 200
 
 SPANS = "origin string, record_key string, version bigint, owner string, line_no bigint, first int, last int, kind string, literal string"
 
@@ -62,9 +68,8 @@ _LITERAL = re.compile(_STRING)
 # What a comment tells: 'login for the box: admin / value', 'the password is value'.
 _PROSE = re.compile(r"\b(?:log-?in|sign-?in|logon|pass(?:word|phrase|wd)?|credentials?)\b", re.I)
 _PROSE_PAIR = re.compile(r"(?<=[\w.@-])\s+/\s+(?P<value>[^\s\"'`,;]+)")
-_PROSE_IS = re.compile(r"[^\n/:=]{0,20}\s(?:is|was)\s+[\"']?(?P<value>[^\s\"'`,;]+)", re.I)
-#: Characters between such a word and the user name before the stroke.
-PROSE_REACH = 60
+_PROSE_IS = re.compile(r"\s(?:is|was)\s+[\"']?(?P<value>[^\s\"'`,;]+)", re.I)
+_PROSE_END = re.compile(r"[/:=]|[.;!?](?=\s|$)")
 # Key material that is meant to be public.
 _PUBLIC = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*(?:PUBLIC KEY|CERTIFICATE|CERTIFICATE REQUEST|CRL|DH PARAMETERS)[A-Z ]*-----.*?-----END [A-Z0-9 ]+-----", re.S)
 _CAMEL = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -113,8 +118,10 @@ def is_random(value: str) -> bool:
 
 def is_password(value: str) -> bool:
     """Whether a value could be a chosen or generated password: one word with digits or signs in it."""
-    if not 5 <= len(value) <= 200 or re.search(r"\s", value) or is_elsewhere(value):
+    if len(value) < 5 or re.search(r"\s", value) or is_elsewhere(value):
         return False
+    if len(value) > LONGEST:
+        return is_random(value)
     if re.fullmatch(r"[a-z]+(?:[-_./][a-z]+)*|[A-Z_]+|[\d.,:]+|v?\d+(?:\.\d+)+|\d+[smhd]", value):
         return False
     return bool(re.search(r"[A-Za-z]", value)) and bool(re.search(r"[0-9!$#%^&*+?~@=]", value) or is_random(value))
@@ -227,26 +234,31 @@ def _line(text: str, a: int, b: int, add) -> None:
 
 
 def _told(line: str) -> Iterator[re.Match]:
-    """What stands after a word for a login: 'user / value' behind it, or 'is value'."""
-    pairs: list[tuple[int, int, re.Match]] | None = None
-    at = n = 0
-    for m in _PROSE.finditer(line):
+    """What stands after a word for a login, within the same sentence: 'user / value' behind it, or 'is value'."""
+    words = list(_PROSE.finditer(line))
+    if not words:
+        return
+    pairs, says = list(_PROSE_PAIR.finditer(line)), list(_PROSE_IS.finditer(line))
+    if not pairs and not says:
+        return
+    ends = [m.start() for m in _PROSE_END.finditer(line)]
+    strokes, verbs = [m.start() for m in pairs], [m.start() for m in says]
+    at = 0
+    for m in words:
         k = m.end()
         if m.start() < at:
             continue
-        if pairs is None:
-            pairs = []
-            for p in _PROSE_PAIR.finditer(line):
-                a = p.start()
-                while a > 0 and (line[a - 1] in ".@-_" or line[a - 1].isalnum()):
-                    a -= 1
-                pairs.append((p.start(), a, p))
-        while n < len(pairs) and pairs[n][0] <= k:
-            n += 1
-        if n < len(pairs) and pairs[n][1] - PROSE_REACH <= k and line.find("/", k, pairs[n][0]) < 0:
-            told = pairs[n][2]
+        told = None
+        n = bisect.bisect_right(strokes, k)
+        e = bisect.bisect_left(ends, k)
+        while e < len(ends) and line[ends[e]] in ":=":  # 'login: admin / value'
+            e += 1
+        if n < len(pairs) and (e == len(ends) or pairs[n].start() <= ends[e] <= pairs[n].start("value")):
+            told = pairs[n]
         else:
-            told = _PROSE_IS.match(line, k)
+            n, e = bisect.bisect_left(verbs, k), bisect.bisect_left(ends, k)
+            if n < len(says) and (e == len(ends) or verbs[n] < ends[e]):
+                told = says[n]
         if told:
             yield told
             at = told.end()
@@ -286,8 +298,8 @@ def _assigned(text: str, m: re.Match, end: int, add) -> bool:
         return False
     first = m.start("value")
     raw = text[first:end]
-    if text[first] not in "\"'`" and len(raw.rstrip(",;)}]")) > 200 and not (how == "key" and re.fullmatch(r"[A-Za-z0-9+/_=.~-]++[,;)}\]]*", raw)):
-        return False  # too long for a password, and no key by its letters
+    if text[first] not in "\"'`" and len(raw.rstrip(",;)}]")) > LONGEST and not re.fullmatch(r"[A-Za-z0-9+/_=.~-]++[,;)}\]]*", raw):
+        return False  # too long for a password, and no token by its letters
     if raw[0] == "=":
         return False  # a comparison, or padding
     if raw[0] in "\"'`":
@@ -371,13 +383,13 @@ def index_literals(sources: DataFrame | None, variables: DataFrame | None) -> Da
     return _pieces(sources, variables).mapInPandas(_extract, SPANS)
 
 
-def confirm(index: DataFrame) -> DataFrame:
-    """The places whose literal is not shared widely. Owners are counted per literal over the whole
+def confirm(places: DataFrame) -> DataFrame:
+    """The places whose literal is not shared widely. Owners are counted per literal over all places in the
     corpus: first distinct (literal, owner), so that a literal that stands everywhere is no hot group."""
-    owners = index.filter("kind <> 'pem'").select("literal", "owner").distinct().groupBy("literal").agg(F.count("*").alias("_owners"))
-    total = index.select("owner").distinct().agg(F.count("*").alias("_total"))
+    owners = places.filter("kind <> 'pem'").select("literal", "owner").distinct().groupBy("literal").agg(F.count("*").alias("_owners"))
+    total = places.select("owner").distinct().agg(F.count("*").alias("_total"))
     shared = owners.join(F.broadcast(total), F.col("_owners") >= F.greatest(F.lit(SHARED_LEAST), F.col("_total") * SHARED_SHARE)).select(F.col("literal").alias("_shared"))
-    return index.join(shared, (F.col("literal") == F.col("_shared")) & (F.col("kind") != "pem"), "left_anti")
+    return places.join(shared, (F.col("literal") == F.col("_shared")) & (F.col("kind") != "pem"), "left_anti")
 
 
 def _delimited(text: str, first: int, last: int) -> bool:
@@ -396,12 +408,12 @@ class Automaton:
     def __init__(self, values: list[str]):
         import ahocorasick
 
-        by_head: dict[str, list[str]] = {}
+        by_head: dict[str, set[str]] = {}
         for v in values:
-            by_head.setdefault(v[:HEAD], []).append(v)
+            by_head.setdefault(v[:HEAD], set()).add(v)
         self.machine = ahocorasick.Automaton()
-        for head, own in by_head.items():
-            self.machine.add_word(head, (head, sorted(own, key=len, reverse=True)))
+        for head, own in by_head.items():  # tokens of one issuer share a head: lengths are tried, not values
+            self.machine.add_word(head, (head, sorted({len(v) for v in own}, reverse=True), own))
         if by_head:
             self.machine.make_automaton()
         self.empty = not by_head
@@ -410,21 +422,105 @@ class Automaton:
         if self.empty:
             return []
         met = []
-        for end, (head, own) in self.machine.iter(text):
+        for end, (head, lengths, own) in self.machine.iter(text):
             first = end - len(head) + 1
             if first and text[first - 1].isalnum():
                 continue
-            for v in own:
-                last = first + len(v)
-                if text.startswith(v, first) and not (last < len(text) and text[last].isalnum()) and (len(v) >= RESCAN_LENGTH or _delimited(text, first, last)):
-                    met.append((first, -last, v))
+            for n in lengths:
+                last = first + n
+                if (value := text[first:last]) in own and not (last < len(text) and text[last].isalnum()) and (n >= RESCAN_LENGTH or _delimited(text, first, last)):
+                    met.append((first, last, value))
                     break
-        found, reach = [], -1
-        for first, last, v in sorted(met):  # a short head ends before a long one that begins earlier
-            if first >= reach:
-                reach = -last
-                found.append((first, reach, "known", v))
-        return found
+        return apart(met)
+
+
+def apart(met: list[tuple[int, int, str]]) -> list[tuple[int, int, str, str]]:
+    """Occurrences of which none overlaps another: the first, then the longest, wins."""
+    found, reach = [], -1
+    for first, last, v in sorted(met, key=lambda x: (x[0], -x[1])):
+        if first >= reach:
+            reach = last
+            found.append((first, last, "known", v))
+    return found
+
+
+# ------------------------------------------------------------------------- more values than an automaton holds
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashes(codes: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each run of `length` characters."""
+    n = max(0, len(codes) - length + 1)
+    h = np.full(n, length, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(length):
+            h = (h ^ codes[k : k + n]) * _MIX
+            h ^= h >> np.uint64(29)
+    return h
+
+
+def _hash(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) << 32 | zlib.adler32(text.encode("utf-8", "surrogatepass"))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+
+
+def _spots(h: int) -> tuple[int, int]:
+    """Two bits of the filter for a hash."""
+    h = (h * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+    return h % FILTER_BITS, (h >> 32) * 2654435761 % FILTER_BITS
+
+
+def _bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(word, mask): the bits that some values set in the filter, for their heads and for their first JOINED characters."""
+    for batch in batches:
+        words: dict[int, int] = {}
+        for v in batch.literal:
+            head = v[:HEAD]
+            for spot in (*_spots(int(_hashes(_codes(head), len(head))[0])), *_spots(_hash(v[:JOINED]))):
+                words[spot >> 6] = words.get(spot >> 6, 0) | 1 << (spot & 63)
+        yield pd.DataFrame({"word": list(words), "mask": np.array(list(words.values()), dtype=np.uint64).view(np.int64)})
+
+
+class Filter:
+    """What may be a value in a text, by a filter of fixed size."""
+
+    def __init__(self, words: np.ndarray, masks: np.ndarray):
+        self.words = np.zeros(FILTER_BITS >> 6, dtype=np.uint64)
+        self.words[words] = masks
+
+    def has(self, h: int) -> bool:
+        return all(int(self.words[s >> 6]) >> (s & 63) & 1 for s in _spots(h))
+
+    def find(self, text: str) -> Iterator[tuple[int, str]]:
+        """(first, slice) of every part of a text between word bounds that may be a value's first JOINED characters."""
+        codes = _codes(text)
+        word = np.fromiter((c.isalnum() for c in text), dtype=bool, count=len(text))
+        starts = np.ones(len(text), dtype=bool)
+        starts[1:] = ~word[:-1]
+        ends = np.append(np.flatnonzero(~word), len(text)) if len(text) else np.zeros(0, dtype=np.int64)
+        for length in range(5, HEAD + 1):
+            h = _hashes(codes, length)
+            at = np.flatnonzero(starts[: len(h)])
+            with np.errstate(over="ignore"):
+                m = h[at] * _MIX
+                one, two = m % np.uint64(FILTER_BITS), (m >> np.uint64(32)) * np.uint64(2654435761) % np.uint64(FILTER_BITS)
+            hit = np.ones(len(at), dtype=bool)
+            for s in (one, two):
+                hit &= (self.words[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63)) & np.uint64(1)).astype(bool)
+            for first in at[hit].tolist():
+                if length < HEAD:
+                    lasts = [first + length]
+                else:  # a value ends before a character that is no letter or digit
+                    near = ends[np.searchsorted(ends, first + HEAD) :]
+                    near = near[near < first + JOINED].tolist()
+                    lasts = sorted({first + HEAD, *near, min(first + JOINED, len(text))})
+                for last in lasts:
+                    if first + length <= last and self.has(_hash(text[first:last])):
+                        yield first, text[first:last]
 
 
 def find(sources: DataFrame | None, variables: DataFrame | None) -> DataFrame:
@@ -439,18 +535,33 @@ def find(sources: DataFrame | None, variables: DataFrame | None) -> DataFrame:
     some = sources if sources is not None else variables
     spark = some.sparkSession
     cuts = Cuts(spark, "secrets")
-    confirmed = cuts.cut(confirm(cuts.cut(index_literals(sources, variables))))
-    values = cuts.cut(confirmed.filter("kind <> 'pem'").select("literal").distinct())
-    n = values.count()
-    blocks = max(1, -(-n // BLOCK_VALUES))
-    out = confirmed
-    for block in range(blocks if n else 0):
-        part = values.filter(F.pmod(F.xxhash64("literal"), F.lit(blocks)) == block) if blocks > 1 else values
-        sent = spark.sparkContext.broadcast([r[0] for r in part.toLocalIterator() if len(r[0]) >= RESCAN_LENGTH or is_password(r[0])])  # about BLOCK_VALUES values
-
-        def rescan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+    pieces = _pieces(sources, variables)
+    index = cuts.cut(index_literals(sources, variables))
+    values = cuts.cut(index.filter("kind <> 'pem'").select("literal").distinct().mapInPandas(_worth, "literal string"))
+    places = index.unionByName(cuts.cut(rescan(pieces, values)))
+    confirmed = confirm(places)
+    # A key with several contents is one record, the one with the greatest hash; there are few such keys.
+    versions = pieces.groupBy("origin", "record_key").agg(F.max("version").alias("_version"), F.min("version").alias("_other")).filter("_version <> _other").select(F.col("origin").alias("_origin"), F.col("record_key").alias("_key"), "_version")
+    joined = confirmed.join(versions, (F.col("origin") == F.col("_origin")) & (F.col("record_key") == F.col("_key")), "left")
+    return joined.filter("_version is null or _version = version").drop("_origin", "_key", "_version")
+
+
+def _worth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The values that are looked for again: all but short plain words."""
+    for batch in batches:
+        yield batch[[len(v) >= RESCAN_LENGTH or is_password(v) for v in batch.literal]]
+
+
+def rescan(pieces: DataFrame, values: DataFrame) -> DataFrame:
+    """Every place of a value of `values` (literal, distinct), kind 'known'. Either way gives the same places: an
+    automaton where one holds all values, else a filter and a join, so that the values never meet on one machine."""
+    spark = pieces.sparkSession
+    columns = [c.split()[0] for c in SPANS.split(", ")]
+    if values.count() <= BLOCK_VALUES:
+        sent = spark.sparkContext.broadcast([r[0] for r in values.toLocalIterator()])
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             machine = Automaton(sent.value)
-            columns = [c.split()[0] for c in SPANS.split(", ")]
             for batch in batches:
                 rows: list[tuple] = []
                 for origin, key, version, owner, body in batch[["origin", "record_key", "version", "owner", "body"]].itertuples(index=False):
@@ -460,8 +571,43 @@ def find(sources: DataFrame | None, variables: DataFrame | None) -> DataFrame:
                         rows += _rows_of(origin, key, version, owner_of(owner), text, spans)
                 yield pd.DataFrame(rows, columns=columns)
 
-        out = out.unionByName(_pieces(sources, variables).mapInPandas(rescan, SPANS))
-    return out
+        return pieces.mapInPandas(scan, SPANS)
+    bits = values.mapInPandas(_bits, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most FILTER_BITS / 64 rows
+    held = spark.sparkContext.broadcast((bits["word"].to_numpy(), bits["mask"].to_numpy().view(np.uint64)))
+    longest = int(values.agg(F.max(F.length("literal"))).first()[0])
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sieve = Filter(*held.value)
+        for batch in batches:
+            rows: list[tuple] = []
+            for origin, key, version, owner, body in batch[["origin", "record_key", "version", "owner", "body"]].itertuples(index=False):
+                text = decode(body)
+                for first, part in sieve.find(text):
+                    line = text.count("\n", 0, first) + 1 if origin == "source" else 0
+                    rows.append((origin, key, version, owner_of(owner), line, first, _clean(part), _clean(text[first : first + longest + 2]) if len(part) == JOINED else _clean(text[first : first + len(part) + 2]), _clean(text[first - 1 : first])))
+            yield pd.DataFrame(rows, columns=[*columns[:6], "part", "rest", "before"])
+
+    near = pieces.mapInPandas(pick, ", ".join(SPANS.split(", ")[:6]) + ", part string, rest string, before string")
+    wanted = values.select("literal", F.substring("literal", 1, JOINED).alias("part"))
+    met = near.join(wanted, "part").filter(F.startswith("rest", "literal"))
+    grouped = met.groupBy("origin", "record_key", "version", "owner").agg(F.collect_list(F.struct("first", "line_no", "literal", "rest", "before")).alias("met"))  # bounded by the record
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for origin, key, version, owner, own in batch[["origin", "record_key", "version", "owner", "met"]].itertuples(index=False):
+                at, lines = [], {}
+                for m in own:
+                    v, text = m["literal"], m["before"] + m["rest"]
+                    a = len(m["before"])
+                    after = text[a + len(v) : a + len(v) + 1]
+                    if not after.isalnum() and (len(v) >= RESCAN_LENGTH or _delimited(text, a, a + len(v))):
+                        at.append((m["first"], m["first"] + len(v), v))
+                        lines[m["first"]] = m["line_no"]
+                rows += [(origin, key, version, owner, lines[a], a, b, kind, v) for a, b, kind, v in apart(at)]
+            yield pd.DataFrame(rows, columns=columns)
+
+    return grouped.mapInPandas(settle, SPANS)
 
 
 _MASKED = re.compile(r"[^\s\"'`+\\]")
@@ -490,7 +636,7 @@ def redact(sources: DataFrame | None, variables: DataFrame | None) -> DataFrame:
     # The spans of one file are bounded by the file, which is one row already.
     per = spans.groupBy("origin", "record_key", "version").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
     joined = _pieces(sources, variables).join(per, ["origin", "record_key", "version"])
-    # Only records that hold a secret are brought together; of several contents the greatest counts.
+    # Only records that hold a secret are brought together; find() has chosen one content of each, which may be repeated.
     one = joined.groupBy("origin", "record_key").agg(F.max(F.struct("body", "firsts", "lasts")).alias("r")).select("origin", "record_key", "r.*")
 
     def mask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

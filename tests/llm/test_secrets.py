@@ -125,3 +125,65 @@ def test_table(spark):
     assert b"BEGIN RSA PRIVATE KEY" in masked["r/key.pem"] and b"MIIE" not in masked["r/key.pem"]
     assert masked["v1"] == b'"' + b"x" * 16 + b'" + "' + b"x" * 20 + b'"'
     assert s.find(src.limit(0), var.limit(0)).count() == 0
+
+
+LONG = "".join(chr(97 + i * 7 % 26) + str(i * 31 % 10) for i in range(300))
+
+
+@pytest.mark.parametrize("value", [LONG[:180], LONG[:200], LONG[:202], LONG[:260], LONG])
+def test_values_of_any_length(value):
+    for line in (f'auth_token = "{value}"', f"auth_token = {value}", f'api_key: "{value}"'):
+        assert [c[3] for c in s.candidates(line)] == [value]
+
+
+@pytest.mark.parametrize("between", ["", " for the box", " for the staging box behind the second gate of the northern yard, as of today"])
+def test_prose_reaches_to_the_end_of_the_sentence(between):
+    assert [c[3] for c in s.candidates(f"# the password{between} is hunt3r!2.")] == ["hunt3r!2"]
+    assert [c[3] for c in s.candidates(f"# login{between}: admin / hunt3r!2")] == ["hunt3r!2"]
+    assert s.candidates(f"# the password{between} is kept. The key is v2!beta") == []
+
+
+def test_prose_takes_time_in_proportion_to_a_line():
+    import time
+
+    for line in ("login " * 20_000, "login is " * 9000, "password is a / b " * 5000, "login: " * 9000 + " x / y1!"):
+        began = time.perf_counter()
+        s.candidates(line)
+        assert time.perf_counter() - began < 1
+
+
+def test_both_ways_to_look_again_agree(spark, monkeypatch):
+    """Values that an automaton holds, and the same by filter and join: heads that many share, short and long values."""
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice("abcdefXYZ0189") for _ in range(n))
+    values = {some(n) + rng.choice(["", "!", "_1"]) for n in (5, 6, 7, 8, 9, 20, 255, 256, 257, 400) for _ in range(6)} | {"eyJhbGci" + some(n) + "." + some(9) for n in (3, 30, 300) for _ in range(8)} | {"p@ss-w0rd", "p@ss-w0rd-long"}
+    values = sorted(values)
+    texts = []
+    for n in range(120):
+        parts = [rng.choice([rng.choice(values), rng.choice(values)[:-1], rng.choice(values) + "x", some(4), "p@ss-w0rd-longer", "\n", "ä é", "𝕏"]) for _ in range(12)]
+        texts.append((f"r{n % 7}/f{n}", bytearray(rng.choice([" ", "=", "\"", "\n", "", "-"]).join(parts).encode())))
+    texts += [("r/none", bytearray(b"")), ("r/bytes", bytearray(b"\xff\xfe " + values[-1].encode() + b" \xff"))]
+    pieces = s._pieces(spark.createDataFrame(texts, "path string, content binary"), spark.createDataFrame([("v1", "x", "r1/f", f"'{values[3]}'")], "id string, name string, file_path string, initial_value string"))
+    wanted = spark.createDataFrame([(v,) for v in values], "literal string")
+    one = sorted(map(tuple, s.rescan(pieces, wanted).collect()))
+    monkeypatch.setattr(s, "BLOCK_VALUES", 0)
+    many = sorted(map(tuple, s.rescan(pieces, wanted).collect()))
+    assert one == many and len(one) > 200
+
+
+def test_owners_are_counted_over_all_places(spark):
+    """A value that one file assigns and many repositories merely hold is shared widely."""
+    rows = [(f"repo{n}/a.txt", bytearray(b"see Zq81LmTw29 there")) for n in range(40)] + [("repo0/b.py", bytearray(b'password = "Zq81LmTw29"\npassword = "Kd72LmQw81"\n'))]
+    found = s.find(spark.createDataFrame(rows, "path string, content binary"), None)
+    assert {r.literal for r in found.collect()} == {"Kd72LmQw81"}
+
+
+def test_one_content_of_a_path_counts(spark):
+    """Of several contents of a path both queries take the same one."""
+    rows = [("a/x.py", bytearray(b'password = "Kd72LmQw81"\n')), ("a/x.py", bytearray(b'\npassword = "Rt55PpQw81"\n')), ("a/x.py", bytearray(b"nothing\n"))]
+    sources = spark.createDataFrame(rows, "path string, content binary")
+    places = {(r.line_no, r.literal) for r in s.find(sources, None).collect()}
+    masks = [bytes(r.redacted) for r in s.redact(sources, None).collect()]
+    newest = max(rows, key=lambda r: spark.createDataFrame([r], "path string, content binary").selectExpr("xxhash64(content) h").first().h)[1]
+    assert len(places) == (b"password" in newest) and len(masks) == len(places)
+    assert all(m.replace(b"xxxxxxxxxx", b"") in bytes(newest).replace(b"Kd72LmQw81", b"").replace(b"Rt55PpQw81", b"") for m in masks)
