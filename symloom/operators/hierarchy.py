@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from symloom.session import Cuts
 
+
 def parent_links(df: DataFrame, parent: str, child: str, order: str | None = None) -> DataFrame:
-    """(node, parent, ord): every id that stands in either column, once, with its one parent or null.
+    """(node, parent, ord, inner): every id that stands in either column, once, with its one parent or null, and
+    whether it is a parent itself.
 
     A null parent says that there is none, a null child says nothing of a child (its parent is still a
     node). A link delivered twice counts once. Should a node have several parents, the one with the
@@ -16,16 +18,16 @@ def parent_links(df: DataFrame, parent: str, child: str, order: str | None = Non
     circle of one.
     """
     rank = F.col(order).cast("long") if order else F.lit(None).cast("long")
-    links = df.select(F.col(child).alias("node"), F.col(parent).alias("parent"), rank.alias("ord"))
-    down = links.filter(F.col("node").isNotNull())
-    # Its parents are also nodes: both facts are folded in one aggregate, so the ids shuffle once.
-    up = links.filter(F.col("parent").isNotNull()).select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("long").alias("ord"))
+    link = F.struct(F.col(child).alias("node"), F.col(parent).alias("parent"), rank.alias("ord"), F.lit(False).alias("inner"))
+    # The parent is a node too: both facts come from one scan and meet in one aggregate, so the ids shuffle once.
+    above = F.struct(F.col(parent).alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("long").alias("ord"), F.col(child).isNotNull().alias("inner"))
+    facts = df.select(F.inline(F.array(link, above))).filter("node is not null")
     best = F.min(F.when(F.col("parent").isNotNull(), F.struct(F.coalesce("ord", F.lit(2**62)).alias("o"), F.col("parent").alias("p"), F.col("ord").alias("ord"))))
-    return down.unionByName(up).groupBy("node").agg(best.alias("_best")).select("node", F.col("_best.p").alias("parent"), F.col("_best.ord").alias("ord"))
+    return facts.groupBy("node").agg(best.alias("_best"), F.max("inner").alias("inner")).select("node", F.col("_best.p").alias("parent"), F.col("_best.ord").alias("ord"), "inner")
 
 
 def resolve(links: DataFrame, with_path: bool = False, max_rounds: int = 40) -> DataFrame:
-    """(node, root_id, depth[, path]) of every node in `links` (node, parent[, ord]).
+    """(node, root_id, depth[, path]) of every node in `links` (node, parent, inner), as parent_links() makes them.
 
     Pointer doubling: each node keeps a pointer to an ancestor and its distance; a round replaces the
     pointer by the pointer's own, so distances double and a tree of depth d takes log2(d) rounds. A
@@ -33,53 +35,38 @@ def resolve(links: DataFrame, with_path: bool = False, max_rounds: int = 40) ->
     empty, no greater depth can occur. Nodes on a circle or below one get root_id '' and depth -1 (and
     a null path; a path is the array of ids from the root down to the node).
 
-    Only inner nodes take part in the rounds; leaves are attached with one join at the end. A node whose
-    chain ended leaves the rounds, but stays where others look their pointers up. The looked-up side is
-    unique by node; a hot ancestor loads the other side only, which AQE splits. `max_rounds` is no
-    bound on the data: 2^40 levels.
+    Only inner nodes take part in the rounds; leaves are attached with one join at the end. A round is one job: it
+    reads the open rows and writes them again, those whose chain ended into a part of their own that no later round
+    writes again. The looked-up side is unique by node; a hot ancestor loads the other side only, which AQE splits,
+    and few open rows are broadcast by their known size. `max_rounds` is no bound on the data: 2^40 levels.
     """
-    spark = links.sparkSession
-    cuts = Cuts(spark, "hierarchy")
-    links = cuts.cut(links.select("node", "parent"))
-    segment = [F.array("node").alias("path")] if with_path else []
-    inner_ids = links.filter(F.col("parent").isNotNull()).select(F.col("parent").alias("node")).distinct()
-    inner = links.join(inner_ids, "node", "left_semi")
-    # far: the ancestor reached, null once the chain ended; top: the highest node known so far.
-    state = cuts.cut(inner.select("node", F.col("parent").alias("far"), F.when(F.col("parent").isNull(), F.col("node")).alias("root_id"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("hops"), *segment))
-    open_before = state.filter(F.col("root_id").isNull()).count()
+    cuts = Cuts(links.sparkSession, "hierarchy")
+    links = cuts.cut(links.select("node", "parent", "inner"))
+    path = ["path"] if with_path else []
+    # far: the ancestor reached; hops: how far off it is; path: the ids below it.
+    roots = links.filter("inner and parent is null").select("node", F.col("node").alias("root_id"), F.lit(0).cast("long").alias("hops"), *[F.array("node").alias(p) for p in path])
+    opened = links.filter("inner and parent is not null").select("node", F.col("parent").alias("far"), F.lit(1).cast("long").alias("hops"), *[F.array("node").alias(p) for p in path])
+    ended = roots
     for _ in range(max_rounds):
-        if not open_before:
-            break
-        there = state.select(F.col("node").alias("far"), F.col("far").alias("_far"), F.col("root_id").alias("_root"), F.col("hops").alias("_hops"), *([F.col("path").alias("_path")] if with_path else []))
-        moved = state.filter(F.col("root_id").isNull()).join(there, "far", "inner").select(
-            "node",
-            F.col("_far").alias("far"),
-            F.col("_root").alias("root_id"),
-            (F.col("hops") + F.col("_hops")).alias("hops"),
-            *([F.concat("_path", "path").alias("path")] if with_path else []),
-        )
-        before, state = state, cuts.cut(state.filter(F.col("root_id").isNotNull()).unionByName(moved))
-        cuts.drop(before)
-        still = state.filter(F.col("root_id").isNull()).count()
-        if still == open_before:
+        null = F.lit(None).cast("string")
+        there = ended.select(F.col("node").alias("far"), null.alias("_far"), F.col("root_id").alias("_root"), F.col("hops").alias("_hops"), *[F.col(p).alias("_path") for p in path])
+        there = there.unionByName(opened.select(F.col("node").alias("far"), F.col("far").alias("_far"), null.alias("_root"), F.col("hops").alias("_hops"), *[F.col(p).alias("_path") for p in path]))
+        moved = opened.join(there, "far").select("node", F.col("_far").alias("far"), F.col("_root").alias("root_id"), (F.col("hops") + F.col("_hops")).alias("hops"), *[F.concat("_path", p).alias(p) for p in path], F.col("_root").isNotNull().alias("ended"))
+        (done, still), parts = cuts.split(moved, "ended")
+        if done:
+            ended = ended.unionByName(parts[0].select("node", "root_id", "hops", *path))
+        opened = parts[1].select("node", "far", "hops", *path) if still else None
+        if not still or not done:
             break
-        open_before = still
-    known = state.select(F.col("node").alias("_inner"), "root_id", "hops", *(["path"] if with_path else []))
-    leaves = links.join(inner_ids, "node", "left_anti")
-    attached = leaves.join(known, F.col("parent") == F.col("_inner"), "left").select(
-        "node",
-        F.when(F.col("parent").isNull(), F.col("node")).otherwise(F.col("root_id")).alias("root_id"),
-        F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.col("hops") + 1).alias("hops"),
-        *([F.when(F.col("parent").isNull(), F.array("node")).otherwise(F.concat("path", F.array("node"))).alias("path")] if with_path else []),
-    )
-    both = state.select("node", "root_id", "hops", *(["path"] if with_path else [])).unionByName(attached)
+    leaves = links.filter("not inner")
+    lone = leaves.filter("parent is null").select("node", F.col("node").alias("root_id"), F.lit(0).cast("long").alias("hops"), *[F.array("node").alias(p) for p in path])
+    known = ended.select(F.col("node").alias("parent"), "root_id", "hops", *path)
+    attached = leaves.filter("parent is not null").join(known, "parent", "left").select("node", "root_id", (F.col("hops") + 1).alias("hops"), *[F.concat(p, F.array("node")).alias(p) for p in path])
+    both = ended.unionByName(lone).unionByName(attached)
+    if opened is not None:  # on a circle, or below one
+        both = both.unionByName(opened.select("node", F.lit(None).cast("string").alias("root_id"), "hops", *path))
     lost = F.col("root_id").isNull()
-    return both.select(
-        F.col("node").alias("node_id"),
-        F.coalesce("root_id", F.lit("")).alias("root_id"),
-        F.when(lost, F.lit(-1)).otherwise(F.col("hops")).cast("long").alias("depth"),
-        *([F.when(~lost, F.col("path")).alias("path")] if with_path else []),
-    )
+    return both.select(F.col("node").alias("node_id"), F.coalesce("root_id", F.lit("")).alias("root_id"), F.when(lost, F.lit(-1)).otherwise(F.col("hops")).cast("long").alias("depth"), *[F.when(~lost, F.col(p)).alias(p) for p in path])
 
 
 def descendants(links: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8, memory: str = "8g", app: str = "symloom") -> SparkSession:
@@ -88,6 +89,22 @@ class Cuts:
         back._symloom_path = path
         return back
 
+    def split(self, df: DataFrame, flag: str) -> tuple[tuple[int, int], tuple[DataFrame, DataFrame]]:
+        """(how many rows have the flag and how many have not, the two parts): one job, which also counts.
+
+        The parts are tables of their own, so that Spark knows the size of each. Rows without a value count as
+        those that have not.
+        """
+        self.count += 1
+        path = f"{self.base}/{self.count:04d}"
+        seen = Observation()
+        kept = df.withColumn(flag, F.coalesce(flag, F.lit(False)))
+        kept.observe(seen, F.count_if(F.col(flag)).alias("yes"), F.count_if(~F.col(flag)).alias("no")).write.mode("overwrite").partitionBy(flag).parquet(path)
+        counts = (int(seen.get["yes"]), int(seen.get["no"]))
+        schema = kept.drop(flag).schema
+        parts = tuple(self.spark.read.schema(schema).parquet(f"{path}/{flag}={value}") if n else self.spark.createDataFrame([], schema) for value, n in zip(("true", "false"), counts))
+        return counts, parts
+
     def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "_symloom_path", None)
         if path:
