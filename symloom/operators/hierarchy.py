@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from symloom.session import Cuts
 
 
+#: Lookups in one round.
+JUMPS = 3
+
+
 def parent_links(df: DataFrame, parent: str, child: str, order: str | None = None) -> DataFrame:
     """(node, parent, ord, inner): every id that stands in either column, once, with its one parent or null, and
     whether it is a parent itself.
@@ -29,16 +33,17 @@ def parent_links(df: DataFrame, parent: str, child: str, order: str | None = Non
 def resolve(links: DataFrame, with_path: bool = False, max_rounds: int = 40) -> DataFrame:
     """(node, root_id, depth[, path]) of every node in `links` (node, parent, inner), as parent_links() makes them.
 
-    Pointer doubling: each node keeps a pointer to an ancestor and its distance; a round replaces the
-    pointer by the pointer's own, so distances double and a tree of depth d takes log2(d) rounds. A
-    round that ends no chain proves that the open ones run in circles: with depths in (2^k, 2^(k+1)]
-    empty, no greater depth can occur. Nodes on a circle or below one get root_id '' and depth -1 (and
-    a null path; a path is the array of ids from the root down to the node).
+    Pointer doubling: each node keeps a pointer to an ancestor and its distance; a lookup adds the pointer
+    found there. A round of JUMPS lookups in the same table multiplies distances by JUMPS + 1 (two doublings), so a
+    tree of depth d takes log4(d) rounds. A round that ends no chain proves that the open ones run in circles: with
+    depths in (4^k, 4^(k+1)] empty, no greater depth can occur. Nodes on a circle or below one get root_id '' and
+    depth -1 (and a null path; a path is the array of ids from the root down to the node).
 
     Only inner nodes take part in the rounds; leaves are attached with one join at the end. A round is one job: it
     reads the open rows and writes them again, those whose chain ended into a part of their own that no later round
-    writes again. The looked-up side is unique by node; a hot ancestor loads the other side only, which AQE splits,
-    and few open rows are broadcast by their known size. `max_rounds` is no bound on the data: 2^40 levels.
+    writes again. The looked-up side is unique by node and shuffled once a round; a hot ancestor loads the other side
+    only, which AQE splits, and few open rows are broadcast by their known size. `max_rounds` is no bound on the
+    data: 4^40 levels.
     """
     cuts = Cuts(links.sparkSession, "hierarchy")
     links = cuts.cut(links.select("node", "parent", "inner"))
@@ -46,16 +51,22 @@ def resolve(links: DataFrame, with_path: bool = False, max_rounds: int = 40) ->
     # far: the ancestor reached; hops: how far off it is; path: the ids below it.
     roots = links.filter("inner and parent is null").select("node", F.col("node").alias("root_id"), F.lit(0).cast("long").alias("hops"), *[F.array("node").alias(p) for p in path])
     opened = links.filter("inner and parent is not null").select("node", F.col("parent").alias("far"), F.lit(1).cast("long").alias("hops"), *[F.array("node").alias(p) for p in path])
+    null = F.lit(None).cast("string")
     ended = roots
     for _ in range(max_rounds):
-        null = F.lit(None).cast("string")
-        there = ended.select(F.col("node").alias("far"), null.alias("_far"), F.col("root_id").alias("_root"), F.col("hops").alias("_hops"), *[F.col(p).alias("_path") for p in path])
-        there = there.unionByName(opened.select(F.col("node").alias("far"), F.col("far").alias("_far"), null.alias("_root"), F.col("hops").alias("_hops"), *[F.col(p).alias("_path") for p in path]))
-        moved = opened.join(there, "far").select("node", F.col("_far").alias("far"), F.col("_root").alias("root_id"), (F.col("hops") + F.col("_hops")).alias("hops"), *[F.concat("_path", p).alias(p) for p in path], F.col("_root").isNotNull().alias("ended"))
-        (done, still), parts = cuts.split(moved, "ended")
+        there = ended.select(F.col("node").alias("_at"), null.alias("_far"), F.col("root_id").alias("_root"), F.col("hops").alias("_hops"), *[F.col(p).alias("_path") for p in path])
+        there = there.unionByName(opened.select(F.col("node").alias("_at"), F.col("far").alias("_far"), null.alias("_root"), F.col("hops").alias("_hops"), *[F.col(p).alias("_path") for p in path]))
+        moved = opened.withColumn("root_id", null)
+        for _ in range(JUMPS):
+            # Ended rows look up an id of their own that there is not, so that they do not meet in one task.
+            key = F.coalesce("far", F.concat(F.lit("\0"), "node"))
+            moved = moved.withColumn("_key", key).join(there, F.col("_key") == F.col("_at"), "left").select(
+                "node", F.col("_far").alias("far"), F.coalesce("root_id", "_root").alias("root_id"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), *[F.when(F.col("_path").isNull(), F.col(p)).otherwise(F.concat("_path", p)).alias(p) for p in path]
+            )
+        (done, still), (more, rest) = cuts.split(moved.withColumn("ended", F.col("root_id").isNotNull()), "ended", "rounds")
         if done:
-            ended = ended.unionByName(parts[0].select("node", "root_id", "hops", *path))
-        opened = parts[1].select("node", "far", "hops", *path) if still else None
+            ended = roots.unionByName(more.select("node", "root_id", "hops", *path))
+        opened = rest.select("node", "far", "hops", *path) if still else None
         if not still or not done:
             break
     leaves = links.filter("not inner")

@@ -89,21 +89,21 @@ class Cuts:
         back._symloom_path = path
         return back
 
-    def split(self, df: DataFrame, flag: str) -> tuple[tuple[int, int], tuple[DataFrame, DataFrame]]:
-        """(how many rows have the flag and how many have not, the two parts): one job, which also counts.
+    def split(self, df: DataFrame, flag: str, name: str) -> tuple[tuple[int, int], tuple[DataFrame, DataFrame]]:
+        """(rows with the flag, rows without), (all rows with it so far under `name`, those without it now): one job.
 
-        The parts are tables of their own, so that Spark knows the size of each. Rows without a value count as
-        those that have not.
+        Rows with the flag are added to what earlier calls wrote; each part is a table of its own, so that Spark
+        knows its size. Rows without a value count as those that have not.
         """
         self.count += 1
-        path = f"{self.base}/{self.count:04d}"
-        seen = Observation()
-        kept = df.withColumn(flag, F.coalesce(flag, F.lit(False)))
-        kept.observe(seen, F.count_if(F.col(flag)).alias("yes"), F.count_if(~F.col(flag)).alias("no")).write.mode("overwrite").partitionBy(flag).parquet(path)
+        path, seen = f"{self.base}/{name}", Observation()
+        kept = df.withColumn("_no", ~F.coalesce(flag, F.lit(False))).drop(flag).withColumn("_part", F.lit(self.count))
+        kept.observe(seen, F.count_if(~F.col("_no")).alias("yes"), F.count_if(F.col("_no")).alias("no")).write.mode("append").partitionBy("_no", "_part").parquet(path)
         counts = (int(seen.get["yes"]), int(seen.get["no"]))
-        schema = kept.drop(flag).schema
-        parts = tuple(self.spark.read.schema(schema).parquet(f"{path}/{flag}={value}") if n else self.spark.createDataFrame([], schema) for value, n in zip(("true", "false"), counts))
-        return counts, parts
+        schema = kept.drop("_no", "_part").schema
+        self.yes = getattr(self, "yes", 0) + counts[0]
+        where = (f"{path}/_no=false", f"{path}/_no=true/_part={self.count}")
+        return counts, tuple(self.spark.read.schema(schema).parquet(w) if n else self.spark.createDataFrame([], schema) for w, n in zip(where, (self.yes, counts[1])))
 
     def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "_symloom_path", None)
