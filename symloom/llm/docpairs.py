@@ -8,24 +8,29 @@ that make no statement are dropped before too, so that they take no function's p
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import nsmallest
 from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symloom.session import Cuts
 from symloom.tables import one_per_key
 
-#: Lines of a file that are matched together. A hot file is many segments; links span REACH lines only.
-SEGMENT = 400
+#: Lines of a file that are matched together. A hot file is many segments; links span REACH lines only. What stands
+#: within MARGIN lines of a border is seen from both sides, so that both know its neighbours.
+SEGMENT, MARGIN = 400, 12
 #: Farthest distance in lines between a comment and the function it may belong to.
 REACH = 3
-#: Weights of a link, and the least weight of a plausible one.
-OWNED, TAG, NAMED, NEAR, LEAST = 6.0, 1.5, 3.0, 2.0, 1.5
+#: Weights of a link, and the least weight of a plausible one. A function's own text outweighs any comment.
+OWNED, TAG, NAMED, NEAR, LEAST = 12.0, 1.5, 3.0, 2.0, 1.5
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 _MARK = re.compile(r"^\s*(?:/\*\*?|\*/|//[/!]?|\*(?!\w)|#+!?|--|;+|\"\"\"|'''|<!--)?[ \t]*(?:\*(?!\w)|//|#)?[ \t]*")
@@ -35,7 +40,12 @@ _DIRECTIVE = re.compile(
     r"^(?:nolint|lint:|go:\w+|noqa|eslint|jshint|tslint|prettier-ignore|pylint|flake8|mypy:|type: ?ignore|pragma\b|ts-(?:ignore|expect-error|nocheck)|istanbul|c8 ignore|nosec|\+build|build\b ?:|clang-format|region\b|endregion\b|coding[:=]|vim?:|fmt: ?(?:on|off)|yapf:|isort:|cspell|sonar|suppress|spdx)",
     re.I,
 )
-_NOTICE = re.compile(r"^(?:deprecated\b|copyright\b|\(c\)|©|licen[sc]ed? under|all rights reserved|see (?:the )?licen[sc]e|confidential|internal use only|proprietary|author:|@author|since:|@since|version:|generated by|code generated|auto-?generated)|\ball rights reserved\b", re.I)
+# A notice is a clause: what its sentence says beyond it stays ('Deprecated: use B, which retries twice').
+_NOTICE = re.compile(
+    r"^(?:deprecated\b|copyright\b|\(c\)|©|licen[sc]ed? under\b|confidential\b|internal use only\b|proprietary\b|@?author\b:?|generated by\b|code generated\b|auto-?generated\b)[^,;.]*(?:\.(?=\w)[^,;.]*)*[,;.]?"
+    r"|^@?(?:since|version)\b[:\s]*v?\d[\w.-]*\.?$|^@?since\b[:\s]*\w+$|^see (?:the )?licen[sc]e(?: file| text|\.\w+)?(?: (?:for|in)\b.*)?[.]?$|^all rights reserved[.!]?$",
+    re.I,
+)
 _MARKER = re.compile(r"^(?:todo|fixme|xxx|hack|bug|note|nb|review|optimi[sz]e)\b(?:\([^)]*\))?[:!.\s-]*", re.I)
 _TO_DO = re.compile(r"^(?:please )?(?:(?:write|add|fill in|complete|improve|update|fix)\b.{0,14}\b(?:docs?|documentation|comments?|description|docstring)|document(?: (?:this|me|it))?|describe(?: (?:this|me|it))?|implement(?: (?:this|me|it))?|clean ?up|refactor(?: (?:this|me|it))?|remove(?: (?:this|me|it))?|explain|tbd)[.!]?$", re.I)
 _NOTHING = frozenset("undocumented none na tbd todo fixme xxx deprecated inheritdoc nodoc hidden empty missing documentation undescribed unspecified placeholder stub ditto".split())
@@ -44,6 +54,9 @@ _CODE = re.compile(r":=|[=!<>]=|\)\s*\{|[{};]\s*$|^\s*(?:return|if|for|while|fun
 _PART = re.compile(r"[^\W\d_]+", re.U)
 _CAMEL = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+")
 _IDENTIFIER = re.compile(r"[a-z]+[A-Z]\w*|[A-Z][a-z]+[A-Z]\w*|\w+_\w+|\w+\(\)|[A-Z]{2,}\d*")
+# The first word, behind marks and a marker; and a word that can only be a name.
+_FIRST = re.compile(r"\W*(?:(?:todo|fixme|xxx|hack|bug|note|nb|review)\b(?:\([^)\n]*\))?\W*)?(\w+)", re.I)
+_NAME = re.compile(r"[a-z]+[A-Z]\w*|[A-Z][a-z]+[A-Z]\w*|\w*[a-z]_\w+")
 _GENERIC = frozenset(
     "the a an this that these those method methods function functions func procedure routine helper helpers constructor getter setter class type struct interface object value values implementation implements implement of for to and or is are be it its in on with by from as at into "
     "param parameter parameters arg args argument arguments returns return returned result results use used using uses given new i e eg ie see above below here member operation call calls callback handler utility util internal public private static async self".split()
@@ -98,7 +111,15 @@ def statement(text: str | None, name: str = "", signature: str = "", other: str
             if len(said) < 2:
                 continue
             line = rest
-        if _DIRECTIVE.match(line) or _NOTICE.search(line):
+        if _DIRECTIVE.match(line):
+            continue
+        low = line.lower()
+        if "all rights reserved" in low and ("copyright" in low or "(c)" in low or "©" in low):
+            continue
+        noticed = False
+        while line and (notice := _NOTICE.match(line)):
+            line, noticed = line[notice.end() :].strip(), True
+        if noticed and len(_PART.findall(line)) < 2:
             continue
         marked = _MARKER.match(line)
         if marked and re.match(r"[A-Z@!]*\b(?:TODO|FIXME|XXX|HACK|BUG|todo|fixme|Todo)\b", line):
@@ -126,29 +147,37 @@ def statement(text: str | None, name: str = "", signature: str = "", other: str
 # ------------------------------------------------------------------------------------------ assignment
 
 
-def assign(weights: np.ndarray) -> list[tuple[int, int]]:
-    """The assignment of greatest total weight of rows to columns; links of weight <= 0 are left out.
+def assign(links: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """The assignment of greatest total weight among (row, column, weight) links; those of weight <= 0 are left out.
 
-    The Hungarian method with potentials, on the smaller side; links of one component are bounded by the
-    functions and comments of a segment.
+    The Hungarian method over the links of one component. A row needs only as many of its best links as there
+    are rows, as the others take no more columns away; so the work depends on the smaller side.
     """
-    rows, columns = weights.shape
-    if rows == 0 or columns == 0:
-        return []
-    if rows > columns:
-        return [(r, c) for c, r in assign(weights.T)]
-    if rows == 1:
-        c = int(weights[0].argmax())
-        return [(0, c)] if weights[0, c] > 0 else []
-    cost = -np.maximum(weights, 0.0)
-    u, v = np.zeros(rows + 1), np.zeros(columns + 1)
-    match = np.zeros(columns + 1, dtype=int)
-    for i in range(1, rows + 1):
+    links = [x for x in links if x[2] > 0]
+    if len({c for _, c, _ in links}) < len({r for r, _, _ in links}):
+        return [(r, c, w) for c, r, w in assign([(c, r, w) for r, c, w in links])]
+    by_row: dict[int, list[tuple[float, int]]] = {}
+    for r, c, w in links:
+        by_row.setdefault(r, []).append((-w, c))
+    if len(by_row) <= 1:
+        return [(r, min(own)[1], -min(own)[0]) for r, own in by_row.items()]
+    best = {r: nsmallest(len(by_row), own) for r, own in by_row.items()}
+    rows, columns = sorted(best), sorted({c for own in best.values() for _, c in own})
+    at = {c: j for j, c in enumerate(columns)}
+    # Columns of weight 0 at the end, one for each row, so that every row finds one.
+    cost = np.zeros((len(rows), len(columns) + len(rows)))
+    for i, r in enumerate(rows):
+        for w, c in best[r]:
+            cost[i, at[c]] = min(cost[i, at[c]], w)
+    n = cost.shape[1]
+    u, v = np.zeros(len(rows) + 1), np.zeros(n + 1)
+    match = np.zeros(n + 1, dtype=int)
+    for i in range(1, len(rows) + 1):
         match[0] = i
         j0 = 0
-        least = np.full(columns + 1, np.inf)
-        way = np.zeros(columns + 1, dtype=int)
-        used = np.zeros(columns + 1, dtype=bool)
+        least = np.full(n + 1, np.inf)
+        way = np.zeros(n + 1, dtype=int)
+        used = np.zeros(n + 1, dtype=bool)
         while True:
             used[j0] = True
             i0 = match[j0]
@@ -167,7 +196,7 @@ def assign(weights: np.ndarray) -> list[tuple[int, int]]:
         while j0:
             match[j0] = match[way[j0]]
             j0 = way[j0]
-    return [(int(match[j]) - 1, j - 1) for j in range(1, columns + 1) if match[j] and weights[match[j] - 1, j - 1] > 0]
+    return [(rows[match[j] - 1], columns[j - 1], -float(cost[match[j] - 1, j - 1])) for j in range(1, len(columns) + 1) if match[j] and cost[match[j] - 1, j - 1] < 0]
 
 
 def _weight(function: tuple, text: tuple) -> float:
@@ -193,43 +222,76 @@ def _weight(function: tuple, text: tuple) -> float:
         known = set(re.findall(r"\w+", signature or ""))
         hit = sum(t in known for t in tags)
         weight += TAG * (hit - 2 * (len(tags) - hit)) / len(tags)
-    first = re.match(r"\W*(\w+)", raw or "")
+    first = _FIRST.match(raw or "")
     if first and name and first[1].lower() == name.lower():
         weight += NAMED
-    elif first and owner is None and _IDENTIFIER.fullmatch(first[1]) and name and not _parts(first[1]) & _parts(name):
+    elif first and owner is None and _NAME.fullmatch(first[1]) and name and not _parts(first[1]) & _parts(name):
         weight -= NAMED  # it speaks of another function
     return weight if weight >= LEAST else 0.0
 
 
-def match_segment(functions: list[tuple], texts: list[tuple]) -> Iterator[tuple[str, str, str, float]]:
-    """(function id, description, source, weight) of one segment of a file."""
+def match_segment(functions: list[tuple], texts: list[tuple]) -> Iterator[tuple[int, int, str, float]]:
+    """(function, text, description, weight), by their numbers, of one segment of a file.
+
+    A comment is a candidate for the functions of the first line with any that begins after it, and for the
+    last ones before it (as a docstring). A comment with the words of a function's own text is that text.
+    """
     by_owner: dict[str, list[int]] = {}
     free = []
     for t, text in enumerate(texts):
         if text[8] is not None:
             by_owner.setdefault(text[8], []).append(t)
-        else:
+        elif text[4] is not None and text[5] is not None:
             free.append(t)
-    links: list[tuple[int, int, float]] = []
-    near: dict[int, list[int]] = {}
-    for t in free:
-        if texts[t][5] is not None:
-            for line in range(texts[t][5] - 1, texts[t][5] + REACH + 2):
-                near.setdefault(line, []).append(t)
-            for line in range(texts[t][4] - 3, texts[t][4]):
-                near.setdefault(line, []).append(t)
     said: dict[tuple[int, int], str] = {}
+    links: list[tuple[int, int, float]] = []
+
+    def link(f: int, t: int) -> float:
+        weight = _weight(functions[f], texts[t])
+        if weight > 0:
+            words = statement(texts[t][6], functions[f][2] or "", functions[f][3] or "", texts[t][2] or "")
+            if words:
+                said[f, t] = words
+                links.append((f, t, weight))
+                return weight
+        return 0.0
+
+    # A text of its own is linked to no other function and outweighs all comments: any best assignment has the
+    # heaviest, so those functions and texts are settled before the rest is solved.
+    settled: set[int] = set()
+    for f, function in enumerate(functions):
+        own = [(link(f, t), t) for t in by_owner.get(function[1], ())]
+        weight, t = max(own, default=(0.0, 0))
+        if weight > 0:
+            settled.add(f)
+            yield f, t, said[f, t], weight
+    if not free:
+        return
+    by_line: dict[int, list[int]] = {}
     for f, function in enumerate(functions):
-        options = set(by_owner.get(function[1], ()))
         if function[4] is not None:
-            options.update(near.get(function[4], ()))
-        for t in options:
-            weight = _weight(function, texts[t])
-            if weight > 0:
-                words = statement(texts[t][6], function[2] or "", function[3] or "", texts[t][2] or "")
-                if words:
-                    said[f, t] = words
-                    links.append((f, t, weight))
+            by_line.setdefault(function[4], []).append(f)
+    lines = sorted(by_line)
+    links.clear()
+    for t in free:
+        first, last = texts[t][4], texts[t][5]
+        near = []
+        k = bisect.bisect_right(lines, last)
+        if k < len(lines) and lines[k] - last - 1 <= REACH:
+            near += by_line[lines[k]]
+        k = bisect.bisect_left(lines, first) - 1
+        if k >= 0:
+            near += by_line[lines[k]]
+        bare = None
+        for f in near:
+            if f in settled and bare is None:
+                bare = _bare(texts[t][6])
+            if f in settled and any(_bare(texts[o][6]) == bare for o in by_owner.get(functions[f][1], ())):
+                break  # that function's own text
+        else:
+            for f in near:
+                if f not in settled:
+                    link(f, t)
     # Components by union of linked functions and texts.
     root = list(range(len(functions) + len(texts)))
 
@@ -242,17 +304,16 @@ def match_segment(functions: list[tuple], texts: list[tuple]) -> Iterator[tuple[
     for f, t, _ in links:
         root[top(f)] = top(len(functions) + t)
     parts: dict[int, list[tuple[int, int, float]]] = {}
-    for link in links:
-        parts.setdefault(top(link[0]), []).append(link)
+    for x in links:
+        parts.setdefault(top(x[0]), []).append(x)
     for own in parts.values():
-        rows, columns = sorted({x[0] for x in own}), sorted({x[1] for x in own})
-        weights = np.zeros((len(rows), len(columns)))
-        r_at, c_at = {f: i for i, f in enumerate(rows)}, {t: i for i, t in enumerate(columns)}
-        for f, t, w in own:
-            weights[r_at[f], c_at[t]] = max(w, weights[r_at[f], c_at[t]])
-        for r, c in assign(weights):
-            f, t = rows[r], columns[c]
-            yield functions[f][1], said[f, t], texts[t][7], float(weights[r, c])
+        for f, t, weight in assign(own):
+            yield f, t, said[f, t], weight
+
+
+def _bare(text: str) -> str:
+    """The letters and digits of a text."""
+    return "".join(_PART.findall(text)).lower()
 
 
 # ------------------------------------------------------------------------------------------ the operator
@@ -295,41 +356,51 @@ _COLUMNS = [c.split()[0] for c in _ROW.split(", ")]
 def _comment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for path, content in zip(batch.path, batch.content):
+        for path, content, version in zip(batch.path, batch.content, batch.version):
             text = bytes(content).decode("utf-8", "replace").lstrip("﻿")
             for first, last, comment in comments_of(text):
-                # Near the end of a segment a comment is offered to both, and kept where it weighs more.
-                for segment in sorted({(last + 1) // SEGMENT, (last + 1 + REACH) // SEGMENT, first // SEGMENT}):
-                    rows.append((path, segment, 1, None, None, None, first, last, comment, "comment", None))
-        yield pd.DataFrame(rows, columns=_COLUMNS).astype({"line": "Int64", "end_line": "Int64", "segment": "int64", "kind": "int32"})
+                # A comment goes to the segments of the functions that it may belong to, and of their neighbours.
+                for segment in sorted({max(0, x) // SEGMENT for x in (first - REACH - MARGIN, first, last + 1, last + 1 + REACH + MARGIN)}):
+                    rows.append((path, segment, 1, None, None, None, first, last, comment, "comment", None, version))
+        yield pd.DataFrame(rows, columns=[*_COLUMNS, "version"]).astype({"line": "Int64", "end_line": "Int64", "segment": "int64", "kind": "int32"})
 
 
-def _match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Segments out of sorted rows; one that goes on in the next batch is carried over."""
+def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments out of sorted rows; one that goes on in the next batch is carried over.
+
+    place is null, but for a comment that another segment sees too: then it says which comment it is.
+    """
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
-            batch = batch.astype({"line": object, "end_line": object}).where(batch.notna(), None)
-            yield from batch[_COLUMNS].itertuples(index=False, name=None)
+            yield from zip(*(batch.column(c).to_pylist() for c in _COLUMNS))
 
     out: list[tuple] = []
-    for _, group in groupby(rows(), key=lambda r: (r[0], r[1])):
+    for (path, segment), group in groupby(rows(), key=lambda r: (r[0], r[1])):
         functions, texts = [], []
         known: set[tuple] = set()
         for r in group:
-            line, end_line = (None if x is None else int(x) for x in (r[6], r[7]))
             if r[2] and r[9] == "comment":  # repeated rows of a file repeat its comments
-                if (line, end_line, r[8]) in known:
+                if (r[6], r[7], r[8]) in known:
                     continue
-                known.add((line, end_line, r[8]))
-            (functions if r[2] == 0 else texts).append((r[0], r[3], r[4], r[5], line, end_line, r[8], r[9], r[10]))
+                known.add((r[6], r[7], r[8]))
+            (functions if r[2] == 0 else texts).append((r[0], *r[3:]))
         if functions and texts:
-            out += match_segment(functions, texts)
+            for f, t, said, weight in match_segment(functions, texts):
+                _, fid, _, _, line, *_ = functions[f]
+                if line is not None and path and line // SEGMENT != segment:
+                    continue  # a neighbour, settled in its own segment
+                first, last, source = texts[t][4], texts[t][5], texts[t][7]
+                both = source == "comment" and (first - REACH - MARGIN) // SEGMENT != (last + 1 + REACH + MARGIN) // SEGMENT
+                out.append((fid, said, source, weight, f"{path}:{first}" if both else None))
         if len(out) > 20_000:
-            yield pd.DataFrame(out, columns=["function_id", "description", "source", "weight"])
+            yield pa.RecordBatch.from_pylist([dict(zip(_MATCHED, r)) for r in out], _MATCH_SCHEMA)
             out = []
-    yield pd.DataFrame(out, columns=["function_id", "description", "source", "weight"])
+    yield pa.RecordBatch.from_pylist([dict(zip(_MATCHED, r)) for r in out], _MATCH_SCHEMA)
+
 
+_MATCHED = ["function_id", "description", "source", "weight", "place"]
+_MATCH_SCHEMA = pa.schema([(c, pa.float64() if c == "weight" else pa.string()) for c in _MATCHED])
 
 FUNCTION_COLUMNS = ["name", "signature", "file_path", "start_line", "end_line", "start_byte", "end_byte", "docstring"]
 
@@ -342,10 +413,13 @@ def describe(functions: DataFrame, symbols: DataFrame, defines: DataFrame, sourc
     not exist give nothing; a function without a file or line can only take texts of its own.
     """
     one = one_per_key(functions, ["id"], FUNCTION_COLUMNS, "updated_at")
-    # Without a line, rows are spread by id; they have no neighbours to be matched with.
+    # Without a line, rows are spread by id; they have no neighbours to be matched with. Near a border a function
+    # and its texts are seen from both sides, if there are comments.
     lined = F.col("start_line").isNotNull() & F.col("file_path").isNotNull()
-    segment = F.when(lined, F.floor(F.col("start_line") / SEGMENT)).otherwise(-1 - F.pmod(F.xxhash64("id"), F.lit(4096))).cast("long")
-    base = one.withColumn("_segment", segment).withColumn("_path", F.coalesce("file_path", F.lit("")))
+    alone = F.array((-1 - F.pmod(F.xxhash64("id"), F.lit(4096))).cast("long"))
+    at = lambda shift: F.floor(F.greatest(F.col("start_line") + shift, F.lit(0)) / SEGMENT).cast("long")
+    seen = F.array_distinct(F.array(at(-MARGIN), at(0), at(MARGIN))) if sources is not None else F.array(at(0))
+    base = one.withColumn("_segment", F.explode(F.when(lined, seen).otherwise(alone))).withColumn("_path", F.coalesce("file_path", F.lit("")))
     null = F.lit(None).cast("string")
     rows = base.select(F.col("_path").alias("file_path"), F.col("_segment").alias("segment"), F.lit(0).alias("kind"), "id", "name", "signature", F.col("start_line").alias("line"), "end_line", null.alias("text"), null.alias("source"), null.alias("owner"))
     docs = base.filter("docstring is not null and trim(docstring) <> ''").select(
@@ -359,11 +433,27 @@ def describe(functions: DataFrame, symbols: DataFrame, defines: DataFrame, sourc
     )
     every = rows.unionByName(docs).unionByName(by_symbol)
     if sources is not None:
-        text = sources.filter("path is not null and content is not null").select("path", F.col("content").cast("binary").alias("content"))
-        every = every.unionByName(text.mapInPandas(_comment_rows, _ROW))
+        text = _texts(sources)
+        comments = text.mapInPandas(_comment_rows, _ROW + ", version bigint")
+        # Of several contents of a path the one with the greatest hash counts, here as in pairs(). They are rare: only
+        # if there are any are the comments, and never the contents, brought together by path.
+        several = Cuts(sources.sparkSession, "docpairs").cut(text.groupBy("path").agg(F.max("version").alias("_version"), F.min("version").alias("_other")).filter("_version <> _other"))
+        if not several.isEmpty():
+            comments = comments.join(several, F.col("file_path") == F.col("path"), "left").filter("_version is null or _version = version")
+        every = every.unionByName(comments.select(*_COLUMNS))
     placed = every.repartition("file_path", "segment").sortWithinPartitions("file_path", "segment", "kind")
-    matched = placed.mapInPandas(_match, "function_id string, description string, source string, weight double")
-    return matched.groupBy("function_id").agg(F.max(F.struct("weight", "description", "source")).alias("m")).select("function_id", "m.description", "m.source", "m.weight")
+    matched = placed.mapInArrow(_match, "function_id string, description string, source string, weight double, place string")
+    if sources is None:
+        return matched.drop("place")
+    # One comment, one function: only those near a border can have been given away twice.
+    near = Cuts(functions.sparkSession, "docpairs").cut(matched)
+    twice = near.filter("place is not null").groupBy("place").agg(F.max(F.struct("weight", "function_id", "description", "source")).alias("m")).select("m.function_id", "m.description", "m.source", "m.weight")
+    return near.filter("place is null").drop("place").unionByName(twice)
+
+
+def _texts(sources: DataFrame) -> DataFrame:
+    rows = sources.filter("path is not null and content is not null").select("path", F.col("content").cast("binary").alias("content"))
+    return rows.withColumn("version", F.xxhash64("content"))
 
 
 def pairs(functions: DataFrame, symbols: DataFrame, defines: DataFrame, sources: DataFrame) -> DataFrame:
@@ -374,7 +464,7 @@ def pairs(functions: DataFrame, symbols: DataFrame, defines: DataFrame, sources:
     """
     found = describe(functions, symbols, defines, sources)
     one = one_per_key(functions, ["id"], FUNCTION_COLUMNS, "updated_at").withColumnRenamed("id", "function_id")
-    text = sources.filter("path is not null and content is not null").groupBy(F.col("path").alias("_path")).agg(F.max(F.col("content").cast("binary")).alias("content"))
+    text = _texts(sources).groupBy(F.col("path").alias("_path")).agg(F.max_by("content", "version").alias("content"))
     size = F.octet_length("content")
     ranged = F.col("start_byte").isNotNull() & (F.col("start_byte") >= 0) & (F.col("end_byte") > F.col("start_byte")) & (F.col("end_byte") <= size)
     by_bytes = F.expr("substring(content, cast(start_byte + 1 as int), cast(end_byte - start_byte as int))")

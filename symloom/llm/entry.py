@@ -11,7 +11,8 @@ from symloom.tables import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docpairs.describe(*(table(spark, sf_dir, t) for t in ("code_functions", "code_symbols", "defines_rel"))).select("function_id")
+    found = docpairs.describe(*(table(spark, sf_dir, t) for t in ("code_functions", "code_symbols", "defines_rel", "code_sources")))
+    return found.filter("source <> 'comment'").select("function_id")  # comments compete, but only own texts count here
 
 
 def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

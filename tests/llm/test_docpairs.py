@@ -45,7 +45,7 @@ def test_assignment_is_the_best_one():
     for _ in range(60):
         rows, columns = rng.randint(1, 5), rng.randint(1, 5)
         w = np.array([[rng.choice([0, 0, 1, 2, 3.5, 7]) for _ in range(columns)] for _ in range(rows)], dtype=float)
-        got = d.assign(w)
+        got = [(r, c) for r, c, _ in d.assign([(r, c, w[r, c]) for r in range(rows) for c in range(columns)])]
         assert len({r for r, _ in got}) == len(got) == len({c for _, c in got})
         small, large = (rows, columns) if rows <= columns else (columns, rows)
         m = w if rows <= columns else w.T
@@ -53,6 +53,26 @@ def test_assignment_is_the_best_one():
         assert abs(sum(w[r, c] for r, c in got) - best) < 1e-9 and all(w[r, c] > 0 for r, c in got)
 
 
+def test_many_functions_on_one_line():
+    """A minified file: the work depends on the smaller side, not on the product."""
+    import time
+
+    fs = [("x.js", f"f{i}", f"f{i}", f"f{i}(a)", 3, 3, None, None, None) for i in range(3000)]
+    own = [("x.js", None, None, None, 3, 3, f"Keeps the rows of {i} sorted.", "docstring", f"f{i}") for i in range(0, 3000, 2)]
+    comments = [("x.js", None, None, None, i, i, f"// f{2 * i + 1} waits for nobody in row {i}.", "comment", None) for i in range(3)]
+    began = time.perf_counter()
+    got = {fs[f][1]: (own + comments)[t][7] for f, t, _, _ in d.match_segment(fs, own + comments)}
+    assert time.perf_counter() - began < 2
+    assert len(got) == 1500 + 3 and all(got[f] == "comment" for f in ("f1", "f3", "f5"))  # by the names in them
+
+
+def test_notices_are_clauses():
+    for text in ("Version: increments on each write so readers can detect races.", "Deprecated: use the v2 client, which retries twice.", "See license server for seat counts before opening a session.", "All rights reserved seats are released after ten minutes."):
+        assert d.statement(text, "f", "func f()"), text
+    for text in ("Version: 1.2.3", "Since: v2", "Deprecated: kept for old callers.", "Deprecated: use pkg.Client instead.", "See the LICENSE file for details.", "All rights reserved.", "(c) 2020 Some Works, all rights reserved.", "Author: Jo Doe", "Generated by x 1.2."):
+        assert d.statement(text, "f", "func f()") == "", text
+
+
 F_SCHEMA = "id string, labels array<string>, name string, signature string, file_path string, start_line long, end_line long, start_byte long, end_byte long, docstring string, updated_at timestamp, text string, source string, owner string, kind int"
 S_SCHEMA = "id string, symbol string, display_name string, documentation string, created_at timestamp"
 
@@ -96,3 +116,49 @@ def test_segments_do_not_lose_functions(spark):
     got = d.describe(spark.createDataFrame(fs, F_SCHEMA), none, spark.createDataFrame([], "start_id string, end_id string"), spark.createDataFrame([("big.go", bytearray(text))], "path string, content binary"))
     rows = got.collect()
     assert len(rows) == n and all(f"Step {r.function_id[1:]} waits" in r.description for r in rows)
+
+
+def test_borders_of_segments(spark):
+    """Functions and comments on all places around a border: each is paired as if there were none."""
+    n = d.SEGMENT
+    fs, lines = [], [""] * (3 * n + 40)
+    for k in (1, 2, 3):
+        for shift in range(-30, 30, 5):
+            at = k * n + shift
+            lines[at - 1] = f"def f{k}_{shift + 30}(a):"
+            if (shift // 5) % 2:
+                lines[at], lines[at + 1] = '    """Waits for nobody,', f'    of {k} and {shift}."""'
+            else:
+                lines[at - 3], lines[at - 2] = "# Keeps the rows,", f"# of {k} and {shift}."
+            fs.append(function(f"f{k}_{shift + 30}", f"f{k}_{shift + 30}", "b.py", at, None))
+    none = spark.createDataFrame([], S_SCHEMA)
+    got = d.describe(spark.createDataFrame(fs, F_SCHEMA), none, spark.createDataFrame([], "start_id string, end_id string"), spark.createDataFrame([("b.py", bytearray("\n".join(lines).encode()))], "path string, content binary")).collect()
+    assert {r.function_id for r in got} == {f[0] for f in fs} and len(got) == len(fs)
+    for r in got:
+        k, shift = r.function_id[1:].split("_")
+        assert r.description.endswith(f"of {k} and {int(shift) - 30}.")
+
+
+def test_comments_stand_in_for_lost_docstrings(spark, data):
+    """Recall on comments: docstrings and links taken away, the comments in the sources must say the same."""
+    from symloom.tables import table
+
+    functions, symbols, defines, sources = (table(spark, data + "/../sf0.01", t) for t in ("code_functions", "code_symbols", "defines_rel", "code_sources"))
+    said = {r.function_id: d._bare(r.description) for r in d.describe(functions, symbols, defines).filter("source = 'docstring'").collect()}
+    blank = functions.withColumn("docstring", functions.docstring.substr(0, 0))
+    again = {r.function_id: d._bare(r.description) for r in d.describe(blank, symbols.limit(0), defines.limit(0), sources).collect()}
+    text = {r.path: d._bare(bytes(r.content).decode("utf-8", "replace")) for r in sources.filter("content is not null").collect()}
+    where = {r.id: r.file_path for r in functions.filter("id is not null").collect()}
+    there = [f for f, words in said.items() if words in text.get(where[f], "")]
+    found = [f for f in there if again.get(f) == said[f]]
+    print(len(said), len(there), len(found), len(again))
+    assert len(there) > 300 and len(found) > 0.95 * len(there)
+
+
+def test_one_content_of_a_path_counts(spark):
+    contents = [b"// Waits for nobody.\nfunc f(a int) {}\n", b"// Keeps the rows sorted.\nfunc f(a int) {}\n", b"\nfunc f(a int) { g() }\n"]
+    rows = spark.createDataFrame([("x.go", bytearray(c)) for c in contents], "path string, content binary")
+    one = bytes(rows.selectExpr("max_by(content, xxhash64(content)) c").first().c)
+    none = spark.createDataFrame([], S_SCHEMA)
+    got = [(r.description, r.code) for r in d.pairs(spark.createDataFrame([function("f", "f", "x.go", 2, None)], F_SCHEMA), none, spark.createDataFrame([], "start_id string, end_id string"), rows).collect()]
+    assert got == [(t[3:], one.decode().split("\n", 1)[1]) for t in [one.decode().split("\n")[0]] if t]
