@@ -101,3 +101,66 @@ def test_short_items_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(k, "BLOCK_WORDS", 2)
     assert find(spark, docs, items) == want
     assert find(spark, [], items) == set() and find(spark, docs, []) == set()
+
+
+def test_seeds_lose_nothing_of_short_items():
+    """Items of 4 to 40 words, a third or more of each in a document, edited as far as allowed: all are found."""
+    rng = random.Random(6)
+    for size in range(4, 41):
+        item = [f"w{size}x{n}" for n in range(size)]
+        block = k.Block([(1, " ".join(item))])
+        for _ in range(40):
+            m = rng.randint(-(-size // 3), size)
+            a = rng.randint(0, size - m)
+            part = item[a : a + m]
+            edits = rng.randint(0, m // (k.EDIT_EVERY - 1))
+            # additions only: all m words stay, between edits the runs are as the bound has them
+            for at in sorted(rng.sample(range(1, m), min(edits, m - 1)), reverse=True):
+                part.insert(at, "zz")
+            found = list(block.scan(["pre " * 9 + " ".join(part) + " post" * 9]))
+            want = k.stretch([0] * 9 + [item.index(w) + 1 if w in item else 0 for w in part], list(range(1, size + 1)), k.tiles([0] * 9 + [item.index(w) + 1 if w in item else 0 for w in part], list(range(1, size + 1)), min(k.MIN_TILE, k.seed_of(size))))
+            if want and want[0] >= size * k.COVERAGE:
+                assert found and found[0][2] == want[0], (size, part)
+            if edits == 0:
+                assert found and found[0][2] == m
+    assert [k.seed_of(n) for n in (1, 3, 4, 6, 7, 9, 10, 12, 13, 18, 19, 60)] == [0, 0, 2, 2, 3, 3, 3, 3, 3, 3, 4, 4]
+
+
+def test_reordered_passages(spark):
+    """Three thirds of an item in another order: found by coverage only, and only if asked for."""
+    item = [f"w{n}" for n in range(30)]
+    texts = {1: " ".join(item[20:29] + item[10:19] + item[:9]), 2: " ".join(item), 3: " x y z u v w o p ".join(" ".join(item[a : a + 4]) for a in (8, 0, 20)), 4: " ".join(reversed(item))}
+    docs = spark.createDataFrame([(d, f"before {t} after", "a") for d, t in texts.items()], "doc_id long, text string, item_id string")
+    items = spark.createDataFrame([(1, " ".join(item), "t")], "item_id long, text string, task string")
+    assert {(r.doc_id, r.in_order) for r in k.leaks(docs, items).collect()} == {(2, True)}
+    found = k.leaks(docs, items, reordered=True)
+    assert {(r.doc_id, r.in_order, r.matched_words) for r in found.collect()} == {(1, False, 27), (2, True, 30)}
+    assert {(r.doc_id, r.n_items, r.n_reordered) for r in k.report(found).collect()} == {(1, 1, 1), (2, 1, 0)}
+
+
+def test_a_weak_flank_hides_nothing():
+    item = list(range(1, 91))
+    core = []
+    for n, w in enumerate(item[20:50]):
+        core.append(w)
+        if n % 5 == 4 and n < 28:
+            core.append(0)  # 30 words with 5 additions
+    alone = k.stretch(core, item)
+    assert alone and alone[0] == 30
+    flanked = item[13:16] + [0, 0] + core
+    assert k.stretch(flanked, item)[0] >= 30
+
+
+def test_tiles_equal_brute_force():
+    """The longest match is always marked first."""
+    rng = random.Random(8)
+    for _ in range(200):
+        a, b = [rng.randint(0, 4) for _ in range(rng.randint(0, 30))], [rng.randint(1, 4) for _ in range(rng.randint(0, 25))]
+        found = k.tiles(a, b, 2)
+        assert all(a[i : i + n] == b[j : j + n] and n >= 2 and 0 not in a[i : i + n] for i, j, n in found)
+        assert len({x for i, _, n in found for x in range(i, i + n)}) == sum(n for *_, n in found) == len({x for _, j, n in found for x in range(j, j + n)})
+        best = max((n for i in range(len(a)) for j in range(len(b)) for n in range(1, min(len(a) - i, len(b) - j) + 1) if a[i : i + n] == b[j : j + n] and 0 not in a[i : i + n]), default=0)
+        assert max((n for *_, n in found), default=0) == (best if best >= 2 else 0)
+        # nothing is left that could be marked
+        used = ({x for i, _, n in found for x in range(i, i + n)}, {x for _, j, n in found for x in range(j, j + n)})
+        assert not any(a[i] and a[i : i + 2] == b[j : j + 2] and a[i + 1] and not used[0] & {i, i + 1} and not used[1] & {j, j + 1} for i in range(len(a) - 1) for j in range(len(b) - 1))
