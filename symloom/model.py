@@ -91,41 +91,78 @@ class Graph:
 
 
 class Catalog:
-    """Declared constraints and indexes: create, drop (each with or without 'if exists'), show, validate."""
+    """Declared constraints and indexes: create, drop (each with or without 'if exists'), show, validate.
+
+    With a folder the entries are a stored table: every change writes a new version beside the old one, and the
+    newest complete version counts, so that another session sees them. Without one they live in this object.
+    """
 
     SCHEMA = "name string, kind string, label string, properties array<string>"
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark, self.folder = spark, folder
         self.entries: dict[str, tuple[str, str, tuple[str, ...]]] = {}
-
-    def create(self, name: str, kind: str, label: str, properties: tuple[str, ...], if_not_exists: bool = False) -> None:
+        self.version = 0
+        if folder:
+            self.version = max(self._versions(), default=0)
+            if self.version:
+                stored = spark.read.schema(self.SCHEMA).parquet(f"{folder}/v{self.version}")
+                self.entries = {r["name"]: (r["kind"], r["label"], tuple(r["properties"])) for r in stored.toLocalIterator()}
+
+    def _versions(self) -> list[int]:
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(self.folder)
+        system = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not system.exists(where):
+            return []
+        names = [s.getPath() for s in system.listStatus(where)]
+        return [int(p.getName()[1:]) for p in names if p.getName()[:1] == "v" and system.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+    def _store(self) -> None:
+        if self.folder:
+            self.version += 1
+            self.show().coalesce(1).write.mode("errorifexists").parquet(f"{self.folder}/v{self.version}")
+
+    def _add(self, name: str, kind: str, label: str, properties: tuple[str, ...], if_not_exists: bool) -> bool:
         if kind not in ("UNIQUE", "EXISTENCE", "NODE_KEY", "BTREE", "FULLTEXT", "TEXT", "LOOKUP"):
             raise ValueError(f"no such kind: {kind}")
         if name in self.entries:
             if not if_not_exists:
                 raise ValueError(f"{name} exists")
-            return
+            return False
         self.entries[name] = (kind, label, properties)
+        return True
+
+    def create(self, name: str, kind: str, label: str, properties: tuple[str, ...], if_not_exists: bool = False) -> None:
+        if self._add(name, kind, label, properties, if_not_exists):
+            self._store()
 
     def drop(self, name: str, if_exists: bool = False) -> None:
-        if self.entries.pop(name, None) is None and not if_exists:
-            raise ValueError(f"{name} does not exist")
+        if self.entries.pop(name, None) is None:
+            if not if_exists:
+                raise ValueError(f"{name} does not exist")
+            return
+        self._store()
 
     def create_all(self) -> None:
-        for name, label, prop in UNIQUE_KEYS:
-            self.create(name, "UNIQUE", label, (prop,), True)
-        for name, label, props in INDEXES:
-            self.create(name, "BTREE", label, props, True)
+        added = [self._add(name, "UNIQUE", label, (prop,), True) for name, label, prop in UNIQUE_KEYS]
+        added += [self._add(name, "BTREE", label, props, True) for name, label, props in INDEXES]
+        if any(added):
+            self._store()
+
+    def drop_all(self) -> None:
+        if self.entries:
+            self.entries.clear()
+            self._store()
 
     def show(self, kind: str | None = None) -> DataFrame:
         rows = [(n, k, label, list(p)) for n, (k, label, p) in sorted(self.entries.items()) if kind is None or (k == kind)]
         return self.spark.createDataFrame(rows, self.SCHEMA)
 
     def missing(self) -> DataFrame:
-        """Declared names that the catalog lacks: a set difference as an anti join."""
-        wanted = self.spark.createDataFrame([(n,) for n, *_ in UNIQUE_KEYS] + [(n,) for n, *_ in INDEXES], "name string")
-        return wanted.join(self.show().select("name"), "name", "left_anti")
+        """(name, kind, label) of what is declared and the catalog lacks: a set difference as an anti join."""
+        declared = [(n, "UNIQUE", label) for n, label, _ in UNIQUE_KEYS] + [(n, "BTREE", label) for n, label, _ in INDEXES]
+        return self.spark.createDataFrame(declared, "name string, kind string, label string").join(self.show().select("name"), "name", "left_anti")
 
 
 def violations(nodes: DataFrame, label: str, key: str) -> DataFrame:

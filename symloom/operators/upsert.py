@@ -25,8 +25,9 @@ def last_of_batch(batch: DataFrame, keys: Sequence[str], order: str, properties:
 def merge(nodes: DataFrame, batch: DataFrame, keys: Sequence[str], order: str, properties: Sequence[str], on_create_only: bool = False) -> DataFrame:
     """MERGE on `keys`, then set: keys that exist get the batch's mentioned properties, others are created.
 
-    All nodes that share a key are updated. Null keys match nothing, so such rows of the batch are
-    created and such nodes stay. With on_create_only existing nodes are left as they are.
+    All nodes that share a key are updated. Null keys match nothing: such nodes stay, and the rows of the batch
+    with the same null key are one new node, as those of any other key are. With on_create_only existing nodes are
+    left as they are.
     """
     new = last_of_batch(batch, keys, order, properties)
     renamed = new.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(p).alias(f"_n_{p}") for p in properties], *[F.col(f"has_{p}").alias(f"_h_{p}") for p in properties], F.lit(True).alias("_new"))
@@ -40,6 +41,19 @@ def merge(nodes: DataFrame, batch: DataFrame, keys: Sequence[str], order: str, p
     return both.select(*out)
 
 
+def replace(nodes: DataFrame, batch: DataFrame, keys: Sequence[str], order: str, properties: Sequence[str]) -> DataFrame:
+    """MERGE on `keys`, then replace: the last row of the batch is all that a node has afterwards.
+
+    Properties that it does not mention (has_<property> is false) or sets to null are gone; nodes without a row in
+    the batch stay as they are, all nodes that share a key are replaced, new keys are created.
+    """
+    value = F.struct(*[F.when(F.col(f"has_{p}"), F.col(p)).alias(p) for p in properties])
+    last = batch.groupBy(*keys).agg(F.max_by(value, order).alias("_v"))
+    renamed = last.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_v", F.lit(True).alias("_new"))
+    both = nodes.select(*keys, *properties).join(renamed, [F.col(k) == F.col(f"_k_{k}") for k in keys], "full_outer")
+    return both.select(*[F.coalesce(k, f"_k_{k}").alias(k) for k in keys], *[F.when(F.col("_new"), F.col(f"_v.{p}")).otherwise(F.col(p)).alias(p) for p in properties])
+
+
 def create_edges(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges whose ends both exist, the others): the second is what a single create reports as an error and
     a batch leaves out silently."""

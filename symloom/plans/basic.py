@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from symloom.functions import symbols as sym
 from symloom.operators import pattern, scan, upsert
 from symloom.plans.base import Registry
 from symloom.plans.star import EDGES_SQL, NODES_SQL, Star
-from symloom.session import Cuts
-from symloom.tables import table
+from symloom.session import shared_dir
+from symloom.tables import newest_sql, one_per_key, table
 
 query = Registry()
 _G = f"WITH {NODES_SQL}, {EDGES_SQL} "
@@ -24,6 +26,12 @@ def a1_label_scan(spark: SparkSession, sf: str) -> DataFrame:
     return scan.label_scan(Star(spark, sf).nodes("Function"), "Function").select("id", "name", "signature")
 
 
+@query(f"{_N} SELECT id, name FROM nodes WHERE label = 'Function' ORDER BY id LIMIT 10")
+def f6_limited_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A scan with a limit, over a total order, so that it is repeatable."""
+    return scan.label_scan(Star(spark, sf).nodes("Function"), "Function", 10).select("id", "name")
+
+
 @query(f"{_N} SELECT id, fqn FROM nodes WHERE label = 'Class' AND name = 'Customer#000000007'")
 def a2_property_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return scan.by_property(Star(spark, sf).nodes("Class"), "Class", "name", "Customer#000000007").select("id", "fqn")
@@ -36,16 +44,14 @@ def a3_all_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{_G} SELECT a.label AS from_label, type, b.label AS to_label, count(*) AS n FROM edges JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id GROUP BY ALL")
 def a4_all_edges(spark: SparkSession, sf: str) -> DataFrame:
-    g = Star(spark, sf).graph()
-    nodes = Cuts(spark, "ends").cut(g.nodes.select("id", "label"))  # made once, joined twice
-    ends = pattern.attach(pattern.attach(g.edges.select("src", "type", "dst"), nodes, "src", {"from_label": "label"}), nodes, "dst", {"to_label": "label"})
-    return ends.groupBy("from_label", "type", "to_label").agg(F.count("*").alias("n"))
+    """All edges with the labels of their ends; edges that lead nowhere are left out."""
+    return Star(spark, sf).labelled_edges().groupBy("from_label", "type", "to_label").agg(F.count("*").alias("n"))
+
 
+_SKIPPED = ", ".join(f"'{folder}'" for folder in sym.SKIPPED_FOLDERS)
 
-@query(
-    """SELECT DISTINCT path FROM code_sources WHERE ends_with(path, '.go') AND NOT ends_with(path, '_test.go')
-AND NOT list_has_any(string_split(path, '/')[1:-2], ['vendor', '.git', '.github', 'node_modules', '.vscode', 'bin', 'build', 'dist', 'tmp', '.idea'])"""
-)
+
+@query(f"SELECT DISTINCT path FROM code_sources WHERE ends_with(path, '.go') AND NOT ends_with(path, '_test.go') AND NOT list_has_any(string_split(path, '/')[1:-2], [{_SKIPPED}])")
 def a5_go_sources(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "code_sources").select("path").filter(sym.is_go_source(F.col("path"))).distinct()
 
@@ -63,22 +69,22 @@ def a9_file_languages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "code_sources").select("path", sym.language(F.col("path")).alias("code_language")).distinct()
 
 
-_REFS = "refs AS (SELECT id, any_value(end_id) AS end_id, any_value(start_id) AS start_id, any_value(line_no) AS line_no, bool_or(is_definition) AS def FROM references_rel WHERE id IS NOT NULL AND end_id IS NOT NULL GROUP BY id)"
+_REFS = "refs AS (SELECT id, end_id, start_id, line_no, is_definition AS def FROM (" + newest_sql("references_rel", ("end_id", "start_id", "line_no", "is_definition"), "ingested_at") + ") WHERE end_id IS NOT NULL)"
 
 
 @query(f"WITH {_REFS} SELECT end_id AS symbol_id, arg_min(start_id, (CASE WHEN def THEN 0 ELSE 1 END, id)) AS defined_in, min(id) AS first_occurrence, count(*) AS n_occurrences, count(*) FILTER (WHERE NOT def) AS n_usages FROM refs GROUP BY end_id")
 def a10_symbol_occurrences(spark: SparkSession, sf: str) -> DataFrame:
     """Occurrences grouped by symbol: the definition (else the first occurrence) and the usages, all algebraic."""
-    one = table(spark, sf, "references_rel").filter("id is not null and end_id is not null").groupBy("id").agg(F.any_value("end_id").alias("end_id"), F.any_value("start_id").alias("start_id"), F.bool_or("is_definition").alias("def"))
+    one = one_per_key(table(spark, sf, "references_rel"), ["id"], ["end_id", "start_id", "line_no", "is_definition"], "ingested_at").filter("end_id is not null").withColumnRenamed("is_definition", "def")
     place = F.struct(F.when(F.col("def"), 0).otherwise(1), F.col("id"))
     return one.groupBy(F.col("end_id").alias("symbol_id")).agg(F.min_by("start_id", place).alias("defined_in"), F.min("id").alias("first_occurrence"), F.count("*").alias("n_occurrences"), F.count_if(~F.col("def")).alias("n_usages"))
 
 
-@query("SELECT DISTINCT path FROM code_sources WHERE octet_length(content) > 0 AND ord(chr(('0x' || substr(hex(content), 1, 2))::INTEGER)) < 32")
+@query("SELECT DISTINCT path, octet_length(content) > 0 AND ord(chr(('0x' || substr(hex(content), 1, 2))::INTEGER)) < 32 AS is_index, ('0x' || substr(hex(content), 1, 2))::INTEGER AS first_byte FROM code_sources WHERE octet_length(content) > 0")
 def a12_binary_sniff(spark: SparkSession, sf: str) -> DataFrame:
-    """Files whose first byte is below 32, as a protobuf file's is."""
-    first = F.conv(F.substring(F.hex("content"), 1, 2), 16, 10).cast("int")
-    return table(spark, sf, "code_sources").filter((F.octet_length("content") > 0) & (first < 32)).select("path").distinct()
+    """The first byte of each file, and whether it is below 32, as that of a protobuf file is."""
+    first = F.conv(F.hex(F.substring("content", 1, 1)), 16, 10).cast("int")
+    return table(spark, sf, "code_sources").filter(F.octet_length("content") > 0).select("path", (first < 32).alias("is_index"), first.alias("first_byte")).distinct()
 
 
 @query("SELECT doc_id, source_url FROM documents WHERE lower(regexp_extract(source_url, '\\.[^./]*$')) IN ('.md', '.txt', '.rst', '.adoc')")
@@ -116,10 +122,13 @@ def b2_labels(spark: SparkSession, sf: str) -> DataFrame:
     return Star(spark, sf).nodes("Class", "Interface").select("id", F.element_at("labels", 1).alias("first_label"))
 
 
-@query(f"{_N} SELECT id, name || '|' || signature || '|' || start_line AS properties FROM nodes WHERE label = 'Function'")
+@query(f"{_N} SELECT id, 'end_line=' || end_line || '|file_path=' || file_path || '|name=' || name || '|signature=' || signature || '|start_line=' || start_line AS properties FROM nodes WHERE label = 'Function'")
 def b3_properties(spark: SparkSession, sf: str) -> DataFrame:
-    bag = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in ("name", "signature", "symbol", "start_line")]), lambda e: e["v"].isNotNull()))
-    return Star(spark, sf).nodes("Function").select("id", bag.alias("bag")).select("id", F.array_join(F.map_values("bag"), "|").alias("properties"))
+    """The bag of a node's properties, keys in order, without those that are not set."""
+    columns = ("name", "signature", "symbol", "file_path", "start_line", "end_line", "title")
+    bag = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in columns]), lambda e: e["v"].isNotNull()))
+    pairs = F.array_sort(F.transform(F.map_entries("bag"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return Star(spark, sf).nodes("Function").select("id", bag.alias("bag")).select("id", F.array_join(pairs, "|").alias("properties"))
 
 
 @query(f"{_G} SELECT src, type FROM edges WHERE type IN ('DEFINES', 'EXPOSES_API')")
@@ -201,7 +210,7 @@ def c2_expand_in(spark: SparkSession, sf: str) -> DataFrame:
     return hop.groupBy("symbol_id").agg(F.count("*").alias("n"))
 
 
-@query(f"{_G} SELECT m.id AS method, s.symbol FROM nodes m JOIN edges c ON c.src = m.id AND c.type = 'CALLS' JOIN edges d ON d.src = c.dst AND d.type = 'DEFINES' JOIN nodes s ON s.id = d.dst WHERE m.label = 'Method'")
+@query("WITH c AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) SELECT 'mth:' || l_orderkey AS method, 'scip-go go ' || p_brand || ' v' || p_size || ' ' || p_type || '/' || replace(p_name, ' ', '_') || '_' || p_partkey || '().' AS symbol FROM c JOIN part ON p_partkey = l_partkey")
 def c3_chain(spark: SparkSession, sf: str) -> DataFrame:
     s = Star(spark, sf)
     one = pattern.expand(s.nodes("Method").select(F.col("id").alias("method")), s.edge_part("CALLS", 0), "method", "fn")
@@ -245,7 +254,7 @@ def c11_path_join(spark: SparkSession, sf: str) -> DataFrame:
     return f.join(s, f.file_path == s.path, "left").select("function_id", F.col("path").isNotNull().alias("has_source"))
 
 
-_NAMES12 = "names AS (SELECT id, min(symbol) AS text, min(display_name) AS alt FROM code_symbols WHERE id IS NOT NULL AND NOT symbol LIKE 'local %' GROUP BY id)"
+_NAMES12 = "names AS (SELECT id, min(symbol) AS text, min(display_name) AS alt FROM code_symbols WHERE id IS NOT NULL GROUP BY id)"
 _TOKENS12 = "tokens AS (SELECT DISTINCT t AS token FROM (SELECT unnest(regexp_extract_all(text, '`([A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z_][A-Za-z0-9_]*)*(?:\\(\\))?)`', 1)) AS t FROM documents) WHERE regexp_matches(t, '[A-Z_]') AND lower(t) NOT IN ({}))"
 
 
@@ -261,7 +270,7 @@ def c12_token_symbols(spark: SparkSession, sf: str) -> DataFrame:
     from symloom.functions import text
 
     tokens = table(spark, sf, "documents").filter("text is not null").select(F.explode(text.code_tokens(F.col("text"))).alias("token"))
-    names = table(spark, sf, "code_symbols").filter("id is not null and not symbol like 'local %'").groupBy("id").agg(F.min("symbol").alias("text"), F.min("display_name").alias("alt"))
+    names = table(spark, sf, "code_symbols").filter("id is not null").groupBy("id").agg(F.min("symbol").alias("text"), F.min("display_name").alias("alt"))
     return pattern.mentions(tokens, names, 5).select("token", "id")
 
 
@@ -345,17 +354,32 @@ def s5_merge_on_create(spark: SparkSession, sf: str) -> DataFrame:
     return upsert.merge(nodes, batch, ["k"], "o", ["name", "size"], on_create_only=True)
 
 
+@query(f"WITH {_BATCH}, r AS (SELECT k, arg_max_null(name, o) AS name, arg_max_null(size, o) AS size FROM (SELECT k, o, CASE WHEN has_name THEN name END AS name, CASE WHEN has_size THEN size END AS size FROM b) GROUP BY k) SELECT coalesce(p_partkey, k) AS k, CASE WHEN k IS NULL THEN p_name ELSE r.name END AS name, CASE WHEN k IS NULL THEN p_size ELSE r.size END::INTEGER AS size FROM part FULL JOIN r ON p_partkey = k")
+def k3_replace(spark: SparkSession, sf: str) -> DataFrame:
+    """SET n = m: the batch's last row replaces all properties, what it does not mention is gone (K3)."""
+    nodes, batch = _merge_inputs(spark, sf)
+    return upsert.replace(nodes, batch, ["k"], "o", ["name", "size"])
+
+
+@query(f"WITH {_BATCH}, {_LAST}, n AS (SELECT 1001 + p_partkey % 50 AS k, p_name AS name, p_size AS size FROM part) SELECT coalesce(n.k, l.k) AS k, CASE WHEN hn THEN l.name ELSE n.name END AS name, CASE WHEN hs THEN l.size ELSE n.size END::INTEGER AS size FROM n FULL JOIN l ON n.k = l.k")
+def k1_merge_all_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """A merge key that several nodes share: all of them are updated (K1)."""
+    nodes, batch = _merge_inputs(spark, sf)
+    shared = nodes.select((F.col("k") % 50 + 1001).alias("k"), "name", "size")
+    return upsert.merge(shared, batch, ["k"], "o", ["name", "size"])
+
+
 @query("SELECT sha256('File' || '|' || path) AS id, path FROM (SELECT DISTINCT path FROM code_sources WHERE path IS NOT NULL)")
 def s4_create_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes with deterministic ids, the hash of label and key."""
     return table(spark, sf, "code_sources").filter("path is not null").select("path").distinct().select(F.sha2(F.concat(F.lit("File|"), "path"), 256).alias("id"), "path")
 
 
-_DEF = "e AS (SELECT id, any_value(start_id) AS src, any_value(end_id) AS dst FROM defines_rel WHERE id IS NOT NULL GROUP BY id), n AS (SELECT id FROM code_functions UNION SELECT id FROM code_symbols)"
+_DEF = "e AS (SELECT id, start_id AS src, end_id AS dst FROM (" + newest_sql("defines_rel", ("start_id", "end_id"), "created_at") + ")), n AS (SELECT id FROM code_functions UNION SELECT id FROM code_symbols)"
 
 
 def _edge_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    e = table(spark, sf, "defines_rel").filter("id is not null").groupBy("id").agg(F.any_value("start_id").alias("src"), F.any_value("end_id").alias("dst"))
+    e = one_per_key(table(spark, sf, "defines_rel"), ["id"], ["start_id", "end_id"], "created_at").withColumnsRenamed({"start_id": "src", "end_id": "dst"})
     n = table(spark, sf, "code_functions").select("id").unionByName(table(spark, sf, "code_symbols").select("id")).distinct()
     return e, n
 
@@ -390,14 +414,21 @@ def k6_unique_violations(spark: SparkSession, sf: str) -> DataFrame:
     return model.violations(nodes, "Symbol", "symbol").unionByName(model.violations(nodes, "Function", "name"))
 
 
-@query("SELECT count(*) AS missing FROM (SELECT 1 WHERE false)")
+@query("SELECT * FROM (VALUES ('file_path_unique', 'UNIQUE', 'File'), ('symbol_kind_idx', 'BTREE', 'Symbol')) v(name, kind, label)")
 def k7_schema_validate(spark: SparkSession, sf: str) -> DataFrame:
-    catalog = model.Catalog(spark)
-    catalog.create_all()
-    return catalog.missing().agg(F.count("*").alias("missing"))
+    """What a catalog lacks after two of its entries were dropped; it is stored, and read again by another object."""
+    base = f"{shared_dir(spark)}/symloom-catalog-{uuid.uuid4().hex[:12]}"
+    one = model.Catalog(spark, base)
+    one.create_all()
+    one.drop("file_path_unique")
+    one.drop("symbol_kind_idx")
+    return model.Catalog(spark, base).missing()
 
 
-@query()
+_JSON = "list_filter([CASE WHEN title IS NOT NULL THEN '  \"title\" : ' || to_json(title) END, CASE WHEN doc_type IS NOT NULL THEN '  \"doc_type\" : ' || to_json(doc_type) END, CASE WHEN source_url IS NOT NULL THEN '  \"source_url\" : ' || to_json(source_url) END, '  \"meta\" : {' || chr(10) || array_to_string(list_filter([CASE WHEN lang IS NOT NULL THEN '    \"lang\" : ' || to_json(lang) END, CASE WHEN n_chars IS NOT NULL THEN '    \"n_chars\" : ' || n_chars END], lambda x: x IS NOT NULL), ',' || chr(10)) || chr(10) || '  }'], lambda x: x IS NOT NULL)"
+
+
+@query(f"SELECT doc_id, '{{' || chr(10) || array_to_string({_JSON}, ',' || chr(10)) || chr(10) || '}}' AS json FROM documents")
 def s8_json_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as indented JSON, one text per document."""
     row = F.struct("title", "doc_type", "source_url", F.struct("lang", "n_chars").alias("meta"))

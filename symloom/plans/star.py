@@ -71,6 +71,7 @@ class Star:
             "Parameter": lambda: _node(t("events").filter("event_type in ('purchase', 'click')"), "Parameter", _id("ev", "event_id"), name=F.concat_ws("_", "event_type", F.col("event_id").cast("string")), created_at=F.col("ts")),
             "Variable": lambda: _node(t("events").filter("event_type not in ('purchase', 'click')"), "Variable", _id("ev", "event_id"), name=F.concat_ws("_", "event_type", F.col("event_id").cast("string")), created_at=F.col("ts")),
             "Reference": lambda: _node(self.lines(), "Reference", self.ref_id(), file_path=F.lit("src/orders.go"), start_line=F.col("l_linenumber")),
+            "Feature": lambda: _node(t("part").select("p_type").distinct(), "Feature", F.concat(F.lit("feat:"), "p_type"), name=F.col("p_type")),
             "Document": lambda: _node(t("documents"), "Document", _id("doc", "doc_id"), title=F.col("title"), doc_type=F.col("doc_type"), path=F.col("source_url")),
         }
 
@@ -104,21 +105,55 @@ class Star:
                 lambda: _edge(self._follow(), "CALLS", _id("fn", "l_partkey"), _id("fn", "_next")),
             ],
             "EXPOSES_API": [lambda: _edge(t("part").filter("p_size < 5"), "EXPOSES_API", _id("fn", "p_partkey"), F.concat(F.lit("api:"), "p_type", F.lit("|"), "p_brand"))],
-            "IMPLEMENTS": [lambda: _edge(self._implements(), "IMPLEMENTS", _id("cls", "c_custkey"), _id("if", "s_suppkey"))],
-            "FLOWS_TO": [
-                lambda: _edge(self._flows().filter("_one is not null"), "FLOWS_TO", _id("ev", "event_id"), _id("ev", "_one")),
-                lambda: _edge(self._flows().filter("_two is not null and event_type = 'purchase'"), "FLOWS_TO", _id("ev", "event_id"), _id("ev", "_two")),
+            "IMPLEMENTS": [
+                lambda: _edge(self._implements(), "IMPLEMENTS", _id("cls", "c_custkey"), _id("if", "s_suppkey")),
+                lambda: _edge(t("part"), "IMPLEMENTS", _id("fn", "p_partkey"), F.concat(F.lit("feat:"), "p_type")),
             ],
+            "DESCRIBES": [lambda: _edge(t("documents").select("doc_id").join(t("part").select("p_partkey", "p_type"), F.col("doc_id") == F.col("p_partkey")), "DESCRIBES", _id("doc", "doc_id"), F.concat(F.lit("feat:"), "p_type"))],
+            "FLOWS_TO": [lambda: _edge(self._flows(), "FLOWS_TO", _id("ev", "event_id"), _id("ev", "_next"))],
         }
 
+    #: Labels at the two ends of each projection of a type; None where the edge is made from the node's own row.
+    ENDS = {
+        "CONTAINS": (("Service", "File"), ("File", "Class"), ("Class", "Method"), ("Method", "Reference"), ("Method", ("Parameter", "Variable"))),
+        "REFERENCES": (("Reference", "Symbol"),),
+        "DEFINES": (("Function", "Symbol"),),
+        "CALLS": (("Method", "Function"), ("Function", "Function")),
+        "EXPOSES_API": (("Function", "APIRoute"),),
+        "IMPLEMENTS": (("Class", "Interface"), ("Function", "Feature")),
+        "DESCRIBES": (("Document", "Feature"),),
+        "FLOWS_TO": ((("Parameter", "Variable"), ("Parameter", "Variable")),),
+    }
+    #: Ends that are made from the very row that makes the node, so that the node is there.
+    SURE = {("CONTAINS", 3, "dst"), ("REFERENCES", 0, "src"), ("DEFINES", 0, "src"), ("DEFINES", 0, "dst"), ("EXPOSES_API", 0, "src"), ("EXPOSES_API", 0, "dst"), ("IMPLEMENTS", 0, "src"), ("IMPLEMENTS", 1, "src"), ("IMPLEMENTS", 1, "dst"), ("DESCRIBES", 0, "src"), ("DESCRIBES", 0, "dst"), ("CONTAINS", 0, "dst"), ("CONTAINS", 1, "dst"), ("CONTAINS", 2, "dst")}
+
+    def labelled_edges(self) -> DataFrame:
+        """(from_label, type, to_label) of every edge whose ends exist: each projection is held against the nodes of
+        the labels that it leads to, instead of all edges against all nodes. A node id with two labels counts twice."""
+        parts = []
+        for kind, makers in self.edge_parts().items():
+            for n, make in enumerate(makers):
+                rows = make().select("src", "dst", F.lit(kind).alias("type"))
+                for side, labels in zip(("src", "dst"), self.ENDS[kind][n]):
+                    name = "from_label" if side == "src" else "to_label"
+                    if (kind, n, side) in self.SURE and isinstance(labels, str):
+                        rows = rows.withColumn(name, F.lit(labels))
+                    else:
+                        ends = self.nodes(*((labels,) if isinstance(labels, str) else labels)).select(F.col("id").alias(side), F.col("label").alias(name))
+                        rows = rows.join(ends, side)
+                parts.append(rows.select("from_label", "type", "to_label"))
+        return reduce(DataFrame.unionByName, parts)
+
     def _follow(self) -> DataFrame:
         by_line = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
         after = self.t("lineitem").withColumn("_next", F.lead("l_partkey").over(by_line))
         return after.filter("_next is not null and l_returnflag = 'R' and l_quantity <= 10").select("l_partkey", "_next").distinct()
 
     def _flows(self) -> DataFrame:
+        """(event_id, _next): each event to the user's next one, a purchase also to the one after; one window for both."""
         by_time = W.partitionBy("user_id").orderBy("ts", "event_id")
-        return self.t("events").select("event_id", "event_type", F.lead("event_id").over(by_time).alias("_one"), F.lead("event_id", 2).over(by_time).alias("_two"))
+        both = self.t("events").select("event_id", F.lead("event_id").over(by_time).alias("_one"), F.when(F.col("event_type") == "purchase", F.lead("event_id", 2).over(by_time)).alias("_two"))
+        return both.select("event_id", F.explode(F.array_compact(F.array("_one", "_two"))).alias("_next"))
 
     def _implements(self) -> DataFrame:
         suppliers = self.t("supplier").agg(F.count("*").alias("_suppliers"))
@@ -154,6 +189,7 @@ UNION ALL SELECT 'sym:' || p_partkey, 'Symbol', NULL, p_name, NULL, 'scip-go go
 UNION ALL SELECT DISTINCT 'api:' || p_type || '|' || p_brand, 'APIRoute', NULL, NULL, NULL, NULL, '/' || p_brand || '/' || p_type, NULL, NULL, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL FROM part WHERE p_size < 5
 UNION ALL SELECT 'ev:' || event_id, CASE WHEN event_type IN ('purchase', 'click') THEN 'Parameter' ELSE 'Variable' END, event_type || '_' || event_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM events
 UNION ALL SELECT 'ref:' || l_orderkey || '-' || n, 'Reference', NULL, NULL, NULL, NULL, NULL, NULL, 'src/orders.go', l_linenumber, NULL, NULL, NULL FROM lines
+UNION ALL SELECT DISTINCT 'feat:' || p_type, 'Feature', p_type, NULL, NULL, NULL, NULL, NULL, NULL, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL FROM part
 UNION ALL SELECT 'doc:' || doc_id, 'Document', NULL, NULL, NULL, NULL, source_url, NULL, NULL, NULL, NULL, NULL, title FROM documents)"""
 EDGES_SQL = """edges AS (
 SELECT 'CONTAINS' AS type, 'svc:' || n_regionkey AS src, 'file:' || n_nationkey AS dst, NULL::BIGINT AS line FROM nation
@@ -167,5 +203,7 @@ UNION ALL SELECT DISTINCT 'CALLS', 'mth:' || l_orderkey, 'fn:' || l_partkey, NUL
 UNION ALL SELECT DISTINCT 'CALLS', 'fn:' || l_partkey, 'fn:' || nxt, NULL::BIGINT FROM (SELECT *, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag) AS nxt FROM lineitem) WHERE nxt IS NOT NULL AND l_returnflag = 'R' AND l_quantity <= 10
 UNION ALL SELECT 'EXPOSES_API', 'fn:' || p_partkey, 'api:' || p_type || '|' || p_brand, NULL FROM part WHERE p_size < 5
 UNION ALL SELECT 'IMPLEMENTS', 'cls:' || c_custkey, 'if:' || s_suppkey, NULL FROM customer JOIN supplier ON c_custkey % (SELECT count(*) FROM supplier) = s_suppkey
+UNION ALL SELECT 'IMPLEMENTS', 'fn:' || p_partkey, 'feat:' || p_type, NULL FROM part
+UNION ALL SELECT 'DESCRIBES', 'doc:' || doc_id, 'feat:' || p_type, NULL FROM documents JOIN part ON p_partkey = doc_id
 UNION ALL SELECT 'FLOWS_TO', 'ev:' || event_id, 'ev:' || nxt, NULL FROM (SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NOT NULL
 UNION ALL SELECT 'FLOWS_TO', 'ev:' || event_id, 'ev:' || nxt, NULL FROM (SELECT event_id, event_type, lead(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NOT NULL AND event_type = 'purchase')"""
