@@ -39,6 +39,14 @@ def without(rows: DataFrame, edges: DataFrame, at: str, far: DataFrame | None =
     return rows.join(hop, F.col(at) == F.col("_here"), "left_anti")
 
 
+def first_of(rows: DataFrame, key: str, order: Sequence, limit: int) -> DataFrame:
+    """The first `limit` rows of each key. Spark limits each task's rows by rank before the shuffle, so a hot key sends
+    no more than that many rows from each task."""
+    from pyspark.sql import Window as W
+
+    return rows.withColumn("_rank", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("_rank") <= limit).drop("_rank")
+
+
 def product_counts(left: DataFrame, right: DataFrame) -> DataFrame:
     """The product of two tables of a known few rows each (one-row aggregates): pre-aggregate, then cross."""
     return left.crossJoin(F.broadcast(right))

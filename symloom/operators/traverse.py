@@ -42,6 +42,28 @@ def reachable(edges: DataFrame, seeds: DataFrame, min_hops: int = 1, max_hops: i
     return out.filter(F.col("depth") >= min_hops)
 
 
+def call_edges(edges: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
+    """(seed, src, dst, recursive): the edges of the graph within max_hops of each seed, each once.
+
+    recursive is true where the edge lies on a circle of that graph: from its end its start is reached again. An edge
+    to itself is one. The circle is looked for among the edges of the same seed only.
+    """
+    cuts = Cuts(edges.sparkSession, "calls")
+    far = reachable(edges, seeds, 1, max_hops - 1) if max_hops > 1 else None
+    inner = seeds.filter("seed is not null").select("seed", F.col("seed").alias("src")).distinct()
+    if far is not None:
+        inner = inner.unionByName(far.select("seed", F.col("node").alias("src"))).distinct()
+    own = cuts.cut(inner.join(edges.select("src", "dst").distinct(), "src").select("seed", "src", "dst"))
+    # Ids are made of seed and node, so that circles of different seeds stay apart.
+    tag = lambda c: F.concat_ws("\0", "seed", c)
+    tagged = own.select(tag("src").alias("src"), tag("dst").alias("dst"))
+    again = reachable(tagged, tagged.select(F.col("dst").alias("seed")).distinct(), 1, None).select(F.col("seed").alias("_end"), F.col("node").alias("_start"))
+    itself = tagged.select(F.col("dst").alias("_end"), F.col("dst").alias("_start"))
+    back = again.unionByName(itself).distinct().withColumn("_back", F.lit(True))
+    joined = own.join(back, (tag("dst") == F.col("_end")) & (tag("src") == F.col("_start")), "left")
+    return joined.select("seed", "src", "dst", F.coalesce("_back", F.lit(False)).alias("recursive"))
+
+
 def trails(edges: DataFrame, seeds: DataFrame, min_hops: int = 1, max_hops: int | None = None, direction: str = "out", max_rows: int | None = None) -> DataFrame:
     """(seed, edge_ids, node_ids, depth): every walk from a seed that uses no edge twice.
 

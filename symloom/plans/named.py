@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.functions import source, text
+from symloom.functions import source
 from symloom.operators import pattern, scan, traverse
 from symloom.plans.base import Registry
 from symloom.plans.star import EDGES_SQL, NODES_SQL, Star
-from symloom.tables import one_per_key, table
+from symloom.tables import newest_sql, one_per_key, table
 
 query = Registry()
 _G = f"WITH {NODES_SQL}, {EDGES_SQL} "
@@ -34,9 +34,9 @@ def _symbols(spark: SparkSession, sf: str) -> DataFrame:
     return one_per_key(table(spark, sf, "code_symbols").select("id", *columns, "created_at"), ["id"], columns, "created_at")
 
 
-_F = "f AS (SELECT id, any_value(name) AS name, any_value(signature) AS signature, any_value(file_path) AS file_path, any_value(start_line) AS start_line, any_value(end_line) AS end_line, any_value(start_byte) AS start_byte, any_value(end_byte) AS end_byte, any_value(lines_of_code) AS loc, any_value(labels) AS labels FROM code_functions WHERE id IS NOT NULL GROUP BY id)"
-_REF = "r AS (SELECT id, any_value(start_id) AS start_id, any_value(end_id) AS end_id, any_value(line_no) AS line_no FROM references_rel WHERE id IS NOT NULL GROUP BY id)"
-_S = "s AS (SELECT id, any_value(symbol) AS symbol, any_value(kind) AS kind, any_value(display_name) AS display_name FROM code_symbols WHERE id IS NOT NULL GROUP BY id)"
+_F = "f AS (SELECT * RENAME (lines_of_code AS loc) FROM (" + newest_sql("code_functions", ("name", "signature", "file_path", "start_line", "end_line", "start_byte", "end_byte", "labels", "docstring", "lines_of_code", "is_exported"), "updated_at") + "))"
+_REF = "r AS (" + newest_sql("references_rel", ("start_id", "end_id", "line_no", "is_definition"), "ingested_at") + ")"
+_S = "s AS (" + newest_sql("code_symbols", ("symbol", "kind", "display_name"), "created_at") + ")"
 _D = "d AS (SELECT DISTINCT start_id, end_id FROM defines_rel WHERE start_id IS NOT NULL AND end_id IS NOT NULL)"
 
 
@@ -63,6 +63,12 @@ def l2_references(spark: SparkSession, sf: str) -> DataFrame:
     return placed.groupBy(F.col("end_id").alias("symbol_id"), "file_path", "line_no").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {_F}, {_REF} SELECT r.end_id AS symbol_id, f.file_path, r.line_no, count(*) AS n FROM r JOIN f ON f.id = r.start_id WHERE r.end_id IS NOT NULL GROUP BY ALL ORDER BY symbol_id, file_path NULLS LAST, line_no NULLS LAST")
+def f1_ordered_references(spark: SparkSession, sf: str) -> DataFrame:
+    """The same in order of symbol, file and line, nulls last: a range sort, in which a hot symbol is many ranges (F1)."""
+    return l2_references(spark, sf).orderBy("symbol_id", F.col("file_path").asc_nulls_last(), F.col("line_no").asc_nulls_last())
+
+
 @query(f"{_G} SELECT s.id AS symbol_id, i.id AS class_id FROM nodes s JOIN edges d ON d.dst = s.id AND d.type = 'DEFINES' JOIN edges x ON x.type = 'EXPOSES_API' AND x.src = d.src JOIN nodes i ON i.id = x.dst WHERE s.label = 'Symbol'")
 def l3_chain_through_definition(spark: SparkSession, sf: str) -> DataFrame:
     """Symbol to definer to what that exposes: the three-node pattern of 'find implementations'."""
@@ -97,6 +103,25 @@ def e1_reachable(spark: SparkSession, sf: str) -> DataFrame:
     return _reach(spark, sf)[1].select("node", "depth")
 
 
+_MANY = "calls AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'CALLS' AND src LIKE 'fn:%'), walk AS (SELECT 'fn:' || p_partkey AS seed, dst AS node, 1 AS depth FROM part JOIN calls ON src = 'fn:' || p_partkey WHERE p_partkey % 20 = 0 UNION SELECT seed, c.dst, depth + 1 FROM walk JOIN calls c ON c.src = walk.node WHERE depth < 4)"
+
+
+@query(f"{_R}, {_MANY} SELECT seed, node, min(depth) AS depth FROM walk GROUP BY seed, node")
+def e1_reachable_many(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for many starts at once, every function whose key is divisible by 20, four calls deep."""
+    s = Star(spark, sf)
+    seeds = s.t("part").filter("p_partkey % 20 = 0").select(F.concat(F.lit("fn:"), F.col("p_partkey").cast("string")).alias("seed"))
+    return traverse.reachable(s.edge_part("CALLS", 1), seeds, 1, 4)
+
+
+@query(f"{_R}, {_MANY}, far AS (SELECT DISTINCT seed, node FROM walk) SELECT seed, count(DISTINCT node) AS functions, count(DISTINCT x.dst) AS routes FROM far LEFT JOIN edges x ON x.src = far.node AND x.type = 'EXPOSES_API' GROUP BY seed")
+def l4_impact_many(spark: SparkSession, sf: str) -> DataFrame:
+    """How many functions and API routes each of those starts touches; mergeable counts, distinct pairs first."""
+    far = e1_reachable_many(spark, sf).select("seed", "node")
+    routes = pattern.expand(far, Star(spark, sf).edges("EXPOSES_API"), "node", "route").select("seed", "route").distinct().groupBy("seed").agg(F.count("*").alias("routes"))
+    return far.groupBy("seed").agg(F.count("*").alias("functions")).join(routes, "seed", "left").select("seed", "functions", F.coalesce("routes", F.lit(0)).alias("routes"))
+
+
 @query(f"{_R}, {_REACH} SELECT DISTINCT r.path FROM least JOIN edges x ON x.src = least.node AND x.type = 'EXPOSES_API' JOIN nodes r ON r.id = x.dst")
 def l4_impact(spark: SparkSession, sf: str) -> DataFrame:
     """API routes that functions within ten calls expose."""
@@ -125,6 +150,16 @@ def l15_call_graph(spark: SparkSession, sf: str) -> DataFrame:
     return down.unionByName(traverse.reachable(calls, seed, 1, 4, "in").select(F.lit("incoming").alias("direction"), "node", "depth"))
 
 
+_SUB = f"{_BOTH}, near AS (SELECT node, min(depth) AS depth FROM down GROUP BY node UNION ALL SELECT '{ROOT}', 0), sub AS (SELECT c.src, c.dst FROM calls c JOIN (SELECT node, min(depth) AS depth FROM near GROUP BY node) n ON n.node = c.src AND n.depth < 4), back AS (SELECT dst AS seed, dst AS node FROM sub UNION SELECT seed, sub.dst FROM back JOIN sub ON sub.src = back.node)"
+
+
+@query(f"{_R}, {_SUB} SELECT src, dst, EXISTS (SELECT 1 FROM back WHERE back.seed = sub.dst AND back.node = sub.src) AS recursive FROM sub")
+def l15_call_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """The calls of the graph four deep below a function; recursive are those from whose target the caller is reached again."""
+    calls = Star(spark, sf).edge_part("CALLS", 1).select("src", "dst").distinct()
+    return traverse.call_edges(calls, spark.createDataFrame([(ROOT,)], "seed string"), 4).select("src", "dst", "recursive")
+
+
 _FLOW = "fl AS (SELECT src || '>' || dst AS id, src, dst FROM edges WHERE type = 'FLOWS_TO'), tr AS (SELECT dst AS node, [id] AS es, src || '>' || dst AS way, 1 AS depth FROM fl WHERE src = 'ev:5' UNION ALL SELECT fl.dst, list_append(es, fl.id), way || '>' || fl.dst, depth + 1 FROM tr JOIN fl ON fl.src = tr.node WHERE depth < 15 AND NOT list_contains(es, fl.id))"
 
 
@@ -172,6 +207,19 @@ def l6_service_dependencies(spark: SparkSession, sf: str) -> DataFrame:
     return dependencies(spark, sf)
 
 
+@query(f"{_G}, {_TREE}, {_DEPS} SELECT service, caller, foreign_service, symbol FROM deps ORDER BY service, foreign_service, caller, symbol")
+def f2_ordered_dependencies(spark: SparkSession, sf: str) -> DataFrame:
+    """In order of service, foreign service and caller (F2)."""
+    return dependencies(spark, sf).orderBy("service", F.col("foreign_service").asc_nulls_last(), F.col("caller").asc_nulls_last(), "symbol")
+
+
+@query(f"{_G}, {_TREE}, {_DEPS} SELECT service, foreign_service, caller, count(*) AS calls FROM deps GROUP BY ALL ORDER BY service, foreign_service, caller")
+def d10_calling_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """The list of callers behind each roll-up, as ordered rows: a list in one row would grow with the table."""
+    per = dependencies(spark, sf).groupBy("service", "foreign_service", "caller").agg(F.count("*").alias("calls"))
+    return per.orderBy("service", F.col("foreign_service").asc_nulls_last(), F.col("caller").asc_nulls_last())
+
+
 @query(f"{_G}, {_TREE}, {_DEPS} SELECT service, foreign_service, count(*) AS call_count, count(DISTINCT caller) AS callers, 'direct' AS kind FROM deps GROUP BY service, foreign_service")
 def l7_dependency_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """Calls and distinct callers per foreign service (D10); mergeable counts instead of lists of callers."""
@@ -210,20 +258,33 @@ def l10_source_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return f.join(one, f.file_path == one.path).select("function_id", F.octet_length("content").cast("long").alias("file_size"), F.when(inside, F.sha2(piece, 256)).alias("code_hash"))
 
 
-@query()
+_CODE = f"""{_F}, src AS (SELECT path, max(content) AS content FROM code_sources WHERE path IS NOT NULL GROUP BY path),
+cut AS (SELECT f.id AS function_id, name, signature, try(decode(content)) AS body, CASE WHEN start_byte >= 0 AND start_byte <= end_byte AND end_byte <= octet_length(content) THEN try(decode(array_slice(content, start_byte::BIGINT + 1, end_byte::BIGINT))) END AS own, start_line, end_line FROM f JOIN src ON src.path = f.file_path),
+code AS (SELECT function_id, name, signature, coalesce(own, CASE WHEN start_line >= 1 AND start_line <= end_line AND start_line <= len(string_split(body, chr(10))) THEN array_to_string(string_split(body, chr(10))[start_line:end_line], chr(10)) END) AS code FROM cut)"""
+
+
+@query(f"WITH {_CODE} SELECT function_id, signature, code FROM code WHERE code IS NOT NULL")
 def l10_source_code(spark: SparkSession, sf: str) -> DataFrame:
     """Source of every function, bytes first, lines where the offsets are missing or past the end."""
     return source.sliced(_functions(spark, sf), table(spark, sf, "code_sources")).filter("code is not null").select(F.col("id").alias("function_id"), "signature", "code")
 
 
-_C = "calls AS (SELECT src, dst FROM edges WHERE type = 'CALLS' AND src LIKE 'fn:%')"
+@query(f"WITH {_CODE} SELECT signature, min(function_id) AS function_id, arg_min(code, function_id) AS code FROM code WHERE code IS NOT NULL AND signature IS NOT NULL GROUP BY signature")
+def l10_source_by_signature(spark: SparkSession, sf: str) -> DataFrame:
+    """Source by signature, for every signature at once: of several functions the one with the least id."""
+    f = _functions(spark, sf).filter("signature is not null")
+    code = source.sliced(f, table(spark, sf, "code_sources")).filter("code is not null").select("id", "signature", "code")
+    return code.groupBy("signature").agg(F.min_by(F.struct(F.col("id").alias("function_id"), "code"), "id").alias("b")).select("signature", "b.*")
+
+
+_C = "calls AS (SELECT src, dst FROM edges WHERE type = 'CALLS')"
 
 
 @query(f"{_G}, {_C} SELECT n.id, n.signature, (SELECT count(*) FROM calls WHERE dst = n.id) AS callers, (SELECT count(*) FROM calls WHERE src = n.id) AS callees FROM nodes n WHERE n.label = 'Function'")
 def l11_function_overview(spark: SparkSession, sf: str) -> DataFrame:
     """Signature, number of callers and of callees of every function, each side aggregated before the join."""
     s = Star(spark, sf)
-    calls = s.edge_part("CALLS", 1)
+    calls = s.edges("CALLS").select("src", "dst")
     into = calls.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("_in"))
     out = calls.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("_out"))
     both = s.nodes("Function").select("id", "signature").join(into, "id", "left").join(out, "id", "left")
@@ -232,12 +293,19 @@ def l11_function_overview(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{_G}, {_C}, h AS (SELECT dst AS id, n.name AS caller, n.id AS caller_id, row_number() OVER (PARTITION BY dst ORDER BY n.name NULLS LAST, n.id) AS k FROM calls JOIN nodes n ON n.id = calls.src) SELECT id, caller, caller_id FROM h WHERE k <= 10")
 def l11_callers(spark: SparkSession, sf: str) -> DataFrame:
-    """The first ten callers of every function by name and id (a top-k per group: rank limits are pushed into the sort)."""
-    from pyspark.sql import Window as W
+    """The first ten callers of every function, functions and methods, by name and id (a top-k per group: rank limits
+    are pushed into the sort)."""
+    s = Star(spark, sf)
+    hop = pattern.attach(s.edges("CALLS").select(F.col("dst").alias("id"), F.col("src").alias("caller_id")), s.nodes("Function", "Method"), "caller_id", {"caller": "name"})
+    return pattern.first_of(hop, "id", [F.col("caller").asc_nulls_last(), "caller_id"], 10).select("id", "caller", "caller_id")
 
+
+@query(f"{_G}, {_C}, h AS (SELECT src AS id, n.name AS callee, n.id AS callee_id, row_number() OVER (PARTITION BY src ORDER BY n.name NULLS LAST, n.id) AS k FROM calls JOIN nodes n ON n.id = calls.dst) SELECT id, callee, callee_id FROM h WHERE k <= 10")
+def l11_callees(spark: SparkSession, sf: str) -> DataFrame:
+    """The first ten callees of every function and method, by name and id."""
     s = Star(spark, sf)
-    hop = pattern.attach(s.edge_part("CALLS", 1).select(F.col("dst").alias("id"), F.col("src").alias("caller_id")), s.nodes("Function"), "caller_id", {"caller": "name"})
-    return hop.withColumn("_k", F.row_number().over(W.partitionBy("id").orderBy(F.col("caller").asc_nulls_last(), "caller_id"))).filter("_k <= 10").select("id", "caller", "caller_id")
+    hop = pattern.attach(s.edges("CALLS").select(F.col("src").alias("id"), F.col("dst").alias("callee_id")), s.nodes("Function"), "callee_id", {"callee": "name"})
+    return pattern.first_of(hop, "id", [F.col("callee").asc_nulls_last(), "callee_id"], 10).select("id", "callee", "callee_id")
 
 
 @query("SELECT coalesce(doc_type, '') AS doc_type, count(*) AS documents, count(DISTINCT title) AS titles, coalesce(sum(length(text)), 0)::BIGINT AS chars FROM documents GROUP BY ALL")
@@ -261,9 +329,12 @@ def l16_hover(spark: SparkSession, sf: str) -> DataFrame:
     block = 64
     all_functions = _functions(spark, sf)
     f = all_functions.filter("file_path is not null and start_line is not null and end_line >= start_line").select("file_path", F.col("id").alias("function_id"), "start_line", "end_line")
-    spread = f.withColumn("_block", F.explode(F.sequence(F.floor(F.col("start_line") / block), F.floor(F.col("end_line") / block))))
-    files = all_functions.select(F.col("id").alias("start_id"), "file_path")
+    files = all_functions.filter("file_path is not null").select(F.col("id").alias("start_id"), "file_path")
     places = _references(spark, sf).filter("line_no is not null").select(F.col("id").alias("reference_id"), "start_id", F.col("line_no").alias("_line")).join(files, "start_id")
+    # A wrong end line must not list a function under blocks that no place of its file is in.
+    reach = places.groupBy("file_path").agg(F.min("_line").alias("_low"), F.max("_line").alias("_high"))
+    first, last = F.greatest("start_line", "_low"), F.least("end_line", "_high")
+    spread = f.join(reach, "file_path").filter(first <= last).withColumn("_block", F.explode(F.sequence(F.floor(first / block), F.floor(last / block)))).drop("_low", "_high")
     hit = places.withColumn("_block", F.floor(F.col("_line") / block)).join(spread, ["file_path", "_block"]).filter("start_line <= _line and _line <= end_line")
     return hit.groupBy("reference_id").agg(F.min_by("function_id", F.struct(F.col("end_line") - F.col("start_line"), "function_id")).alias("function_id"))
 
@@ -292,11 +363,30 @@ def n2_route_handlers(spark: SparkSession, sf: str) -> DataFrame:
     return pattern.attach(two, s.nodes("Symbol"), "sym", {"symbol": "symbol"}).select("route", "handler", "symbol")
 
 
-@query(f"{_G} SELECT m.name AS caller, m.file_path, m.start_line, n.name AS callee FROM edges c JOIN nodes m ON m.id = c.src AND m.label = 'Function' JOIN nodes n ON n.id = c.dst AND n.label = 'Function' WHERE c.type = 'CALLS'")
+@query(f"{_G} SELECT f.name AS feature, c.label AS code_type, c.name AS code_name, c.file_path FROM nodes f JOIN edges x ON x.dst = f.id AND x.type = 'IMPLEMENTS' JOIN nodes c ON c.id = x.src AND c.label IN ('Function', 'Method', 'Class') WHERE f.label = 'Feature'")
+def n1_feature_code(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature to the code that implements it, with its file."""
+    s = Star(spark, sf)
+    one = pattern.expand(s.nodes("Feature").select("id", F.col("name").alias("feature")), s.edges("IMPLEMENTS"), "id", "code", "in")
+    return pattern.attach(one, s.nodes("Function", "Method", "Class"), "code", {"code_type": "label", "code_name": "name", "file_path": "file_path"}).select("feature", "code_type", "code_name", "file_path")
+
+
+@query(f"{_G} SELECT r.path AS route, h.name AS handler, f.name AS feature, d.title AS document FROM nodes r JOIN edges x ON x.dst = r.id AND x.type = 'EXPOSES_API' JOIN nodes h ON h.id = x.src JOIN edges i ON i.src = h.id AND i.type = 'IMPLEMENTS' JOIN nodes f ON f.id = i.dst AND f.label = 'Feature' JOIN edges w ON w.dst = f.id AND w.type = 'DESCRIBES' JOIN nodes d ON d.id = w.src AND d.label = 'Document' WHERE r.label = 'APIRoute'")
+def n2_route_requirements(spark: SparkSession, sf: str) -> DataFrame:
+    """API route to handler to feature to the documents that describe it."""
+    s = Star(spark, sf)
+    one = pattern.attach(pattern.expand(s.nodes("APIRoute").select("id", F.col("path").alias("route")), s.edges("EXPOSES_API"), "id", "fn", "in"), s.nodes("Function"), "fn", {"handler": "name"})
+    two = pattern.attach(pattern.expand(one, s.edge_part("IMPLEMENTS", 1), "fn", "feat"), s.nodes("Feature"), "feat", {"feature": "name"})
+    three = pattern.expand(two, s.edges("DESCRIBES"), "feat", "doc", "in")
+    return pattern.attach(three, s.nodes("Document"), "doc", {"document": "title"}).select("route", "handler", "feature", "document")
+
+
+@query(f"{_G} SELECT m.name AS caller, m.file_path, m.start_line, n.name AS callee FROM edges c JOIN nodes m ON m.id = c.src JOIN nodes n ON n.id = c.dst WHERE c.type = 'CALLS'")
 def n4_callers_with_place(spark: SparkSession, sf: str) -> DataFrame:
+    """Callers, functions and methods, of every function with their place; a method of the star tables has none."""
     s = Star(spark, sf)
-    calls = s.edge_part("CALLS", 1).select("src", "dst")
-    one = pattern.attach(calls, s.nodes("Function"), "src", {"caller": "name", "file_path": "file_path", "start_line": "start_line"})
+    calls = s.edges("CALLS").select("src", "dst")
+    one = pattern.attach(calls, s.nodes("Function", "Method"), "src", {"caller": "name", "file_path": "file_path", "start_line": "start_line"})
     return pattern.attach(one, s.nodes("Function"), "dst", {"callee": "name"}).select("caller", "file_path", "start_line", "callee")
 
 
@@ -326,7 +416,3 @@ def t2_orphan_references(spark: SparkSession, sf: str) -> DataFrame:
 def t3_keyword_groups(spark: SparkSession, sf: str) -> DataFrame:
     topic = F.when(scan.contains_ci("text", "voucher"), "voucher").otherwise("other")
     return table(spark, sf, "documents").filter("text is not null").groupBy(topic.alias("topic"), F.lower(F.coalesce("lang", F.lit(""))).alias("language")).agg(F.count("*").alias("n"))
-
-
-def l13_titles(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", text.title(F.col("text")).alias("title"))
