@@ -32,14 +32,24 @@ def offset_of(text: Column, line: Column, column: Column) -> Column:
     return F.aggregate(before, F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 1) + column
 
 
-def sliced(functions: DataFrame, sources: DataFrame) -> DataFrame:
+def relative_path(path: Column, root: str = "") -> Column:
+    """A path as the sources have it: forward slashes, no leading './', and relative to `root` where it lies below it."""
+    clean = F.regexp_replace(F.regexp_replace(F.translate(path, "\\", "/"), "/+", "/"), r"^(?:\./)+", "")
+    if not root:
+        return clean
+    lead = root.rstrip("/") + "/"
+    return F.when(F.startswith(clean, F.lit(lead)), F.substr(clean, F.lit(len(lead) + 1))).otherwise(clean)
+
+
+def sliced(functions: DataFrame, sources: DataFrame, root: str = "") -> DataFrame:
     """functions with `code`: bytes if the offsets fit, else lines; null if the file is missing.
 
-    Each file's content is joined to its functions and cut to their code in the same stage; a file with
-    very many functions is split by AQE, as the content side is unique by path.
+    Paths meet in one form, absolute ones relative to the project's `root`. Each file's content is joined to its
+    functions and cut to their code in the same stage; a file with very many functions is split by AQE, as the
+    content side is unique by path.
     """
-    one = sources.filter("path is not null").groupBy(F.col("path").alias("_path")).agg(F.max("content").alias("_content"))
-    joined = functions.join(one, F.col("file_path") == F.col("_path"), "left")
+    one = sources.filter("path is not null").groupBy(relative_path(F.col("path"), root).alias("_path")).agg(F.max("content").alias("_content"))
+    joined = functions.join(one, relative_path(F.col("file_path"), root) == F.col("_path"), "left")
     content = F.col("_content")
     code = F.coalesce(byte_slice(content, F.col("start_byte"), F.col("end_byte")), line_slice(text_of(content), F.col("start_line"), F.col("end_line")))
     return joined.withColumn("code", code).drop("_path", "_content")

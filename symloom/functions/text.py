@@ -19,13 +19,15 @@ CATEGORIES = {
     "api": r"(?i)(?:API|endpoint|route):[\t\n\f\r ]*([A-Z][A-Za-z\t\n\f\r /]+)",
     "service": r"(?i)(?:service|microservice):[\t\n\f\r ]*([A-Z][A-Za-z\t\n\f\r -]+)",
 }
+# A header of a section, and headers that name no feature.
 HEADER = r"(?dm)^#{1,3}[\t\n\f\r ]+(.+)$"
 GENERIC_HEADERS = ("introduction", "overview", "conclusion", "summary", "table of contents", "contents", "index", "references", "appendix", "notes", "todo", "changelog")
+# An identifier in backticks, and words that are none.
 CODE_TOKEN = r"`([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*(?:\(\))?)`"
 COMMON_WORDS = (
-    "the and or but if then else when where what how why who which that this these those can will would should could may might must "
-    "is are was were be been being have has had do does did get got set put let make take"
-).split()
+    "the", "and", "or", "but", "if", "then", "else", "when", "where", "what", "how", "why", "who", "which", "that", "this", "these", "those", "can", "will", "would", "should", "could", "may", "might", "must",
+    "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "get", "got", "set", "put", "let", "make", "take",
+)
 CHUNK_WORDS = 1000
 
 
@@ -81,9 +83,10 @@ def is_generic_header(header: Column) -> Column:
 
 
 def sentence_with(chunk: Column, name: Column) -> Column:
-    """The first sentence that holds the name, whatever its case; else the first 100 characters."""
+    """The first sentence that holds the name, whatever its case; else the first 100 bytes, without a cut character."""
     hit = F.try_element_at(F.filter(F.split(chunk, r"\."), lambda s: F.contains(F.lower(s), F.lower(name))), F.lit(1))
-    rest = F.when(F.octet_length(chunk) > 100, F.concat(F.substring(chunk, 1, 100), F.lit("..."))).otherwise(chunk)
+    fits = F.array_max(F.filter(F.sequence(F.lit(25), F.lit(100)), lambda n: F.octet_length(F.substring(chunk, F.lit(1), n)) <= 100))
+    rest = F.when(F.octet_length(chunk) > 100, F.concat(F.substring(chunk, F.lit(1), fits), F.lit("..."))).otherwise(chunk)
     return F.when(hit.isNotNull(), F.concat(trim(hit), F.lit("."))).otherwise(rest)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from symloom.functions import source, text
 from symloom.functions import symbols as sym
 from symloom.plans.base import Registry
-from symloom.tables import table
+from symloom.tables import newest_sql, one_per_key, table
 
 query = Registry()
 _SYM = "s AS (SELECT DISTINCT symbol FROM code_symbols WHERE symbol IS NOT NULL)"
@@ -32,6 +32,15 @@ def h6_build_symbols(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("k"), sym.go_symbol(F.col("p_brand"), F.concat(F.lit("v"), F.col("p_size").cast("string")), descriptor).alias("symbol")).distinct()
 
 
+@query("SELECT DISTINCT p_partkey AS k, 'scip-go go ' || p_brand || ' v' || p_size || ' ' || CASE WHEN p_size % 2 = 0 THEN p_type || '#' ELSE '' END || CASE WHEN p_size % 3 = 0 THEN 'f' || p_size || '.' ELSE '' END || CASE WHEN p_size % 5 = 0 THEN 'local x' || p_size ELSE '' END || CASE WHEN p_size % 7 = 0 THEN 'param ctx' ELSE '' END AS symbol FROM part")
+def h7_descriptors(spark: SparkSession, sf: str) -> DataFrame:
+    """Descriptors with each kind of part: types, fields, locals and parameters, where they are there (H7)."""
+    null, size = F.lit(None).cast("string"), F.col("p_size").cast("string")
+    if_ = lambda n, value: F.when(F.col("p_size") % n == 0, value)
+    descriptor = sym.go_descriptor(null, if_(2, F.col("p_type")), null, if_(3, F.concat(F.lit("f"), size)), if_(5, F.concat(F.lit("x"), size)), if_(7, F.lit("ctx")))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("k"), sym.go_symbol(F.col("p_brand"), F.concat(F.lit("v"), size), descriptor).alias("symbol")).distinct()
+
+
 @query(f"WITH {_SYM} SELECT symbol, CASE WHEN contains(symbol, '#') AND contains(symbol, '().') THEN 'Method' WHEN contains(symbol, '().') THEN 'Function' WHEN contains(symbol, '#') THEN 'Type' WHEN contains(symbol, '/') THEN 'Package' ELSE 'Variable' END AS kind FROM s")
 def h8_infer_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return _symbols(spark, sf).select("symbol", sym.infer_kind(F.col("symbol")).alias("kind"))
@@ -50,9 +59,9 @@ def h10_kind_maps(spark: SparkSession, sf: str) -> DataFrame:
     return mapped.select("kind", "model_kind", sym.kind_label(F.col("model_kind")).alias("label"))
 
 
-@query("SELECT id, CASE WHEN list_contains(labels, 'Method') THEN 'Method' WHEN list_contains(labels, 'Function') THEN 'Function' ELSE 'Unknown' END AS kind FROM (SELECT id, any_value(labels) AS labels FROM code_functions WHERE id IS NOT NULL GROUP BY id)")
+@query("SELECT id, CASE WHEN list_contains(labels, 'Method') THEN 'Method' WHEN list_contains(labels, 'Function') THEN 'Function' ELSE 'Unknown' END AS kind FROM (" + newest_sql("code_functions", ("labels",), "updated_at") + ")")
 def h12_label_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    one = table(spark, sf, "code_functions").filter("id is not null").groupBy("id").agg(F.any_value("labels").alias("labels"))
+    one = one_per_key(table(spark, sf, "code_functions"), ["id"], ["labels"], "updated_at")
     return one.select("id", sym.labels_kind(F.col("labels")).alias("kind"))
 
 
@@ -96,6 +105,12 @@ def h18_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").filter("text is not null").select("doc_id", F.posexplode(text.chunks(F.col("text"), 100)).alias("chunk", "words_of"))
 
 
+@query(f"WITH {_chunk_sql(1000)} SELECT doc_id, unnest(range(len(chunks))) AS chunk, unnest(chunks) AS words_of FROM c")
+def h18_chunks_of_a_thousand(spark: SparkSession, sf: str) -> DataFrame:
+    """The same at the size that the pipeline uses."""
+    return table(spark, sf, "documents").filter("text is not null").select("doc_id", F.posexplode(text.chunks(F.col("text"))).alias("chunk", "words_of"))
+
+
 @query(f"SELECT doc_id, {_WORDS.format(x='text')} AS words, trim(regexp_replace(text, '[\\t\\n\\f\\r ]+', ' ', 'g'), {_BLANK}) AS flat FROM documents WHERE text IS NOT NULL")
 def h25_words_and_blanks(spark: SparkSession, sf: str) -> DataFrame:
     """Word counts and collapsed white space."""
@@ -114,19 +129,39 @@ _CATS = " UNION ALL ".join(
 _FOUND = f"WITH {_chunk_sql(1000)}, e AS (SELECT doc_id, unnest(range(len(chunks))) AS ci, unnest(chunks) AS chunk FROM c), found AS ({_CATS} UNION ALL SELECT doc_id, ci, 'section', unnest({_H20}) FROM e)"
 
 
-@query(f"{_FOUND} SELECT doc_id, ci AS chunk, category, name FROM found")
+# With description and tags; a feature's place is its chunk, the rank of its pattern and its number there.
+_NAMES = " UNION ALL ".join(
+    [
+        "SELECT doc_id, kind, ci, chunk, {r} AS r, '{c}' AS category, list_filter(list_transform(regexp_extract_all(chunk, '{p}', 1), lambda n: trim(n, {b})), lambda n: strlen(n) > 3) AS names FROM e".format(r=r, c=c, p=p, b=_BLANK)
+        for r, (c, p) in enumerate(text.CATEGORIES.items())
+    ]
+    + [f"SELECT doc_id, kind, ci, chunk, {len(text.CATEGORIES)}, 'section', {_H20} FROM e"]
+)
+_KIND = "CASE WHEN n LIKE '%.md' THEN CASE WHEN contains(n, 'readme') THEN 'README' WHEN contains(n, 'rfc') THEN 'RFC' WHEN contains(n, 'spec') THEN 'Specification' WHEN contains(n, 'arch') THEN 'Architecture' ELSE 'Markdown Document' END WHEN n LIKE '%.txt' THEN 'Text Document' WHEN n LIKE '%.rst' THEN 'reStructuredText' ELSE 'Document' END"
+_REST = "CASE WHEN strlen(chunk) > 100 THEN substr(chunk, 1, list_max(list_filter(range(25, 101), lambda k: strlen(substr(chunk, 1, k)) <= 100))) || '...' ELSE chunk END"
+_HIT = f"trim(list_filter(string_split(chunk, '.'), lambda s: contains(lower(s), lower(name)))[1], {_BLANK})"
+_FULL = f"""{_FOUND.split(', found AS (')[0].replace('SELECT doc_id, unnest(range(len(chunks))) AS ci', f"SELECT doc_id, (SELECT {_KIND} FROM (SELECT lower(string_split(coalesce(source_url, ''), '/')[-1]) AS n)) AS kind, unnest(range(len(chunks))) AS ci")},
+named AS ({_NAMES}), each AS (SELECT doc_id, lower(kind) AS kind, ci, chunk, r, category, unnest(range(len(names))) AS k, unnest(names) AS name FROM named),
+full_found AS (SELECT doc_id, ci, category, name, ci * 1000000 + r * 100000 + k AS ordinal, CASE WHEN category = 'section' THEN 'Section: ' || name ELSE coalesce({_HIT} || '.', {_REST}) END AS description, CASE WHEN category = 'section' THEN ['section', 'documentation'] ELSE [category, kind] END AS tags FROM each)"""
+_KEY = f"lower(trim(regexp_replace(name, '[\\t\\n\\f\\r ]+', ' ', 'g'), {_BLANK}))"
+_MERGED = f"""{_FULL}, keyed AS (SELECT *, {_KEY} AS key, strlen(description) AS size FROM full_found),
+tagged AS (SELECT doc_id, key, array_to_string(list(tag ORDER BY o), ',') AS tags FROM (SELECT doc_id, key, tag, min(ordinal * 10 + p) AS o FROM (SELECT doc_id, key, ordinal, unnest(tags) AS tag, unnest(range(len(tags))) AS p FROM keyed) GROUP BY doc_id, key, tag) GROUP BY doc_id, key),
+merged AS (SELECT k.doc_id, k.key, any_value(tagged.tags) AS tags, arg_min(name, ordinal) AS name, arg_max(description, (size, -ordinal)) AS description FROM keyed k JOIN tagged USING (doc_id, key) GROUP BY k.doc_id, k.key)"""
+
+
+@query(f"{_FULL} SELECT doc_id, ci AS chunk, category, name, description, array_to_string(tags, ',') AS tags FROM full_found")
 def h19_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Features by category patterns and by section headers, of every document."""
-    return text.features(table(spark, sf, "documents")).select("doc_id", F.col("chunk").cast("long").alias("chunk"), "category", "name")
+    """Features by category patterns and by section headers, of every document, with description and tags."""
+    return text.features(table(spark, sf, "documents")).select("doc_id", F.col("chunk").cast("long").alias("chunk"), "category", "name", "description", F.array_join("tags", ",").alias("tags"))
 
 
-@query(f"{_FOUND} SELECT doc_id, lower(trim(regexp_replace(name, '[\\t\\n\\f\\r ]+', ' ', 'g'), {_BLANK})) AS key FROM found GROUP BY ALL")
+@query(f"{_MERGED} SELECT doc_id, key, name, description, tags FROM merged")
 def d11_merged_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Features of one document merged by name, case and spacing aside."""
-    return text.merge_features(text.features(table(spark, sf, "documents"))).select("doc_id", "key")
+    """Features of one document merged by name, case and spacing aside: first name, longest description, all tags."""
+    return text.merge_features(text.features(table(spark, sf, "documents"))).select("doc_id", "key", "name", "description", F.array_join("tags", ",").alias("tags"))
 
 
-@query()
+@query(f"{_MERGED}, titled AS (SELECT doc_id, {_TITLE} AS title, (SELECT {_KIND} FROM (SELECT lower(string_split(coalesce(source_url, ''), '/')[-1]) AS n)) AS kind FROM documents WHERE text IS NOT NULL) SELECT titled.doc_id, title, kind, name, description, tags FROM titled LEFT JOIN merged ON merged.doc_id = titled.doc_id")
 def l13_index_documents(spark: SparkSession, sf: str) -> DataFrame:
     """The whole text pipeline: title, type, and merged features with description and tags."""
     docs = table(spark, sf, "documents")
@@ -135,10 +170,10 @@ def l13_index_documents(spark: SparkSession, sf: str) -> DataFrame:
     return titled.join(merged, titled.doc_id == merged["_doc"], "left").drop("_doc")
 
 
-@query("SELECT id, CASE WHEN end_line <= start_line THEN 1 ELSE end_line - start_line + 1 END::BIGINT AS loc, regexp_matches(name, '^\\p{Lu}') AS exported, CASE WHEN name = '_' THEN NULL WHEN regexp_matches(name, '^\\p{Lu}') THEN 'package' ELSE 'private' END AS scope, file_path || ':' || start_line || ':0' AS fallback FROM (SELECT id, any_value(name) AS name, any_value(start_line) AS start_line, any_value(end_line) AS end_line, any_value(file_path) AS file_path FROM code_functions WHERE id IS NOT NULL GROUP BY id)")
+@query("SELECT id, CASE WHEN end_line <= start_line THEN 1 ELSE end_line - start_line + 1 END::BIGINT AS loc, regexp_matches(name, '^\\p{Lu}') AS exported, CASE WHEN name = '_' THEN NULL WHEN regexp_matches(name, '^\\p{Lu}') THEN 'package' ELSE 'private' END AS scope, file_path || ':' || start_line || ':0' AS fallback FROM (" + newest_sql("code_functions", ("name", "start_line", "end_line", "file_path"), "updated_at") + ")")
 def h26_lines_and_scope(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of code, exported names, scopes and fallback ids."""
-    one = table(spark, sf, "code_functions").filter("id is not null").groupBy("id").agg(*[F.any_value(c).alias(c) for c in ("name", "start_line", "end_line", "file_path")])
+    one = one_per_key(table(spark, sf, "code_functions"), ["id"], ["name", "start_line", "end_line", "file_path"], "updated_at")
     return one.select("id", sym.lines_of_code(F.col("start_line"), F.col("end_line")).alias("loc"), sym.is_exported(F.col("name")).alias("exported"), sym.scope(F.col("name")).alias("scope"), sym.fallback_id(F.col("file_path"), F.col("start_line"), F.lit(0)).alias("fallback"))
 
 
@@ -157,7 +192,7 @@ def h30_path_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "code_sources").filter("path is not null").select("path", F.sha2("path", 256).alias("hash")).distinct()
 
 
-@query()
+@query("SELECT DISTINCT id, array_to_string(list_filter(list_transform(string_split(docstring, chr(10)), lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '^[\\t ]*//', ''), '^/\\*', ''), '\\*/$', ''), " + _BLANK + ")), lambda x: x <> ''), ' ') AS docstring FROM code_functions WHERE docstring IS NOT NULL")
 def h34_docstrings(spark: SparkSession, sf: str) -> DataFrame:
     """Docstrings without comment marks, lines joined by spaces."""
     return table(spark, sf, "code_functions").filter("docstring is not null").select("id", text.docstring(F.col("docstring")).alias("docstring")).distinct()

@@ -6,6 +6,7 @@ names inside function bodies are not taken for a package's own.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -21,11 +22,15 @@ COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 _PACKAGE = re.compile(r"(?m)^package[ \t]+(\w+)")
 _FUNC = re.compile(r"(?m)^func[ \t]*(?:\((?P<receiver>[^)]*)\)[ \t]*)?(?P<name>\w+)[ \t]*(?:\[[^\]]*\])?[ \t]*\(")
-_TYPE = re.compile(r"(?m)^type[ \t]+(?P<name>\w+)(?:\[[^\]]*\])?[ \t]+(?P<kind>struct|interface)[ \t]*\{")
-_VALUE = re.compile(r"(?m)^(?P<kind>const|var)[ \t]+(?P<name>[A-Za-z_]\w*)(?:[ \t]*,[ \t]*[A-Za-z_]\w*)*[ \t]*(?P<type>[^=\n]*?)[ \t]*(?:=|$)")
-_BLOCK = re.compile(r"(?m)^(?P<kind>const|var)[ \t]*\(\n(?P<body>.*?)^\)", re.S)
-_ENTRY = re.compile(r"(?m)^\t(?P<name>[A-Za-z_]\w*)(?P<rest>[^\n]*)$")
-_FIELD = re.compile(r"(?m)^\t(?P<name>[A-Za-z_]\w*(?:[ \t]*,[ \t]*[A-Za-z_]\w*)*)[ \t]+(?P<type>[^\s`/][^`/\n]*)")
+_NAMES = r"[A-Za-z_]\w*(?:[ \t]*,[ \t]*[A-Za-z_]\w*)*"
+_TYPE = re.compile(r"(?m)^type[ \t]+(?P<name>\w+)(?:\[[^\]\n]*\])?[ \t]+(?P<kind>struct|interface)[ \t]*\{")
+_VALUE = re.compile(rf"(?m)^(?P<kind>const|var)[ \t]+(?P<names>{_NAMES})[ \t]*(?P<type>[^=\n]*?)[ \t\r]*(?:=|$)")
+_BLOCK = re.compile(r"(?m)^(?P<kind>const|var|type)[ \t]*\([^\n]*\n")
+_BLOCK_END = re.compile(r"(?m)^\)")
+_ENTRY = re.compile(rf"(?m)^\t(?P<names>{_NAMES})[ \t]*(?P<type>[^=\n/]*?)[ \t\r]*(?:=|//|$)")
+_TYPE_ENTRY = re.compile(r"(?m)^\t(?P<name>\w+)(?:\[[^\]\n]*\])?[ \t]+(?P<kind>struct|interface)[ \t]*\{")
+# Fields of a struct, of one in a group; an embedded type has no name of its own and is no field here.
+_FIELDS = {depth: re.compile(rf"(?m)^\t{{{depth}}}(?P<name>{_NAMES})[ \t]+(?P<type>[^\s`/][^`/\n\r]*)") for depth in (1, 2)}
 
 
 def _closing(text: str, at: int, opens: str, closes: str) -> int:
@@ -95,10 +100,15 @@ def parameters(text: str) -> list[tuple[str, str]]:
 
 
 def _docstring(text: str, at: int) -> str:
-    lines = text[:at].split("\n")[:-1]
     own: list[str] = []
-    while lines and re.match(r"[ \t]*//", lines[-1]):
-        own.append(re.sub(r"^[ \t]*//", "", lines.pop()).strip())
+    end = text.rfind("\n", 0, at)
+    while end >= 0:
+        begin = text.rfind("\n", 0, end) + 1
+        line = text[begin:end].strip()
+        if not line.startswith("//"):
+            break
+        own.append(line[2:].strip())
+        end = begin - 1
     return " ".join(x for x in reversed(own) if x)
 
 
@@ -107,10 +117,16 @@ def declarations(path: str, content: bytes) -> Iterator[tuple]:
     shift = 1 if text.startswith("﻿") else 0
     body = text[shift:]
     start_of_lines = [0] + [m.end() for m in re.finditer("\n", body)]
-    import bisect
-
     line = lambda at: bisect.bisect_right(start_of_lines, at)
-    byte = lambda at: len(text[: at + shift].encode("utf-8", "surrogateescape"))
+    # Bytes before each line, so that an offset is counted over one line only.
+    before = [shift * 3]
+    for a, b in zip(start_of_lines, start_of_lines[1:]):
+        before.append(before[-1] + len(body[a:b].encode("utf-8", "surrogateescape")))
+
+    def byte(at: int) -> int:
+        n = bisect.bisect_right(start_of_lines, at) - 1
+        return before[n] + len(body[start_of_lines[n] : at].encode("utf-8", "surrogateescape"))
+
     m = _PACKAGE.search(body)
     package = m[1] if m else ""
 
@@ -140,22 +156,38 @@ def declarations(path: str, content: bytes) -> Iterator[tuple]:
         for n, (name, kind) in enumerate(own):
             if name and name != "_":
                 yield row("Parameter", name, m.end(), closing, kind, None, None, owner, n, None, f"{owner}.{name}")
-    for m in _TYPE.finditer(body):
+
+    def declared(m: re.Match, depth: int) -> Iterator[tuple]:
+        """A type and its fields."""
         end = _closing(body, m.end() - 1, "{", "}") + 1
         if not end:
-            continue
-        yield row("Class" if m["kind"] == "struct" else "Interface", m["name"], m.start(), end, doc=_docstring(body, m.start()))
+            return
+        yield row("Class" if m["kind"] == "struct" else "Interface", m["name"], m.start() + depth - 1, end, doc=_docstring(body, m.start()))
         if m["kind"] == "struct":
-            for n, f in enumerate(_FIELD.finditer(body, m.end(), end)):
+            for n, f in enumerate(_FIELDS[depth].finditer(body, m.end(), end)):
                 for name in re.split(r"[ \t]*,[ \t]*", f["name"]):
-                    yield row("Variable", name, f.start() + 1, f.end(), f["type"].strip(), None, None, f"{package}.{m['name']}", n, None, f"{package}.{m['name']}.{name}")
+                    yield row("Variable", name, f.start() + depth, f.end(), f["type"].strip(), None, None, f"{package}.{m['name']}", n, None, f"{package}.{m['name']}.{name}")
+
+    for m in _TYPE.finditer(body):
+        yield from declared(m, 1)
     for m in _VALUE.finditer(body):
-        if m["name"] != "_":
-            yield row("Variable", m["name"], m.start(), m.end(), m["type"].strip() or None, None, None, None, None, _docstring(body, m.start()))
-    for block in _BLOCK.finditer(body):
-        for m in _ENTRY.finditer(body, block.start("body"), block.end("body")):
-            if m["name"] != "_":
-                yield row("Variable", m["name"], m.start() + 1, m.end())
+        for name in re.split(r"[ \t]*,[ \t]*", m["names"]):
+            if name != "_":
+                yield row("Variable", name, m.start(), m.end(), m["type"].strip() or None, None, None, None, None, _docstring(body, m.start()))
+    at = 0
+    while block := _BLOCK.search(body, at):
+        closing = _BLOCK_END.search(body, block.end())
+        at = closing.start() if closing else len(body)
+        if block["kind"] == "type":
+            for m in _TYPE_ENTRY.finditer(body, block.end(), at):
+                yield from declared(m, 2)
+            continue
+        for m in _ENTRY.finditer(body, block.end(), at):
+            for name in re.split(r"[ \t]*,[ \t]*", m["names"]):
+                if name != "_":
+                    yield row("Variable", name, m.start() + 1, m.end(), m["type"].strip() or None)
+        if not closing:
+            break
 
 
 def extract(sources: DataFrame) -> DataFrame:

@@ -158,6 +158,30 @@ class ScipSource(DataSource):
         return _Reader(sorted(glob.glob(self.options["path"])), self.table())
 
 
+def read(spark, path: str, table: str):
+    """A table out of the index files at a path or glob of any file system that Spark reads, one file a row."""
+    if table not in SCHEMAS:
+        raise ValueError(f"no such table: {table}")
+    columns = [c.split()[0] for c in SCHEMAS[table].split(", ")]
+
+    def parse(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for name, content in zip(batch.path, batch.content):
+                yield pd.DataFrame(list(rows(bytes(content), name, table)), columns=columns)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, SCHEMAS[table])
+
+
+def services(metadata, name: str | None = None):
+    """Service nodes (id, name, version, root) of index files: named by the project's root, or as told."""
+    from pyspark.sql import functions as F
+
+    own = F.lit(name) if name else F.element_at(F.filter(F.split("project_root", "/"), lambda x: x != ""), -1)
+    return metadata.select(F.coalesce(own, F.lit("unknown")).alias("name"), F.col("tool_version").alias("version"), F.col("project_root").alias("root")).distinct().select(F.concat(F.lit("svc:"), "name").alias("id"), "name", "version", "root")
+
+
 def looks_like_index(first: bytes) -> bool:
     """Whether a file's first byte is one that no text begins with."""
     return bool(first) and first[0] < 32

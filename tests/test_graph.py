@@ -1,6 +1,7 @@
 """Patterns and traversals on a small graph with a diamond, parallel edges, a circle and nulls."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from symloom.operators import pattern, scan, traverse, upsert
 
@@ -92,3 +93,25 @@ def test_edges_and_delete(spark):
     assert {r.id for r in upsert.distinct_edges(good).collect()} == {"1"}
     left, rest = upsert.detach_delete(nodes, good, spark.createDataFrame([("b",), ("b",)], "id string"))
     assert {r.id for r in left.collect()} == {"a", "c"} and rest.count() == 0
+
+
+def test_replace(spark):
+    nodes = spark.createDataFrame([("a", "x", 1), ("b", "y", 2), ("b", "y2", 3), (None, "n", 9)], "k string, p string, q int")
+    batch = spark.createDataFrame([("a", 1, "old", 5, True, True), ("a", 2, "new", None, True, False), ("b", 1, None, 7, False, True), ("c", 1, "c1", 4, True, True), (None, 1, "z", 1, True, True)], "k string, o int, p string, q int, has_p boolean, has_q boolean")
+    got = sorted(((r.k, r.p, r.q) for r in upsert.replace(nodes, batch, ["k"], "o", ["p", "q"]).collect()), key=str)
+    assert got == sorted([("a", "new", None), ("b", None, 7), ("b", None, 7), ("c", "c1", 4), (None, "n", 9), (None, "z", 1)], key=str)
+    assert upsert.replace(nodes.limit(0), batch.limit(0), ["k"], "o", ["p", "q"]).count() == 0
+
+
+def test_call_edges_tell_circles(spark):
+    calls = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "d"), ("d", "e"), ("e", "f"), (None, "a"), ("a", None), ("x", "y"), ("a", "b")], "src string, dst string")
+    seeds = spark.createDataFrame([("a",), ("x",), (None,)], "seed string")
+    got = {(r.seed, r.src, r.dst, r.recursive) for r in traverse.call_edges(calls.filter("src is not null and dst is not null"), seeds, 4).collect()}
+    assert got == {("a", "a", "b", False), ("a", "b", "c", True), ("a", "c", "b", True), ("a", "c", "d", False), ("a", "d", "d", True), ("a", "d", "e", False), ("x", "x", "y", False)}
+    assert traverse.call_edges(calls.limit(0), seeds, 4).count() == 0
+
+
+def test_first_of_each_key(spark):
+    rows = spark.createDataFrame([("k", i % 7, i) for i in range(40)] + [("l", None, 1), ("l", 1, 2)], "key string, a int, b int")
+    got = pattern.first_of(rows, "key", [F.col("a").asc_nulls_last(), "b"], 3).collect()
+    assert {(r.key, r.a, r.b) for r in got} == {("k", 0, 0), ("k", 0, 7), ("k", 0, 14), ("l", 1, 2), ("l", None, 1)}

@@ -38,7 +38,7 @@ def test_service(spark, data):
     s = Service(spark, data)
     ask = lambda **x: s.handle(json.dumps({"jsonrpc": "2.0", "id": 1} | x))
     assert ask(method="initialize")["result"]["name"] == "symloom"
-    assert {t["name"] for t in ask(method="tools/list")["result"]["tools"]} == {"search", "references", "overview", "status"}
+    assert {t["name"] for t in ask(method="tools/list")["result"]["tools"]} == {"search", "source", "references", "overview", "analyze", "impact", "status"}
     hits = ask(method="tools/call", params={"name": "search", "arguments": {"term": "ring", "labels": ["Function"], "limit": 3}})["result"]
     assert 0 < len(hits) <= 3 and all("ring" in h["shown_name"].lower() or "ring" in h["signature"].lower() for h in hits)
     assert ask(method="tools/call", params={"name": "overview", "arguments": {"id": hits[0]["id"]}})["result"]["id"] == hits[0]["id"]
@@ -46,6 +46,64 @@ def test_service(spark, data):
     assert ask(method="tools/call", params={"name": "x"})["error"]["code"] == -32602
     assert ask(method="tools/call", params={"name": "overview", "arguments": {"id": "nothing"}})["error"]["code"] == -32602
     assert ask(method="tools/call", params={"name": "search", "arguments": {"term": "no%such*name"}})["result"] == []
+    assert s.handle("[]")["error"]["code"] == -32600
+    every = ask(method="tools/call", params={"name": "search", "arguments": {"term": "a", "limit": 0}})["result"]
+    assert len(every) > 50  # 0 is no limit
+    whole = ask(method="tools/call", params={"name": "analyze", "arguments": {"name": hits[0]["shown_name"]}})["result"]
+    assert whole["name"] == hits[0]["shown_name"] and len(whole["callers"]) <= 10 and len(whole["callees"]) <= 10 and whole["callers"]
+    one = spark.read.parquet(f"{data}/code_functions.parquet").filter("start_byte >= 0 and end_byte > start_byte and signature is not null").orderBy("id").first()
+    by_name = ask(method="tools/call", params={"name": "source", "arguments": {"name": one.name}})["result"]
+    by_signature = ask(method="tools/call", params={"name": "source", "arguments": {"signature": one.signature}})["result"]
+    assert any(r["code"] and one.name in r["code"] for r in by_name) and {r["signature"] for r in by_signature} == {one.signature}
+    assert ask(method="tools/call", params={"name": "source", "arguments": {"name": "no such"}})["error"]["code"] == -32602
+    assert ask(method="tools/call", params={"name": "source", "arguments": {}})["error"]["code"] == -32602
+
+
+def test_command_line(spark, tmp_path):
+    import io
+
+    from symloom import cli
+
+    root, store = tmp_path / "shop", str(tmp_path / "store")
+    for name, body in {"a.go": b"package shop\n\n// Adds.\nfunc Add(a int) int {\n\treturn a\n}\n\ntype Cart struct {\n\tItems int\n}\n", "docs/feature.md": b"# Cart\n\nFeature: Cart handling\n"}.items():
+        (root / name).parent.mkdir(exist_ok=True)
+        (root / name).write_bytes(body)
+
+    def said(*argv):
+        out = io.StringIO()
+        code = cli.run(spark, cli.parser().parse_args(["--store", store, *argv]), out)
+        return code, [json.loads(x) for x in out.getvalue().splitlines()]
+
+    assert said("index", "project", str(root), "--service", "shop")[0] == 0
+    code, [counts] = said("index", "docs", str(root))
+    assert code == 0 and said("index", "docs", str(root))[1] == [counts]  # indexed again, nothing is there twice
+    assert {r["label"] for r in said("status")[1]} >= {"Service", "File", "Module", "Function", "Class", "Variable", "Parameter", "Symbol", "Document", "Feature"}
+    assert {r["shown_name"] for r in said("query", "search", "add")[1]} >= {"Add"}
+    assert [r["code"] for r in said("query", "source", "Add")[1]] == ["func Add(a int) int {\n\treturn a\n}"]
+    assert [r["name"] for r in said("query", "source", "Add(a int) int", "--signature")[1]] == ["Add"] and said("query", "source", "None")[0] == 1
+    assert len(said("schema", "create")[1]) == 25 and len(said("schema", "info")[1]) == 25
+    assert said("schema", "drop")[1] == [] and len(said("schema", "info")[1]) == 25  # all are missing again
+
+
+def test_index_graph(spark, tmp_path):
+    from symloom.sources import project, scip
+    from test_sources import index
+
+    (tmp_path / "one.scip").write_bytes(index())
+    tables = [scip.read(spark, str(tmp_path), t) for t in ("symbols", "occurrences", "metadata")]
+    g = project.index_graph(*tables, "shop")
+    labels = {r.label: r["count"] for r in g.nodes.groupBy("label").count().collect()}
+    assert labels == {"Service": 1, "File": 1, "Symbol": 2, "Reference": 2}
+    assert {r.type: r["count"] for r in g.edges.groupBy("type").count().collect()} == {"CONTAINS": 3, "REFERENCES": 2, "DEFINES": 1}
+    assert scip.services(tables[2]).first().name == "r"
+
+
+def test_paths_meet_in_one_form(spark):
+    from symloom.functions import source
+
+    f = spark.createDataFrame([("1", "/work/p/a/x.go", 0, 3, 1, 1), ("2", "./a/x.go", 0, 3, 1, 1), ("3", "a\\x.go", 0, 3, 1, 1), ("4", "/other/a/x.go", 0, 3, 1, 1), ("5", None, 0, 3, 1, 1)], "id string, file_path string, start_byte long, end_byte long, start_line long, end_line long")
+    s = spark.createDataFrame([("a/x.go", bytearray(b"abcdef"))], "path string, content binary")
+    assert {r.id: r.code for r in source.sliced(f, s, "/work/p").collect()} == {"1": "abc", "2": "abc", "3": "abc", "4": None, "5": None}
 
 
 def test_catalog(spark):
@@ -62,6 +120,17 @@ def test_catalog(spark):
         c.create("symbol_unique", "UNIQUE", "Symbol", ("symbol",))
 
 
+def test_catalog_is_stored(spark, tmp_path):
+    folder = str(tmp_path / "catalog")
+    one = model.Catalog(spark, folder)
+    one.create_all()
+    one.drop("file_path_idx")
+    other = model.Catalog(spark, folder)
+    assert other.show().count() == 24 and [r.name for r in other.missing().collect()] == ["file_path_idx"]
+    other.drop_all()
+    assert model.Catalog(spark, folder).show().count() == 0
+
+
 def test_constraints(spark, data):
     nodes = Star(spark, data).nodes("Symbol", "Function")
     assert model.violations(nodes, "Symbol", "symbol").count() == 0

@@ -87,6 +87,25 @@ def test_go_declarations():
     assert list(gosrc.declarations("x.go", b"")) == [] and list(gosrc.declarations("x.go", b"func broken(")) == []
 
 
+def test_go_groups_and_lists():
+    """Every name of a value, grouped types, line ends of either kind; the offsets are those of the bytes."""
+    src = "\ufeffpackage p\n\nvar x, y int\nvar (\n\ta, b = 1, 2\n\tc map[string]int // says\n)\nconst (\n\tP, Q = 1, 2\n\tR\n)\n\n// Not these.\ntype (\n\tFoo struct {\n\t\tK, L string\n\t\tBase\n\t}\n\n\tBär interface{}\n)\n\ntype Bar struct {\n\t*Foo\n\tM int\n}\n"
+    for text in (src, src.replace("\n", "\r\n")):
+        raw = text.encode()
+        rows = [dict(zip(gosrc.COLUMNS, r)) for r in gosrc.declarations("p.go", raw)]
+        assert {r["name"] for r in rows if r["label"] == "Variable"} == {"x", "y", "a", "b", "c", "P", "Q", "R", "K", "L", "M"}
+        assert {(r["label"], r["name"]) for r in rows if r["label"] in ("Class", "Interface")} == {("Class", "Foo"), ("Class", "Bar"), ("Interface", "Bär")}
+        by = {r["name"]: r for r in rows}
+        assert by["K"]["fqn"] == "p.Foo.K" and by["M"]["fqn"] == "p.Bar.M" and by["x"]["signature"] == "int" and by["c"]["signature"] == "map[string]int"
+        assert raw[by["Foo"]["start_byte"] : by["Foo"]["end_byte"]].startswith(b"Foo struct {") and raw[by["Bär"]["start_byte"] : by["Bär"]["end_byte"]] == "Bär interface{}".encode()
+        assert raw[by["Bar"]["start_byte"] :].startswith(b"type Bar struct")
+    import time
+
+    began = time.perf_counter()
+    list(gosrc.declarations("p.go", ("package p\n" + "var (\n" * 20_000).encode())), list(gosrc.declarations("p.go", ("package p\n" + "// x\n" * 20_000 + "func f() {}\n" * 3000).encode()))
+    assert time.perf_counter() - began < 6
+
+
 def test_trees(spark, tmp_path):
     for name, body in {"a.go": b"package a", "b_test.go": b"package a", "vendor/c.go": b"package c", "docs/READ.MD": b"# T", "docs/x.bin": b"\x01"}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
