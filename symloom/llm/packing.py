@@ -155,28 +155,35 @@ def pack(documents: DataFrame, limits: DataFrame, doc_id: str = "doc_id", text:
     source = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null and text <> ''")
     items = cuts.cut(source.mapInPandas(_first_round(ranks, sizes), ITEMS))
     under = items.filter("not done").groupBy("limit_name", "capacity", "container").agg(F.sum("tokens").alias("fill"))
-    moves: list[DataFrame] = []
     parts = max(1, source.rdd.getNumPartitions())
     rest = cuts.cut(under)
+    left = rest.count()
     step = 0
-    while True:
+    # Where each underfull container of the first round has gone: containers only, composed round by round.
+    gone: DataFrame | None = None
+    while left:
         step += 1
-        parts = max(1, -(-parts // FAN_IN))
-        left = rest.count()
-        # One task holds at most a few runs' worth; a larger rest is packed by more tasks.
-        parts = max(parts, -(-left // (4 * CHUNK)))
-        # By size within a partition, so that each run sees containers of all fills; one hash for all sizes.
-        spread = rest.repartition(parts, F.pmod(F.xxhash64("container"), F.lit(parts)))
+        # One task holds at most a few runs' worth. The tree goes on until one task holds all that is left; if that is too
+        # much for one, until other neighbours bring no more than one container in a thousand together.
+        wide, parts = parts, max(1, -(-parts // FAN_IN), -(-left // (4 * CHUNK)))
+        # One hash for all sizes; another one in each round, so that others meet.
+        spread = rest.repartition(parts, F.pmod(F.xxhash64("container", F.lit(step)), F.lit(parts)))
         moved = cuts.cut(spread.mapInPandas(_next_round(step), "limit_name string, capacity bigint, container string, target string, fill bigint, done boolean"))
-        moves.append(moved.select("limit_name", "container", "target"))
+        ahead = moved.select(F.col("limit_name").alias("_limit"), F.col("container").alias("_from"), F.col("target").alias("_to"))
+        if gone is None:
+            gone = cuts.cut(moved.select("limit_name", F.col("container").alias("first"), F.col("target").alias("last")))
+        else:
+            before = gone
+            gone = cuts.cut(before.join(ahead, (F.col("limit_name") == F.col("_limit")) & (F.col("last") == F.col("_from")), "left").select("limit_name", "first", F.coalesce("_to", "last").alias("last")))
+            cuts.drop(before)
         rest = cuts.cut(moved.filter("not done").groupBy("limit_name", "capacity", F.col("target").alias("container")).agg(F.max("fill").alias("fill")))
-        if parts == 1 or rest.count() > left * 0.98:
+        was, left = left, rest.count()
+        if parts == 1 or parts == wide and left > was * 0.999:
             break
     out = items
-    for move in moves:
-        # Only containers that went on are looked up; the others keep their name.
-        ahead = move.select(F.col("limit_name").alias("_limit"), F.col("container").alias("_from"), F.col("target").alias("_to"))
-        out = out.join(ahead, (F.col("limit_name") == F.col("_limit")) & (F.col("container") == F.col("_from")), "left").withColumn("container", F.coalesce("_to", "container")).drop("_limit", "_from", "_to")
+    if gone is not None:  # the items are joined once; those of full containers keep their name
+        ahead = gone.select(F.col("limit_name").alias("_limit"), F.col("first").alias("_from"), F.col("last").alias("_to"))
+        out = out.join(ahead, (F.col("limit_name") == F.col("_limit")) & (F.col("container") == F.col("_from")), "left").withColumn("container", F.coalesce("_to", "container"))
     return out.select("limit_name", "capacity", "container", "doc_id", "piece", "first_token", "tokens")
 
 

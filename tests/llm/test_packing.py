@@ -44,3 +44,17 @@ def test_table(spark, monkeypatch):
     assert p.pack(df.limit(0), limits).count() == 0 and p.pack(df, limits.limit(0)).count() == 0
     report = {r.limit_name: r for r in p.fill_report(p.pack(df, limits)).collect()}
     assert report["small"].tokens == sum(want.values()) and report["small"].fill > 0.97
+
+
+def test_the_tree_ends_in_one_task(spark, monkeypatch):
+    """Texts of just over half a container never pair up; all others find theirs, however many tasks began."""
+    monkeypatch.setattr(p, "CHUNK", 50)
+    docs = [(i, " ".join(["word"] * (33 if i % 3 else 31)), "x") for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, x string").repartition(40)
+    rows = p.pack(df, spark.createDataFrame([("c", 64)], "limit_name string, capacity_tokens long")).collect()
+    fills = {}
+    for r in rows:
+        fills[r.container] = fills.get(r.container, 0) + r.tokens
+    sizes = {p.count_tokens(p.RANKS, t) for _, t, _ in docs}
+    assert len(rows) == 600 and len({r.doc_id for r in rows}) == 600 and max(fills.values()) <= 64
+    assert sizes == {31, 33} and len(fills) <= 400 + 8  # 400 large ones, 200 of them with a small one
