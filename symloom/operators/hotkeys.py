@@ -9,11 +9,13 @@ all tasks although the key is hot.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from symloom.session import Cuts
 from symloom.tables import one_per_key
 
 
@@ -42,25 +44,11 @@ def per_key(df: DataFrame, key: str, states: Mapping[str, Column], distinct: Seq
 def heavy_keys(df: DataFrame, id_col: str, key: str, share: float, field_name: str, newest: str | None = None) -> DataFrame:
     """(field_name, key_value) of every key that at least `share` of all distinct ids carry.
 
-    Ids whose key is null count in the total; null is never a key. The total is the sum of the per-key
-    counts, so the records are made once; the per-key table is aggregated, never collected.
+    Ids whose key is null count in the total; null is never a key. The per-key counts are made and written
+    once; their sum, the total, is taken on the way, and the filter on the count reaches the scan. Nothing per
+    key is collected.
     """
     counts = records(df, id_col, [key], newest).groupBy(F.col(key).alias("key_value")).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    heavy = counts.join(F.broadcast(total), F.col("_n") >= F.col("_total") * F.lit(share), "inner")
-    return heavy.filter(F.col("key_value").isNotNull()).select(F.lit(field_name).alias("field_name"), "key_value")
-
-
-def spread_groups(df: DataFrame, key: str, order: Sequence[str], rows_per_task: int = 100_000) -> DataFrame:
-    """Rows with `_slice`, so that (key, _slice) groups are bounded although the key may be hot.
-
-    For work that is not algebraic: group by (key, _slice), then merge the slices' results by key. The
-    number of slices of a key follows from its count; the slice of a row from a hash of `order`, so a
-    row keeps its slice when a task is run again.
-    """
-    counts = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.ceil(F.count("*") / rows_per_task).alias("_slices"))
-    many = counts.filter(F.col("_slices") > 1)
-    # Each such key has over rows_per_task rows, so there are at most rows / rows_per_task of them.
-    joined = df.join(many, F.col(key) == F.col("_key"), "left")
-    slices = F.coalesce(F.col("_slices"), F.lit(1))
-    return joined.withColumn("_slice", F.pmod(F.xxhash64(*order), slices)).drop("_key", "_slices")
+    held, seen = Cuts(df.sparkSession, "hotkeys").measured(counts, total=F.sum("_n"))
+    least = math.ceil((seen["total"] or 0) * share - 1e-9)
+    return held.filter((F.col("_n") >= least) & F.col("key_value").isNotNull()).select(F.lit(field_name).alias("field_name"), "key_value")

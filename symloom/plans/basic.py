@@ -425,7 +425,7 @@ def k7_schema_validate(spark: SparkSession, sf: str) -> DataFrame:
     return model.Catalog(spark, base).missing()
 
 
-_JSON = "list_filter([CASE WHEN title IS NOT NULL THEN '  \"title\" : ' || to_json(title) END, CASE WHEN doc_type IS NOT NULL THEN '  \"doc_type\" : ' || to_json(doc_type) END, CASE WHEN source_url IS NOT NULL THEN '  \"source_url\" : ' || to_json(source_url) END, '  \"meta\" : {' || chr(10) || array_to_string(list_filter([CASE WHEN lang IS NOT NULL THEN '    \"lang\" : ' || to_json(lang) END, CASE WHEN n_chars IS NOT NULL THEN '    \"n_chars\" : ' || n_chars END], lambda x: x IS NOT NULL), ',' || chr(10)) || chr(10) || '  }'], lambda x: x IS NOT NULL)"
+_JSON = "list_filter([CASE WHEN title IS NOT NULL THEN '  \"title\" : ' || to_json(title) END, CASE WHEN doc_type IS NOT NULL THEN '  \"doc_type\" : ' || to_json(doc_type) END, CASE WHEN source_url IS NOT NULL THEN '  \"source_url\" : ' || to_json(source_url) END, '  \"meta\" : {' || CASE WHEN lang IS NULL AND n_chars IS NULL THEN ' }' ELSE chr(10) || array_to_string(list_filter([CASE WHEN lang IS NOT NULL THEN '    \"lang\" : ' || to_json(lang) END, CASE WHEN n_chars IS NOT NULL THEN '    \"n_chars\" : ' || n_chars END], lambda x: x IS NOT NULL), ',' || chr(10)) || chr(10) || '  }' END], lambda x: x IS NOT NULL)"
 
 
 @query(f"SELECT doc_id, '{{' || chr(10) || array_to_string({_JSON}, ',' || chr(10)) || chr(10) || '}}' AS json FROM documents")

@@ -8,7 +8,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -89,6 +89,12 @@ class Cuts:
         back._symloom_path = path
         return back
 
+    def measured(self, df: DataFrame, **aggregates: Column) -> tuple[DataFrame, dict]:
+        """A cut, and aggregates over its rows that were taken while it was written."""
+        seen = Observation()
+        back = self.cut(df.observe(seen, *[a.alias(n) for n, a in aggregates.items()]))
+        return back, dict(seen.get)
+
     def split(self, df: DataFrame, flag: str, name: str) -> tuple[tuple[int, int], tuple[DataFrame, DataFrame]]:
         """(rows with the flag, rows without), (all rows with it so far under `name`, those without it now): one job.
 

@@ -32,10 +32,3 @@ def test_per_key_with_distinct(spark):
     data = [(str(i), "hot" if i % 3 else "cold", i % 4 or None, 1, "c", 0) for i in range(60)] + [("x", None, 1, 1, None, 0)]
     got = {r.k: (r.m, r.n_distinct_v) for r in hotkeys.per_key(rows(spark, data), "k", {"m": F.count("*")}, ["v"]).collect()}
     assert got == {"hot": (40, 3), "cold": (20, 3)}
-
-
-def test_slices_bound_groups(spark):
-    data = [(str(i), "hot", i, 1, None, 0) for i in range(1000)] + [("z", "cold", 1, 1, None, 0), ("y", None, 1, 1, None, 0)]
-    got = hotkeys.spread_groups(rows(spark, data), "k", ["id"], 100)
-    sizes = got.groupBy("k", "_slice").count().collect()
-    assert got.count() == 1002 and max(r["count"] for r in sizes) < 200 and len([r for r in sizes if r.k == "hot"]) == 10
