@@ -16,7 +16,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from symloom import model
+from symloom import model, rest
 from symloom.service import NotFound, Service, rows, serve
 from symloom.sources import files, project, scip
 
@@ -28,7 +28,8 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--master", default=None)
     commands = top.add_subparsers(dest="command", required=True)
     commands.add_parser("status")
-    commands.add_parser("server")
+    server = commands.add_parser("server")
+    server.add_argument("-p", "--port", type=int, default=0, help="HTTP on this port; without it, JSON-RPC lines on stdin")
     schema = commands.add_parser("schema").add_subparsers(dest="what", required=True)
     for name in ("create", "drop", "info"):
         schema.add_parser(name)
@@ -108,6 +109,8 @@ def run(spark: SparkSession, args: argparse.Namespace, out=sys.stdout) -> int:
         return 0
     service = Service(spark, args.tables) if args.tables else Service(spark, args.store, model.Graph.read(spark, f"{args.store}/graph"))
     if args.command == "server":
+        if args.port:
+            rest.server(service, args.port).serve_forever()
         serve(service, sys.stdin, out)
         return 0
     try:

@@ -97,11 +97,14 @@ def a15_server_info(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(1).select(F.lit("spark").alias("name"), F.lit(spark.version).alias("version"), F.lit(spark.catalog.currentDatabase()).alias("database"))
 
 
-@query()
+_DECLARED = ", ".join([f"('{n}', 'UNIQUE', '{label}', '{p}')" for n, label, p in model.UNIQUE_KEYS] + [f"('{n}', 'BTREE', '{label}', '{','.join(p)}')" for n, label, p in model.INDEXES])
+
+
+@query(f"SELECT * FROM (VALUES {_DECLARED}) v(name, kind, label, properties)")
 def a16_schema_catalog(spark: SparkSession, sf: str) -> DataFrame:
     catalog = model.Catalog(spark)
     catalog.create_all()
-    return catalog.show()
+    return catalog.show().withColumn("properties", F.array_join("properties", ","))
 
 
 @query("SELECT 'connected' AS status")

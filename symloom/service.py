@@ -93,14 +93,15 @@ class Service:
         own = rows(named.select("id", "name", "signature", "file_path", "start_line", "end_line", "lines_of_code").orderBy("id"), 1)
         if not own:
             raise NotFound(f"no function {name}")
-        ids = named.select(F.col("id").alias("_own"))
-        ends = self.nodes("Function", "Method").select(F.col("id").alias("_id"), F.col("name").alias("near"), F.col("file_path").alias("near_file"))
-        out = dict(own[0])
-        for key, here, there in (("callers", "dst", "src"), ("callees", "src", "dst")):
-            hop = self.edges("CALLS").join(ids, F.col(here) == F.col("_own"), "left_semi").join(ends, F.col(there) == F.col("_id"))
-            first = hop.select("near", "near_file", "_id").distinct().orderBy(F.col("near").asc_nulls_last(), "_id")
-            out[key] = [{"name": r["near"] or "", "file_path": r["near_file"] or ""} for r in rows(first, NEIGHBOURS)]
-        return out
+        return own[0] | {side: self.near(name, side, NEIGHBOURS) for side in ("callers", "callees")}
+
+    def near(self, name: str, side: str, limit: int = 0) -> list[dict]:
+        """(id, name, file_path) of the callers or callees of the functions with a name, functions and methods alike."""
+        here, there = ("dst", "src") if side == "callers" else ("src", "dst")
+        ids = self.nodes("Function").filter(F.col("name") == name).select(F.col("id").alias("_own"))
+        ends = self.nodes("Function", "Method").select("id", "name", "file_path")
+        hop = self.edges("CALLS").join(ids, F.col(here) == F.col("_own"), "left_semi").select(F.col(there).alias("_end")).distinct().join(ends, F.col("_end") == F.col("id"))
+        return rows(scan.coerced(hop.select("id", "name", "file_path"), ("name", "file_path")).orderBy("name", "id"), limit)
 
     def impact(self, id: str, hops: int = 10) -> list[dict]:
         seed = self.spark.createDataFrame([(id,)], "seed string")

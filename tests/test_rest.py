@@ -85,6 +85,26 @@ def test_command_line(spark, tmp_path):
     assert said("schema", "drop")[1] == [] and len(said("schema", "info")[1]) == 25  # all are missing again
 
 
+def test_rest(spark, data):
+    import threading
+    from urllib.request import urlopen
+
+    from symloom import rest
+
+    s = Service(spark, data)
+    name = s.nodes("Function").orderBy("id").first().name
+    code, info = rest.answer(s, f"/api/v1/functions/{name.replace(' ', '%20')}/info")
+    assert code == 200 and info["name"] == name
+    assert rest.answer(s, f"/api/v1/functions/{name.replace(' ', '%20')}/callers?limit=3")[1] == info["callers"][:3]
+    assert rest.answer(s, "/api/v1/search?q=ring&limit=2")[0] == 200 and len(rest.answer(s, "/api/v1/search/functions?q=ring")[1]) > 2
+    assert rest.answer(s, "/api/v1/functions/none/info")[0] == 404 and rest.answer(s, "/x")[0] == 404 and rest.answer(s, "/api/v1/search?limit=x")[0] == 400
+    http = rest.server(s, 0)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    with urlopen(f"http://127.0.0.1:{http.server_port}/api/v1/health") as r:
+        assert json.load(r)["status"] == "ok"
+    http.shutdown()
+
+
 def test_index_graph(spark, tmp_path):
     from symloom.sources import project, scip
     from test_sources import index
