@@ -28,8 +28,8 @@ def reachable(edges: DataFrame, seeds: DataFrame, min_hops: int = 1, max_hops: i
         new = frontier.join(hop, "_at").select("seed", "node").distinct()
         if seen is not None:
             new = new.join(seen, ["seed", "node"], "left_anti")
-        level = cuts.cut(new)
-        if level.isEmpty():
+        level, told = cuts.measured(new, n=F.count(F.lit(1)))
+        if not told["n"]:
             break
         levels.append(level.withColumn("depth", F.lit(depth)))
         seen = level if seen is None else seen.unionByName(level)
@@ -81,11 +81,10 @@ def trails(edges: DataFrame, seeds: DataFrame, min_hops: int = 1, max_hops: int
     while max_hops is None or depth < max_hops:
         depth += 1
         joined = front.join(hop, "_at").filter(~F.array_contains("edge_ids", F.col("_edge")))
-        level = cuts.cut(joined.select("seed", F.col("_to").alias("_at"), F.array_append("edge_ids", F.col("_edge")).alias("edge_ids"), F.array_append("node_ids", F.col("_to")).alias("node_ids")))
-        n = level.limit(max_rows + 1).count() if max_rows else int(not level.isEmpty())
-        if max_rows and n > max_rows:
+        level, told = cuts.measured(joined.select("seed", F.col("_to").alias("_at"), F.array_append("edge_ids", F.col("_edge")).alias("edge_ids"), F.array_append("node_ids", F.col("_to")).alias("node_ids")), n=F.count(F.lit(1)))
+        if max_rows and told["n"] > max_rows:
             raise ValueError(f"more than {max_rows} trails of length {depth}")
-        if not n:
+        if not told["n"]:
             break
         levels.append(level.select("seed", "edge_ids", "node_ids").withColumn("depth", F.lit(depth)))
         front = level

@@ -12,6 +12,7 @@ from urllib.parse import parse_qs, unquote, urlsplit
 
 from symloom.service import NotFound, Service
 
+# The paths of the interface.
 ROOT = "/api/v1/"
 
 
