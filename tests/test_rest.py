@@ -164,3 +164,20 @@ def test_stored_graph_prunes_partitions(spark, data, tmp_path):
     assert back.nodes.count() == g.nodes.count() and back.edges.count() == g.edges.count()
     plan = back.rel("DEFINES")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "type" in plan.split("PartitionFilters")[1][:80]
+
+
+def test_cuts_count_while_they_write(spark):
+    from pyspark.sql import functions as F
+
+    from symloom.session import Cuts
+
+    cuts = Cuts(spark, "test")
+    df = spark.range(100).withColumn("x", F.col("id") % 3 == 0)
+    back, seen = cuts.measured(df, n=F.count(F.lit(1)), top=F.max("id"))
+    assert seen == {"n": 100, "top": 99} and back.count() == 100
+    (yes, no), (ended, rest) = cuts.split(df.withColumn("flag", F.when(F.col("id") < 90, F.col("x"))), "flag", "t")
+    assert (yes, no) == (30, 70) and ended.count() == 30 and rest.count() == 70 and ended.columns == ["id", "x"]
+    (yes, no), (ended, rest) = cuts.split(rest.withColumn("flag", F.col("id") == 1), "flag", "t")
+    assert (yes, no) == (1, 69) and ended.count() == 31 and rest.count() == 69  # what ended before is still there
+    (yes, no), (ended, rest) = cuts.split(rest.withColumn("flag", F.lit(False)).limit(0), "flag", "t")
+    assert (yes, no) == (0, 0) and ended.count() == 31 and rest.count() == 0
