@@ -109,7 +109,7 @@ class Cuts:
         schema = kept.drop("_no", "_part").schema
         self.yes = getattr(self, "yes", 0) + counts[0]
         where = (f"{path}/_no=false", f"{path}/_no=true/_part={self.count}")
-        return counts, tuple(self.spark.read.schema(schema).parquet(w) if n else self.spark.createDataFrame([], schema) for w, n in zip(where, (self.yes, counts[1])))
+        return counts, tuple(self.spark.read.schema(schema).parquet(w).select(*schema.names) if n else self.spark.createDataFrame([], schema) for w, n in zip(where, (self.yes, counts[1])))
 
     def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "_symloom_path", None)
