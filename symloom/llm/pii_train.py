@@ -6,7 +6,8 @@ The labels are made in two steps. Names are induced from a sample of documents:
 is thanked or stands in a record in a place where only people stand gives first names and surnames, which
 are then labelled wherever they stand as a full name or with a title. The other kinds are labelled by
 their published formats and the words before them. Then the values are varied (other syllables, other
-digits), so that the tagger learns forms and surroundings rather than the sample's names.
+digits), so that the tagger learns forms and surroundings rather than the sample's names. Sentences written by hand
+(pii_frames.py) are added, with names in other cases and scripts, so that it knows other surroundings than the sample's.
 """
 
 from __future__ import annotations
@@ -20,10 +21,13 @@ from collections import Counter
 import numpy as np
 
 from symloom.llm.pii import WINDOW, cut, stretches
+from symloom.llm.pii_frames import composed
 from symloom.llm.tagger import KINDS, PAD, Adam, Tagger, encode
 
 #: Documents that labels are taken from, windows of the fit (bounded), hidden units, passes, windows in a step.
-DOCUMENTS, WINDOWS, HIDDEN, PASSES, STEP_SIZE = 100_000, 54_000, 44, 6, 160
+DOCUMENTS, WINDOWS, HIDDEN, PASSES, STEP_SIZE = 100_000, 72_000, 44, 11, 160
+#: Texts made of the sentences written by hand, and copies with other values of each text that has spans.
+COMPOSED, COPIES = 9000, 5
 
 _UP, _LOW = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
 _WORD = rf"[{_UP}][{_LOW}’']+(?:-[{_UP}][{_LOW}]+)?"
@@ -66,6 +70,7 @@ class Names:
         # Whoever is named with a title first ('Ms Wanda') is a first name in the place of a last one.
         self.first = {n for n, k in first.items() if k >= least and len(n) > 2 and n not in ("Mme", "Frau")}
         self.last = {n for n, k in last.items() if k >= least and n not in self.first and len(n) > 3}
+        self.last |= self._beside(texts)
         f, s = ("|".join(sorted(map(re.escape, x), key=len, reverse=True)) or "(?!)" for x in (self.first, self.last))
         upper = "|".join(sorted((re.escape(n.upper()) for n in self.last), key=len, reverse=True)) or "(?!)"
         double = rf"(?:{s})(?:-(?:{s}))?"
@@ -74,6 +79,20 @@ class Names:
             rf"(?<![\w@.+-])(?:(?P<full>(?:{f})[ _](?:[A-Z]\.[ _])?{double})|(?P<turned>(?:{double}|(?:{upper})(?:-(?:{upper}))?), (?:{f})(?: [A-Z]\.)?)|{title}(?P<titled>(?:[A-Z]\. )?{double})|(?P<initial>[A-Z]\. {double})|(?P<caps>(?:{'|'.join(re.escape(n.upper()) for n in self.first) or '(?!)'}) (?:{upper})))(?![\w@])"
         )
 
+    def _beside(self, texts: list[str]) -> set[str]:
+        """Words that stand beside a first name more often than not. One that does so often, but always with the
+        same first name, is a part of a product's name."""
+        f = "|".join(sorted(map(re.escape, self.first), key=len, reverse=True)) or "(?!)"
+        near = re.compile(rf"(?<![\w@.+-])(?:(?P<first>{f})[ _](?:[A-Z]\.[ _])?(?P<last>{_WORD})|(?P<turned>(?!(?:Regards|Thanks|Dear|Hi|Merci|Danke|Gruß|Grüße|Gracias)\b){_WORD}), (?P<then>{f})\b(?! ?[{_UP}][{_LOW}]))")
+        every, beside, firsts = Counter(), Counter(), {}
+        for text in texts:
+            every.update(re.findall(rf"\b[{_UP}][{_LOW}’']+", text))
+            for m in near.finditer(text):
+                for word in (m["last"] or m["turned"]).split("-"):
+                    beside[word] += 1
+                    firsts.setdefault(word, set()).add(m["first"] or m["then"])
+        return {w for w, k in beside.items() if 2 * k >= every[w] and (k <= 3 or len(firsts[w]) > 1) and w not in self.first and len(w) > 3}
+
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         out = []
         for m in self.pattern.finditer(text):
@@ -123,11 +142,11 @@ def vary(text: str, spans: list[tuple[int, int, str]], rng: random.Random, names
         value = text[a:b]
         if kind in ("phone", "id_number", "address") and rng.random() < 0.7:
             value = re.sub(r"(?<![+\d])\d|(?<=\d)\d(?=\d)|\d$", lambda m: str(rng.randint(0, 9)) if m.start() > 2 else m[0], value)
-        elif kind == "person" and rng.random() < 0.5:
+        elif kind == "person" and rng.random() < 0.7:
             def other(m: re.Match) -> str:
                 if len(m[0]) < 3:
                     return m[0]
-                new = _coined(rng, rng.choice((1, 2, 2, 3))) if rng.random() < 0.5 else rng.choice(sorted(names.first if m[0] in names.first else names.last) or [m[0]])
+                new = _coined(rng, rng.choice((1, 2, 2, 3))) if rng.random() < 0.6 else rng.choice(sorted(names.first if m[0] in names.first else names.last) or [m[0]])
                 return new.upper() if m[0].isupper() else new
             value = re.sub(rf"[{_UP}][{_UP}{_LOW}]+", other, value)
         parts += [text[at:a], value]
@@ -151,7 +170,7 @@ def windows_of(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[np.nd
 def train(texts: list[str], seed: int = 3, say=print) -> Tagger:
     """Fit on nine tenths of the texts; the loss and exact matches on the others are reported."""
     rng = random.Random(seed)
-    names = Names(texts)
+    names = Names(texts, max(1, round(3 * len(texts) / DOCUMENTS)))  # in a small sample most surnames stand once
     say(f"{len(names.first)} first names, {len(names.last)} surnames")
     some, none, held = [], [], []
     for n, text in enumerate(texts):
@@ -161,13 +180,16 @@ def train(texts: list[str], seed: int = 3, say=print) -> Tagger:
             continue
         plain = windows_of(text, spans)
         if spans:
-            some += [w for w in windows_of(*vary(text, spans, rng, names)) if w[1].any()]
+            for _ in range(COPIES):
+                some += [w for w in windows_of(*vary(text, spans, rng, names)) if w[1].any()]
             some += [w for w in plain if w[1].any()]
         none += [w for w in plain if not w[1].any()]
+    made = [w for text, spans in composed(rng, _coined, COMPOSED) for w in windows_of(text, spans)]
     rng.shuffle(some)
     rng.shuffle(none)
-    data = some[: WINDOWS * 2 // 3]
+    data = (made + some)[: WINDOWS * 2 // 3]
     data += none[: WINDOWS - len(data)]
+    say(f"{len(made)} windows of sentences written by hand")
     say(f"{len(some)} windows with spans, {len(none)} without, {len(data)} used, {len(held)} held out")
     tagger = Tagger.fresh(HIDDEN)
     adam = Adam(tagger.w)

@@ -198,6 +198,15 @@ class Model:
     threshold: np.ndarray
     held_out_f1: dict[str, float]
 
+    def save(self, path: str) -> None:
+        """One file; a model that was fitted once can judge any number of corpora."""
+        np.savez_compressed(path, weights=self.weights, threshold=self.threshold, held_out_f1=np.array([self.held_out_f1[k] for k in KINDS]))
+
+    @classmethod
+    def load(cls, path: str) -> Model:
+        with np.load(path) as stored:
+            return cls(stored["weights"], stored["threshold"], dict(zip(KINDS, stored["held_out_f1"].tolist())))
+
     def scores(self, texts: list[bytes | None], paths: list[tuple[str, str]]) -> np.ndarray:
         """(files, kinds): the mean weight of a text's n-grams, plus that of the path, plus the bias."""
         return self.text_scores(texts) + self.path_scores(paths)

@@ -33,6 +33,8 @@ BLOCK_VALUES, FILTER_BITS = 200_000, 1 << 27
 #: Characters of a value's head that the automaton holds; the rest is compared in place. Characters of the part that
 #: the join compares; the rest of a longer value is compared after it.
 HEAD, JOINED = 8, 256
+#: Characters of a text that the filter reads at once.
+SLICE = 1_000_000
 #: A longer value is no password that someone chose; it is a token if it looks drawn at random.
 LONGEST = 200
 
@@ -497,11 +499,19 @@ class Filter:
 
     def find(self, text: str) -> Iterator[tuple[int, str]]:
         """(first, slice) of every part of a text between word bounds that may be a value's first JOINED characters."""
-        codes = _codes(text)
-        word = np.fromiter((c.isalnum() for c in text), dtype=bool, count=len(text))
-        starts = np.ones(len(text), dtype=bool)
+        for a in range(0, len(text), SLICE):
+            yield from self._find(text, a, min(len(text), a + SLICE))
+
+    def _find(self, text: str, a: int, b: int) -> Iterator[tuple[int, str]]:
+        """Those that begin in a..b: of a long text one slice at a time is hashed."""
+        lead, till = max(0, a - 1), min(len(text), b + JOINED)
+        codes = _codes(text[lead:till])
+        word = np.fromiter((c.isalnum() for c in text[lead:till]), dtype=bool, count=till - lead)
+        starts = np.ones(len(word), dtype=bool)
         starts[1:] = ~word[:-1]
-        ends = np.append(np.flatnonzero(~word), len(text)) if len(text) else np.zeros(0, dtype=np.int64)
+        starts[: a - lead] = starts[b - lead :] = False
+        ends = np.flatnonzero(~word) + lead
+        ends = np.append(ends, till) if till == len(text) else ends
         for length in range(5, HEAD + 1):
             h = _hashes(codes, length)
             at = np.flatnonzero(starts[: len(h)])
@@ -511,12 +521,12 @@ class Filter:
             hit = np.ones(len(at), dtype=bool)
             for s in (one, two):
                 hit &= (self.words[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63)) & np.uint64(1)).astype(bool)
-            for first in at[hit].tolist():
+            for first in (at[hit] + lead).tolist():
                 if length < HEAD:
                     lasts = [first + length]
                 else:  # a value ends before a character that is no letter or digit
                     near = ends[np.searchsorted(ends, first + HEAD) :]
-                    near = near[near < first + JOINED].tolist()
+                    near = near[: np.searchsorted(near, first + JOINED)].tolist()
                     lasts = sorted({first + HEAD, *near, min(first + JOINED, len(text))})
                 for last in lasts:
                     if first + length <= last and self.has(_hash(text[first:last])):

@@ -16,8 +16,8 @@ VOCABULARY = 100
 
 
 def _table() -> np.ndarray:
-    codes = np.full(0x250, OTHER, dtype=np.uint8)
-    for i in range(0xC0, 0x250):
+    codes = np.full(0x590, OTHER, dtype=np.uint8)  # up to Armenian: the scripts that have capitals
+    for i in range(0xC0, 0x590):
         codes[i] = OTHER_LOWER if chr(i).islower() else OTHER_UPPER if chr(i).isupper() else OTHER
     codes[32:127] = np.arange(95)
     codes[[9, 0xA0]] = 0
@@ -107,12 +107,22 @@ class Tagger:
             tags[:, t - 1] = back[t, rows, tags[:, t]]
         return tags
 
+    def lead(self) -> float:
+        """The lead of O from which the CRF's best sequence is O throughout: k other tags in a row gain no more than
+        the transitions into, within and out of them, against k leads."""
+        move, first = self.w["move"], self.w["first"]
+        stay = move[0, 0]
+        enter = max(float((move[0, 1:] - stay).max()), float((first[1:] - first[0]).max()))
+        leave = max(0.0, float((move[1:, 0] - stay).max()))  # at the end of a window there is no transition out
+        within = float((move[1:, 1:] - stay).max())
+        return max(enter + leave, within, 0.0)
+
     def tag(self, codes: np.ndarray) -> np.ndarray:
-        """Tags of windows; where O leads everywhere by far, no sequence needs to be searched."""
+        """Tags of windows; where O leads by so much that no sequence can win, none is searched."""
         scores = self.emissions(codes)
         tags = np.zeros(codes.shape, dtype=np.int8)
         rest = scores[:, :, 1:].max(axis=2) - scores[:, :, 0]
-        live = np.flatnonzero((rest > -1.5).any(axis=0))
+        live = np.flatnonzero((rest > -self.lead()).any(axis=0))
         if len(live):
             tags[live] = self.decode(np.ascontiguousarray(scores[:, live]))
         return tags

@@ -182,3 +182,65 @@ def test_trainer_learns():
         adam.update(tagger.w, grads)
         losses.append(loss)
     assert losses[-1] < 0.25 * losses[0]
+
+
+# Written by hand, in other words than the trainer's sentences: (text, what is in it).
+HELD_OUT = [
+    ("Yesterday Margaret Holloway signed the lease in person.", {("Margaret Holloway", "person")}),
+    ("The nurse told Dr. Abernathy that the bed was free.", {("Abernathy", "person")}),
+    ("You can write to margaret.h@lakeside.example about the keys.", {("margaret.h@lakeside.example", "email")}),
+    ("Her number is (312) 555-0147, but she rarely picks up.", {("(312) 555-0147", "phone")}),
+    ("Deliveries go to 48 Willow Lane, the green door.", {("48 Willow Lane", "address")}),
+    ("SSN: 123-45-6789 was on the form.", {("123-45-6789", "id_number")}),
+    ("Rückfragen an Frau Lindqvist oder telefonisch unter 030 5550198.", {("Lindqvist", "person"), ("030 5550198", "phone")}),
+    ("Bitte an die Gartenstraße 14, 50667 Köln schicken.", {("Gartenstraße 14, 50667 Köln", "address")}),
+    ("Nous avons reçu Mme Beaumont hier soir.", {("Beaumont", "person")}),
+    ("Pregunte por Álvaro Quintana en la entrada.", {("Álvaro Quintana", "person")}),
+    ("my name is jane doe and i live at 12 baker street", {("jane doe", "person"), ("12 baker street", "address")}),
+    ("please ask mr henderson about it", {("henderson", "person")}),
+    ("the meeting is with dr okonkwo at noon", {("okonkwo", "person")}),
+    ("Сегодня Иван Петров подписал договор.", {("Иван Петров", "person")}),
+    ("Ο Νίκος Παπαδάκης υπέγραψε σήμερα.", {("Νίκος Παπαδάκης", "person")}),
+    ("Minutes by Jean\nDupont, sent on Friday.", {("Jean\nDupont", "person")}),
+    ("See Dr. Weber about the scan.", {("Weber", "person")}),
+    ("As J. Miller said, it was late.", {("J. Miller", "person")}),
+    ("Ship to P.O. Box 771, Fairview.", {("P.O. Box 771, Fairview", "address")}),
+    ("Ring +44 7700 900123 after six.", {("+44 7700 900123", "phone")}),
+]
+NOTHING = [
+    "The Silver Bridge release went out on Monday with Green Valley as a fallback.", "Chapter 12 of the Field Guide lists 340 species.", "Build 20240715 took 1830 seconds on host-12.", "Ticket 4415882 was closed by the bot.", "Use the Main Street dashboard, lane 4.",
+    "New Zealand and South Africa are in the list.", "The invoice total was 1,204,558.20 in March 2024.", "git@host.example:team/repo.git is the remote.", "Die Neue Fassung gilt ab Januar.", "the quick brown fox jumps over the lazy dog",
+]
+
+
+def test_held_out_sentences(tagger):
+    """Sentences that nobody trained on: most of what is in them is found exactly, and little else."""
+    want = [(n, *w) for n, (_, own) in enumerate(HELD_OUT) for w in own]
+    got = [(n, v, k) for n, (text, _) in enumerate(HELD_OUT) for v, k in kinds(tagger, text)]
+    loose = sum(any(n == m and k == j and (v in w or w in v) for m, w, j in got) for n, v, k in want)
+    wrong = [(text, kinds(tagger, text)) for text in NOTHING if kinds(tagger, text)]
+    print(loose, len(want), [w for w in want if w not in got], [g for g in got if g not in want], wrong)
+    assert loose >= 0.85 * len(want) and sum(w in got for w in want) >= 0.75 * len(want)
+    assert len(wrong) <= 2
+
+
+def test_reading_whole_texts_finds_no_more(tagger, spark, data, monkeypatch):
+    """The signs lose nothing: spans with them are those of windows over the whole text."""
+    texts = [r.text for r in spark.read.parquet(f"{data}/../sf0.01/documents.parquet").filter("text is not null").orderBy("doc_id").limit(120).collect()] + [t for t, _ in HELD_OUT] + NOTHING
+    signs = [{(k, texts[n][a:b]) for a, b, k in own} for n, own in enumerate(pii.find_in(tagger, texts))]
+    monkeypatch.setattr(pii, "stretches", lambda text: [(0, len(text))])
+    whole = [{(k, texts[n][a:b]) for a, b, k in own} for n, own in enumerate(pii.find_in(tagger, texts))]
+    found = sum(map(len, whole))
+    lost = [(n, w - s) for n, (s, w) in enumerate(zip(signs, whole)) if w - s]
+    print(found, sum(map(len, signs)), lost)
+    assert sum(len(x) for _, x in lost) <= max(1, found // 50)
+
+
+def test_no_sequence_is_skipped_that_could_win(tagger):
+    """Windows that are not searched, as O leads, have no better sequence."""
+    rng = np.random.default_rng(2)
+    codes = rng.integers(0, 90, (400, 60)).astype(np.uint8)
+    assert (tagger.tag(codes) == tagger.decode(tagger.emissions(codes))).all()
+    wild = Tagger({k: v.copy() for k, v in tagger.w.items()})
+    wild.w["move"] = rng.normal(size=wild.w["move"].shape).astype(np.float32) * 3
+    assert (wild.tag(codes) == wild.decode(wild.emissions(codes))).all()

@@ -96,3 +96,11 @@ def test_heads_and_lines_of_any_length():
         assert p.giveaways(line + b"\nx\n", "a/b.go", "") == {"generated"}, line
     for line in (b"// Walks the generated files below x.", b"// The generator reads this file.", b"// Copies from one to another."):
         assert p.giveaways(line + b"\nx\n", "a/b.go", "") == set(), line
+
+
+def test_a_model_is_stored(tmp_path):
+    rng = np.random.default_rng(3)
+    model = p.Model(rng.normal(size=(p.TEXT_DIMS + p.PATH_DIMS + 1, 4)).astype(np.float32), np.arange(4, dtype=np.float32), {k: 0.5 for k in p.KINDS})
+    model.save(str(tmp_path / "m.npz"))
+    back = p.Model.load(str(tmp_path / "m.npz"))
+    assert (back.weights == model.weights).all() and (back.threshold == model.threshold).all() and back.held_out_f1 == model.held_out_f1

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from symloom.llm import secrets as s
@@ -169,6 +171,10 @@ def test_both_ways_to_look_again_agree(spark, monkeypatch):
     monkeypatch.setattr(s, "BLOCK_VALUES", 0)
     many = sorted(map(tuple, s.rescan(pieces, wanted).collect()))
     assert one == many and len(one) > 200
+    sieve = s.Filter(*(lambda b: (b.word.to_numpy(), b["mask"].to_numpy().view("uint64")))(pd.concat(s._bits(iter([pd.DataFrame({"literal": values})]))).groupby("word", as_index=False)["mask"].agg(lambda x: int(np.bitwise_or.reduce(x.to_numpy())))))
+    whole = [sorted(sieve.find(bytes(t).decode("utf-8", "replace"))) for _, t in texts]
+    monkeypatch.setattr(s, "SLICE", 37)  # a long text is read in slices
+    assert whole == [sorted(sieve.find(bytes(t).decode("utf-8", "replace"))) for _, t in texts] and any(whole)
 
 
 def test_owners_are_counted_over_all_places(spark):
