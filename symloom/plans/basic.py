@@ -64,6 +64,28 @@ def a6_go_declarations(spark: SparkSession, sf: str) -> DataFrame:
     return gosrc.extract(table(spark, sf, "code_sources").filter(sym.is_go_source(F.col("path"))))
 
 
+_GO = f"ends_with({{c}}, '.go') AND NOT ends_with({{c}}, '_test.go') AND NOT list_has_any(string_split({{c}}, '/')[1:-2], [{_SKIPPED}])"
+
+
+@query(
+    "WITH f AS (" + newest_sql("code_functions", ("name", "file_path", "start_line", "end_line", "start_byte", "end_byte"), "updated_at") + f"), src AS (SELECT path, max(octet_length(content)) AS size FROM code_sources WHERE {_GO.format(c='path')} GROUP BY path) "
+    "SELECT f.id AS function_id, end_line, CASE WHEN end_byte <= size THEN start_byte END AS start_byte, CASE WHEN end_byte <= size THEN end_byte END AS end_byte FROM f JOIN src ON src.path = f.file_path WHERE start_line IS NOT NULL"
+)
+def a6_known_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """The functions and methods of the given table in Go files, with the last line and the bytes that the declarations
+    of the files give for them; bytes only where the table's own fit the file."""
+    from symloom.sources import gosrc
+
+    sources = table(spark, sf, "code_sources").filter(sym.is_go_source(F.col("path")))
+    columns = ["name", "file_path", "start_line", "start_byte", "end_byte"]
+    given = one_per_key(table(spark, sf, "code_functions").select("id", *columns, "updated_at"), ["id"], columns, "updated_at").filter("start_line is not null")
+    found = gosrc.extract(sources).filter("label in ('Function', 'Method')").select("file_path", "name", "start_line", "end_line", F.col("start_byte").alias("_a"), F.col("end_byte").alias("_b"))
+    sizes = sources.groupBy(F.col("path").alias("file_path")).agg(F.max(F.octet_length("content")).alias("_size"))
+    joined = given.join(found, ["file_path", "name", "start_line"]).join(sizes, "file_path")
+    fits = F.col("end_byte") <= F.col("_size")
+    return joined.select(F.col("id").alias("function_id"), "end_line", F.when(fits, F.col("_a")).alias("start_byte"), F.when(fits, F.col("_b")).alias("end_byte"))
+
+
 @query("SELECT DISTINCT path, CASE WHEN path LIKE '%.go' THEN 'Go' WHEN path LIKE '%.java' THEN 'Java' WHEN path LIKE '%.py' THEN 'Python' WHEN path LIKE '%.ts' OR path LIKE '%.js' THEN 'TypeScript' ELSE 'unknown' END AS code_language FROM code_sources")
 def a9_file_languages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "code_sources").select("path", sym.language(F.col("path")).alias("code_language")).distinct()

@@ -177,14 +177,16 @@ def h26_lines_and_scope(spark: SparkSession, sf: str) -> DataFrame:
     return one.select("id", sym.lines_of_code(F.col("start_line"), F.col("end_line")).alias("loc"), sym.is_exported(F.col("name")).alias("exported"), sym.scope(F.col("name")).alias("scope"), sym.fallback_id(F.col("file_path"), F.col("start_line"), F.lit(0)).alias("fallback"))
 
 
-_ONE = "one AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL)"
+_LINES = "l AS (SELECT doc_id, string_split(text, chr(10)) AS x, doc_id % 5 + 1 AS a, doc_id % 7 + 2 AS b FROM documents WHERE text IS NOT NULL)"
 
 
-@query(f"WITH {_ONE} SELECT doc_id, CASE WHEN len(string_split(text, chr(10))) >= 2 THEN array_to_string(string_split(text, chr(10))[2:3], chr(10)) END AS lines, CASE WHEN len(string_split(text, chr(10))) >= 2 THEN strlen(string_split(text, chr(10))[1]) + 1 + 3 ELSE strlen(text) + 1 + 3 END AS at FROM one")
+@query(f"WITH {_LINES} SELECT doc_id, CASE WHEN a <= b AND a <= len(x) THEN array_to_string(x[a:b], chr(10)) END AS lines, coalesce(list_sum(list_transform(x[1:a - 1], lambda y: strlen(y) + 1)), 0)::BIGINT + 3 AS at FROM l")
 def h28_lines_and_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines 2 to 3 of every text, and the byte offset of line 2, column 3."""
+    """A range of lines of every text, of another place and length for each (some are past the end or turned round),
+    and the byte offset of its first line's column 3 (H28, H29)."""
     docs = table(spark, sf, "documents").filter("text is not null")
-    return docs.select("doc_id", source.line_slice(F.col("text"), F.lit(2), F.lit(3)).alias("lines"), source.offset_of(F.col("text"), F.lit(2), F.lit(3)).alias("at"))
+    first, last = F.col("doc_id") % 5 + 1, F.col("doc_id") % 7 + 2
+    return docs.select("doc_id", source.line_slice(F.col("text"), first, last).alias("lines"), source.offset_of(F.col("text"), first, F.lit(3)).alias("at"))
 
 
 @query("SELECT DISTINCT path, sha256(path) AS hash FROM code_sources WHERE path IS NOT NULL")
