@@ -39,7 +39,7 @@ SCHEMA = "doc_id bigint, item_id bigint, matched_words int, item_words int, firs
 
 _WORD = re.compile(r"[^\W_]+")
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|[nrtbf\"'\\/])")
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
 _HYPHEN = re.compile(r"(?<=\w)[-\u00ad\u2010]\r?\n[ \t>*#/|;]*(?=\w)")
 #: What stands before the text of a quoted, commented, listed or numbered line.
 _PREFIX = re.compile(r"(?m)^[ \t]*(?:(?:>|//+|#+|\*|-|\+|;|--|\||\d{1,4}[.):|])[ \t]*)+")

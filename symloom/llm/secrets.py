@@ -52,6 +52,8 @@ _FORMS = re.compile(
     r")(?![A-Za-z0-9_])"
 )
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>.*?)(?:-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.S)
+# What stands for a key's body; words long enough not to stand in one by chance.
+_NO_KEY = re.compile(r"\.\.\.|…|<[^<>]*>|\$\{|\{\{|\*{4,}|[xX]{8,}|redacted|placeholder|changeme|your[-_ ]|insert[-_ ]|example[-_ ]", re.I)
 # The patterns below take time in proportion to a line's length, as a file may be one line.
 _URL = re.compile(r"(?<=[A-Za-z0-9+.-])://(?P<user>[^\s:/@\"'`<>]*):(?P<value>[^\s/\"'`<>]*?)@(?=[\w.\[-])")
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*")
@@ -179,8 +181,9 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
         taken += [m.span() for m in _PUBLIC.finditer(text)]
     if "PRIVATE KEY" in text:
         for m in _PEM.finditer(text):
-            if len(re.findall(r"[A-Za-z0-9+/]", m["body"].replace("\\n", ""))) >= 40 and not is_elsewhere(m["body"].strip()[:60]):
-                add(m.start(), m.end(), "pem", m[0][:80])
+            body = re.sub(r"\\n|[^A-Za-z0-9+/]", "", m["body"])
+            if len(body) >= 40 and len(set(body)) >= 10 and not _NO_KEY.search(m["body"]):
+                add(m.start(), m.end(), "pem", m[0])
     for a, b in _lines_of_interest(text):
         _line(text, a, b, add)
     return found
