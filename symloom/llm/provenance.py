@@ -28,6 +28,9 @@ TABLE_SHARE = 0.5
 SAMPLE = 4000
 #: Longest text of the sample, in bytes (the fit only; every text is judged as a whole).
 SAMPLE_BYTES = 262_144
+#: Bytes of all texts of the sample together: the fit takes files in order of their paths' hashes up to that, so that
+#: the driver holds no more (their features take up to ten times as much).
+SAMPLE_TOTAL = 32 << 20
 #: Bytes that are hashed at once; a longer text is summed up over slices.
 SLICE = 2_000_000
 #: One repository in so many is kept out of the fit.
@@ -40,6 +43,8 @@ PATH_SCALE = 0.35
 GRAMS = (3, 5)
 #: Passes over the sample in the first and the second fit, step and decay.
 EPOCHS, STEP, DECAY = (7, 10), 0.6, 2e-5
+#: Orders of the sample whose weights are averaged, so that a file near the border does not hang on one order.
+ORDERS = 4
 
 # Published conventions for what a tool writes above its output, and what people write above a
 # copy. Each stands for a statement about this file, so the first is read at the beginning of a comment line;
@@ -237,13 +242,13 @@ class Model:
 
 
 def _sparse(text: bytes | None, path: str, absolute: str) -> tuple[np.ndarray, np.ndarray]:
-    own = np.array(path_features(path, absolute), dtype=np.int64)
+    own = np.array(path_features(path, absolute), dtype=np.int32)
     value = np.full(len(own), PATH_SCALE, dtype=np.float32)
     if not text:
         return own, value
     grams, _, sizes = gram_rows([text])
     count = np.bincount(grams.ravel(), minlength=TEXT_DIMS)
-    at = np.flatnonzero(count)
+    at = np.flatnonzero(count).astype(np.int32)
     return np.concatenate([at, own]), np.concatenate([(count[at] / grams.size).astype(np.float32), value])
 
 
@@ -283,7 +288,7 @@ def fit(rows: list[tuple[bytes | None, str, str, str]], seed: int = 11) -> Model
     # A file that shows no giveaway need not be free of its kind: where the first fit contradicts a label
     # of "no", the second fit does not learn from it.
     labels = [np.where((y < 0) & ((value @ w[at]) + w[-1] > 0), 0.0, y).astype(np.float32) for (at, value), y in zip(data, labels)]
-    w = _descend(data, labels, train, EPOCHS[1], rng)
+    w = np.mean([_descend(data, labels, train, EPOCHS[1], rng) for _ in range(ORDERS)], axis=0)
     scores = np.array([(value @ w[at]) + w[-1] for at, value in data]) if data else np.zeros((0, len(KINDS)))
     y = np.array(labels) if labels else np.zeros((0, len(KINDS)))
     out = np.array(held, dtype=bool)
@@ -351,7 +356,12 @@ def train(files: DataFrame, sources: DataFrame, sample: int = SAMPLE) -> Model:
     some = files.filter("path is not null").select(clean.alias("path"), F.coalesce("absolute_path", F.lit("")).alias("absolute_path")).groupBy("path").agg(F.max("absolute_path").alias("absolute_path"))
     some = some.orderBy(F.xxhash64("path"), "path").limit(sample)  # at most `sample` short rows
     text = sources.filter(F.octet_length("content") <= SAMPLE_BYTES).select(F.col("path").alias("_path"), "content").join(F.broadcast(some), F.col("_path") == F.col("path")).groupBy("path").agg(F.max("absolute_path").alias("absolute_path"), F.max("content").alias("content"))
-    rows = [(bytes(r["content"]), r["path"], r["absolute_path"], r["path"].split("/")[0]) for r in text.orderBy("path").toLocalIterator() if r["content"] is not None]
+    rows, size = [], 0
+    for r in text.filter("content is not null").orderBy(F.xxhash64("path"), "path").toLocalIterator():
+        size += len(r["content"])
+        if size > SAMPLE_TOTAL and rows:
+            break
+        rows.append((bytes(r["content"]), r["path"], r["absolute_path"], r["path"].split("/")[0]))
     return fit(rows)
 
 
