@@ -42,9 +42,9 @@ PATH_SCALE = 0.35
 #: Lengths of the n-grams.
 GRAMS = (3, 5)
 #: Passes over the sample in the first and the second fit, step and decay.
-EPOCHS, STEP, DECAY = (7, 10), 0.6, 2e-5
+EPOCHS, STEP, DECAY = (5, 8), 0.6, 2e-5
 #: Orders of the sample whose weights are averaged, so that a file near the border does not hang on one order.
-ORDERS = 4
+ORDERS = 3
 
 # Published conventions for what a tool writes above its output, and what people write above a
 # copy. Each stands for a statement about this file, so the first is read at the beginning of a comment line;
