@@ -388,7 +388,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if functions and texts:
             for f, t, said, weight in match_segment(functions, texts):
                 _, fid, _, _, line, *_ = functions[f]
-                if line is not None and path and line // SEGMENT != segment:
+                if segment >= 0 and max(line, 0) // SEGMENT != segment:
                     continue  # a neighbour, settled in its own segment
                 first, last, source = texts[t][4], texts[t][5], texts[t][7]
                 both = source == "comment" and (first - REACH - MARGIN) // SEGMENT != (last + 1 + REACH + MARGIN) // SEGMENT
@@ -416,7 +416,7 @@ def describe(functions: DataFrame, symbols: DataFrame, defines: DataFrame, sourc
     # Without a line, rows are spread by id; they have no neighbours to be matched with. Near a border a function
     # and its texts are seen from both sides, if there are comments.
     lined = F.col("start_line").isNotNull() & F.col("file_path").isNotNull()
-    alone = F.array((-1 - F.pmod(F.xxhash64("id"), F.lit(4096))).cast("long"))
+    alone = F.array(-1 - F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
     at = lambda shift: F.floor(F.greatest(F.col("start_line") + shift, F.lit(0)) / SEGMENT).cast("long")
     seen = F.array_distinct(F.array(at(-MARGIN), at(0), at(MARGIN))) if sources is not None else F.array(at(0))
     base = one.withColumn("_segment", F.explode(F.when(lined, seen).otherwise(alone))).withColumn("_path", F.coalesce("file_path", F.lit("")))

@@ -162,3 +162,14 @@ def test_one_content_of_a_path_counts(spark):
     none = spark.createDataFrame([], S_SCHEMA)
     got = [(r.description, r.code) for r in d.pairs(spark.createDataFrame([function("f", "f", "x.go", 2, None)], F_SCHEMA), none, spark.createDataFrame([], "start_id string, end_id string"), rows).collect()]
     assert got == [(t[3:], one.decode().split("\n", 1)[1]) for t in [one.decode().split("\n")[0]] if t]
+
+
+def test_odd_places(spark):
+    """Lines below 1, empty and missing paths, no line: each function is paired once with its own text."""
+    fs = [function(f"f{n}{p}", f"f{n}", p, line, "Waits for nobody.") for n, line in enumerate((-5, 0, 1, d.SEGMENT - 2, d.SEGMENT, d.SEGMENT + 3, 10**12, None)) for p in ("a.go", "", None)]
+    none = spark.createDataFrame([], S_SCHEMA)
+    links = spark.createDataFrame([], "start_id string, end_id string")
+    sources = spark.createDataFrame([("a.go", bytearray(b"// Other words.\nfunc x() {}\n")), ("", bytearray(b"x"))], "path string, content binary")
+    for texts in (None, sources):
+        got = [(r.function_id, r.source) for r in d.describe(spark.createDataFrame(fs, F_SCHEMA), none, links, texts).collect()]
+        assert sorted(got) == sorted((f[0], "docstring") for f in fs)
