@@ -1,11 +1,8 @@
 """Personal information in free text: find it and put typed placeholders in its place (problem 8).
 
-A character-level BiLSTM-CRF (tagger.py), trained by pii_train.py, reads every stretch of a text that could
-hold such a thing. What cannot is left out by necessary signs only: all that the five kinds can be made
-of has a digit group, two neighbouring words with capitals (across any white space), a capital beside a
-number, an '@' in one of its spellings, or, in small letters, a word that introduces a name or makes an address. Stretches are cut into overlapping windows; where windows overlap,
-each character takes the tag of the window in which it stands farthest from an edge, and spans are read off
-the whole text.
+A character-level BiLSTM-CRF (tagger.py), trained by pii_train.py, reads every character of every text, in
+overlapping windows; where windows overlap, each character takes the tag of the window in which it stands
+farthest from an edge, and spans are read off the whole text.
 """
 
 from __future__ import annotations
@@ -22,45 +19,17 @@ from pyspark.sql import functions as F
 from symloom.llm.tagger import KINDS, PAD, TAGS, Tagger, encode
 
 MODEL = Path(__file__).with_name("pii_model.npz")
-#: Characters read on either side of a sign.
-MARGIN = 30
-#: Characters in a window, and how many of them the next one reads again.
+#: Characters in a window of the fit, and how many of them the next one reads again.
 WINDOW, OVERLAP = 96, 40
+#: Characters in a window when texts are tagged: the longer it is, the less is read twice.
+READ = 384
 #: Windows that are tagged at once.
-BATCH = 512
+BATCH = 128
 
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person": "[PERSON]"}
 
-# Capitals and small letters: Latin, Greek and Cyrillic.
-_UP = "A-ZÀ-ÖØ-ÞΑ-ΩЀ-Я"
-_LOW = "a-zß-öø-ÿά-ώа-џ"
-# Words before a name, in any case, and words that end a road's name.
+# Words before a name, in any case.
 _INTRODUCE = ("name is", "name:", "ich heiße", "name ist", "m'appelle", "me llamo", "signed,", "regards,", "dear ", "attn:", "author:", "contact:", "patient ", "mr", "mrs", "ms", "dr", "prof", "frau", "herr", "mme", "mlle", "monsieur", "madame", "sra", "señor")
-_ROAD = "street|road|lane|avenue|drive|close|court|way|terrace|square|blvd|boulevard|rd|ave"
-# One pattern for each first character, so that the search skips to it.
-_SIGNS = (
-    re.compile(r"@"),  # an e-mail address
-    re.compile(r"[\[(]\s*at\s*[\])]"),
-    re.compile(r"at(?<!\w..)\s+[\w-]+(?:\.|\s+dot\s)"),
-    re.compile(
-        r"\d(?:[ ().\-/]{0,2}\d){6,}"  # seven digits, however they are grouped
-        r"|\d(?:[A-Z -]{0,30}\d){4,}"  # five digits with letters among them: an identity number
-        rf"|\d(?<!\w.)\d{{0,4}}[,;]?\s+[{_UP}][{_LOW}]"  # a number before a capital: a street or a town
-        r"|\d(?<!\w.)\d{0,3},? (?:bis )?(?:rue|avenue|av|calle|via|place|chemin)\b"
-    ),
-    re.compile(
-        rf"[{_UP}](?<![^\W_].)(?:[\w.'’-]{{0,100}},?[\s_]+(?=[{_UP}])"  # two words with capitals; the second may begin the next sign
-        rf"|[{_LOW}.]+,?\s+(?=\d))"  # a number after a capitalised word
-        rf"|[{_UP}][{_LOW}]+(?<=straße|trasse),?\s+(?=\d)"
-    ),
-    re.compile(r"box(?<!\w...) \d"),
-)
-# Signs in small letters, each behind a word that a plain search looks for first.
-_LOWER_SIGNS = tuple((w, re.compile(rf"{re.escape(w)}(?<!\w{'.' * len(w)})(?:[.]?\s+|(?<=\s))(?=[{_LOW}])")) for w in _INTRODUCE) + tuple(
-    (f" {w}", re.compile(rf"\d(?<!\w.)\d{{0,3}}[a-z]?\s+[{_LOW}’'-]+\s(?:[{_LOW}’'-]+\s)?{w}\b")) for w in _ROAD.split("|")
-) + tuple((w, re.compile(rf"{w}\s+\d")) for w in ("straße", "strasse"))
-#: What has such a sign but is no kind by its form.
-_DATE = re.compile(r"\d{4}-\d\d-\d\d")
 _EMAIL = re.compile(r"^[\w.+%’'-]+\s*(?:@|[\[(]\s*(?:at|AT)\s*[\])]|\s(?:at|AT)\s)\s*[\w-]+(?:(?:\.|\s*[\[(]\s*(?:dot|DOT)\s*[\])]\s*|\s+(?:dot|DOT)\s+)[\w-]+)+$")
 _TITLE = re.compile(rf"(?:\b(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Herrn?|Frau|Mme|Mlle|M|Monsieur|Madame|Sr|Sra|Señora?|Don|Doña|Sir|Dame)\.?\s+)+$")
 
@@ -71,41 +40,20 @@ _LEADING = re.compile(_TITLE.pattern.removesuffix("$"))
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """The parts of a text that the tagger reads, merged and in order."""
-    signs: list[tuple[int, int]] = []
-    for pattern in _SIGNS:
-        signs += [m.span() for m in pattern.finditer(text)]
-    for word, pattern in _LOWER_SIGNS:
-        if word in text:
-            signs += [m.span() for m in pattern.finditer(text)]
-    signs.sort()
-    parts: list[tuple[int, int]] = []
-    for first, last in signs:
-        if _DATE.fullmatch(text, first, last):
-            continue
-        if text[first] in "@[(a":  # an address may be longer than the margin
-            first -= text[first - 1 : first] == " "
-            while first > 0 and (text[first - 1].isalnum() or text[first - 1] in "_.+%’'-"):
-                first -= 1
-            while last < len(text) and (text[last].isalnum() or text[last] in "_.-"):
-                last += 1
-        a, b = max(0, first - MARGIN), min(len(text), last + MARGIN)
-        if parts and a <= parts[-1][1]:
-            parts[-1] = (parts[-1][0], max(b, parts[-1][1]))
-        else:
-            parts.append((a, b))
-    return parts
+    """The parts of a text that the tagger reads: all of it."""
+    return [(0, len(text))] if text else []
 
 
-def cut(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Windows over the parts: WINDOW characters each, OVERLAP of them shared by neighbours."""
+def cut(parts: list[tuple[int, int]], size: int | None = None) -> list[tuple[int, int]]:
+    """Windows over the parts: `size` (or WINDOW) characters each, OVERLAP of them shared by neighbours."""
+    size = size or WINDOW
     windows = []
     for a, b in parts:
         while True:
-            windows.append((a, min(a + WINDOW, b)))
-            if a + WINDOW >= b:
+            windows.append((a, min(a + size, b)))
+            if a + size >= b:
                 break
-            a += WINDOW - OVERLAP
+            a += size - OVERLAP
     return windows
 
 
@@ -117,7 +65,7 @@ def tag_texts(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, str
         parts = stretches(text)
         if parts:
             codes = encode(text.replace("\xa0", " "))  # the tagger's white space
-            todo += [(n, a, b, codes[a:b]) for a, b in cut(parts)]
+            todo += [(n, a, b, codes[a:b]) for a, b in cut(parts, READ)]
     order = sorted(range(len(todo)), key=lambda i: todo[i][2] - todo[i][1])  # windows of a batch are about as long
     tags: list[np.ndarray | None] = [None] * len(todo)
     for k in range(0, len(order), BATCH):
@@ -150,7 +98,7 @@ def _reconcile(text: str, tagged: list[tuple[int, int, np.ndarray]], windows: li
         if y <= x:
             continue
         at = np.arange(x, y)
-        depth = np.minimum(at - a if a else at + WINDOW, b - 1 - at if b < len(text) else WINDOW)
+        depth = np.minimum(at - a if a else at + READ, b - 1 - at if b < len(text) else READ)
         own = known.get((a, b))
         wins = depth > best[x - low : y - low]
         best[x - low : y - low][wins] = depth[wins]
@@ -247,7 +195,10 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def _texts(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null and text <> ''")
+    """Documents with a text; those of fewer partitions than there are cores are dealt out, as reading takes far longer than moving them."""
+    own = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null and text <> ''")
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    return own.repartition(cores) if own.rdd.getNumPartitions() < cores else own
 
 
 def find(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str | Path = MODEL) -> DataFrame:

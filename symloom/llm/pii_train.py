@@ -1,6 +1,6 @@
 """Labelled spans for the PII tagger, and its training.
 
-    python -m symloom.llm.pii_train OUT.npz DOCUMENTS.parquet [DOCUMENTS.parquet ...]
+    python -m symloom.llm.pii_train OUT.npz [--start OLD.npz] DOCUMENTS.parquet [DOCUMENTS.parquet ...]
 
 The labels are made in two steps. Names are induced from a sample of documents: whoever is greeted, signs,
 is thanked or stands in a record in a place where only people stand gives first names and surnames, which
@@ -8,6 +8,7 @@ are then labelled wherever they stand as a full name or with a title. The other
 their published formats and the words before them. Then the values are varied (other syllables, other
 digits), so that the tagger learns forms and surroundings rather than the sample's names. Sentences written by hand
 (pii_frames.py) are added, with names in other cases and scripts, so that it knows other surroundings than the sample's.
+The windows are those of whole texts; each pass takes other ones without spans, so that all of them are seen.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import re
 import sys
 import time
 from collections import Counter
+from multiprocessing import Pool
 
 import numpy as np
 
@@ -24,8 +26,10 @@ from symloom.llm.pii import WINDOW, cut, stretches
 from symloom.llm.pii_frames import composed
 from symloom.llm.tagger import KINDS, PAD, Adam, Tagger, encode
 
-#: Documents that labels are taken from, windows of the fit (bounded), hidden units, passes, windows in a step.
-DOCUMENTS, WINDOWS, HIDDEN, PASSES, STEP_SIZE = 100_000, 72_000, 44, 11, 160
+#: Documents that labels are taken from, windows of a pass (bounded; a third of them with spans), hidden units, passes, windows in a step.
+DOCUMENTS, WINDOWS, HIDDEN, PASSES, STEP_SIZE = 100_000, 144_000, 44, 11, 160
+#: Passes from weights that are given, and the size of their steps; processes that share a step.
+MORE_PASSES, MORE_SCALE, WORKERS = 3, 0.3, 8
 #: Texts made of the sentences written by hand, and copies with other values of each text that has spans.
 COMPOSED, COPIES = 9000, 5
 
@@ -167,7 +171,12 @@ def windows_of(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[np.nd
     return [(codes[a:b], tags[a:b]) for a, b in cut(stretches(text))]
 
 
-def train(texts: list[str], seed: int = 3, say=print) -> Tagger:
+def _share(task: tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
+    weights, codes, tags = task
+    return Tagger(weights).gradient(codes, tags, None)
+
+
+def train(texts: list[str], seed: int = 3, say=print, start: Tagger | None = None) -> Tagger:
     """Fit on nine tenths of the texts; the loss and exact matches on the others are reported."""
     rng = random.Random(seed)
     names = Names(texts, max(1, round(3 * len(texts) / DOCUMENTS)))  # in a small sample most surnames stand once
@@ -187,28 +196,33 @@ def train(texts: list[str], seed: int = 3, say=print) -> Tagger:
     made = [w for text, spans in composed(rng, _coined, COMPOSED) for w in windows_of(text, spans)]
     rng.shuffle(some)
     rng.shuffle(none)
-    data = (made + some)[: WINDOWS * 2 // 3]
-    data += none[: WINDOWS - len(data)]
+    own = (made + some)[: WINDOWS // 3]
+    fill = WINDOWS - len(own)
     say(f"{len(made)} windows of sentences written by hand")
-    say(f"{len(some)} windows with spans, {len(none)} without, {len(data)} used, {len(held)} held out")
-    tagger = Tagger.fresh(HIDDEN)
+    say(f"{len(some)} windows with spans, {len(none)} without, {len(own)} of them and others up to {WINDOWS} in a pass, {len(held)} held out")
+    tagger, passes, most = (Tagger.fresh(HIDDEN), PASSES, 1.0) if start is None else (start, MORE_PASSES, MORE_SCALE)
     adam = Adam(tagger.w)
-    steps = PASSES * (len(data) // STEP_SIZE + 1)
+    steps = passes * ((len(own) + min(fill, len(none))) // STEP_SIZE + 1)
     done, began = 0, time.time()
-    for epoch in range(PASSES):
-        rng.shuffle(data)
-        total = 0.0
-        for k in range(0, len(data), STEP_SIZE):
-            part = sorted(data[k : k + STEP_SIZE], key=lambda w: len(w[0]))
-            codes = np.full((len(part), WINDOW), PAD, dtype=np.uint8)
-            tags = np.zeros((len(part), WINDOW), dtype=np.int8)
-            for r, (c, t) in enumerate(part):
-                codes[r, : len(c)], tags[r, : len(t)] = c, t
-            loss, grads = tagger.gradient(codes, tags, None)
-            adam.update(tagger.w, grads, scale=max(0.03, 1 - done / steps))
-            total += loss
-            done += 1
-        say(f"pass {epoch + 1}: loss {total / (len(data) // STEP_SIZE + 1):.3f}, {time.time() - began:.0f} s, held out: {score(tagger, held[:8000])}")
+    with Pool(WORKERS) as pool:
+        for epoch in range(passes):
+            at = epoch * fill % max(1, len(none))
+            data = own + (none[at:] + none[:at])[:fill]
+            rng.shuffle(data)
+            total = 0.0
+            for k in range(0, len(data), STEP_SIZE):
+                part = sorted(data[k : k + STEP_SIZE], key=lambda w: len(w[0]))
+                codes = np.full((len(part), WINDOW), PAD, dtype=np.uint8)
+                tags = np.zeros((len(part), WINDOW), dtype=np.int8)
+                for r, (c, t) in enumerate(part):
+                    codes[r, : len(c)], tags[r, : len(t)] = c, t
+                shares = [(len(codes[i::WORKERS]) / len(part), (tagger.w, codes[i::WORKERS], tags[i::WORKERS])) for i in range(min(WORKERS, len(part)))]
+                found = pool.map(_share, [task for _, task in shares], chunksize=1)
+                grads = {key: sum(x * g[key] for (x, _), (_, g) in zip(shares, found)) for key in tagger.w}
+                adam.update(tagger.w, grads, scale=most * max(0.03, 1 - done / steps))
+                total += sum(x * loss for (x, _), (loss, _) in zip(shares, found))
+                done += 1
+            say(f"pass {epoch + 1}: loss {total / (len(data) // STEP_SIZE + 1):.3f}, {time.time() - began:.0f} s, held out: {score(tagger, held[:8000])}")
     return tagger
 
 
@@ -231,10 +245,13 @@ def score(tagger: Tagger, windows: list[tuple[np.ndarray, np.ndarray]]) -> str:
 def main(out: str, paths: list[str]) -> None:
     import pyarrow.parquet as pq
 
+    start = None
+    if paths[0] == "--start":
+        start, paths = Tagger.load(paths[1]), paths[2:]
     texts: list[str] = []
     for path in paths:
         texts += [t for t in pq.read_table(path, columns=["text"]).column("text").to_pylist() if t]
-    train(texts[:DOCUMENTS]).save(out)
+    train(texts[:DOCUMENTS], start=start).save(out)
 
 
 if __name__ == "__main__":

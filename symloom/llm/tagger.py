@@ -63,8 +63,45 @@ class Tagger:
     def save(self, path) -> None:
         np.savez_compressed(path, **{k: v.astype(np.float16) for k, v in self.w.items()})
 
-    def emissions(self, codes: np.ndarray, keep: bool = False):
-        """(length, batch, tags) scores of windows (batch, length); with `keep` all that a gradient needs."""
+    def emissions(self, codes: np.ndarray) -> np.ndarray:
+        """(length, batch, tags) scores of windows (batch, length).
+
+        Every step works in place. With all of z at -2 times its scale, exp serves the four gates:
+        sigmoid(2z) = 1 / (1 + exp(-2z)) and tanh(z) = 2 sigmoid(2z) - 1.
+        """
+        batch, length = codes.shape
+        n = self.hidden
+        both = np.stack([codes.T, codes.T[::-1]]).astype(np.intp)  # direction, time, batch
+        u, x, out = self.w["u"] * -2, self.w["x"] * -2, self.w["out"]
+        h = np.zeros((2, batch, n), dtype=np.float32)
+        c = np.zeros_like(h)
+        z = np.empty((2, batch, 4 * n), dtype=np.float32)
+        read = np.empty((batch, 4 * n), dtype=np.float32)
+        i, f, o, g = (z[..., k * n : (k + 1) * n] for k in range(4))
+        states = np.empty((2, length, batch, n), dtype=np.float32)
+        with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0, as it should be
+            for t in range(length):
+                np.matmul(h, u, out=z)
+                for k in range(2):
+                    z[k] += x[k].take(both[k, t], axis=0, out=read, mode="clip")
+                np.exp(z, out=z)
+                z += 1.0
+                np.reciprocal(z, out=z)
+                g *= 2.0
+                g -= 1.0
+                g *= i
+                c *= f
+                c += g
+                np.tanh(c, out=h)
+                h *= o
+                states[0, t], states[1, length - 1 - t] = h[0], h[1]
+        scores = states[0] @ out[:n]
+        scores += states[1] @ out[n:]
+        scores += self.w["bias"]
+        return scores
+
+    def forward(self, codes: np.ndarray):
+        """Scores as `emissions` gives them, and all that a gradient needs."""
         batch, length = codes.shape
         h4 = self.hidden
         both = np.stack([codes.T, codes.T[::-1]])  # direction, time, batch
@@ -85,11 +122,9 @@ class Tagger:
             previous = h
             h = s[..., 2 * h4 :] * tc
             states[t] = h
-            if keep:
-                kept.append((s, g.copy(), before, tc, previous))
+            kept.append((s, g.copy(), before, tc, previous))
         joined = np.concatenate([states[:, 0], states[::-1, 1]], axis=2)
-        scores = joined @ self.w["out"] + self.w["bias"]
-        return (scores, joined, both, kept) if keep else scores
+        return joined @ self.w["out"] + self.w["bias"], joined, both, kept
 
     def decode(self, scores: np.ndarray) -> np.ndarray:
         """The best sequence of tags (batch, length) under the CRF."""
@@ -108,8 +143,8 @@ class Tagger:
         return tags
 
     def lead(self) -> float:
-        """The lead of O from which the CRF's best sequence is O throughout: k other tags in a row gain no more than
-        the transitions into, within and out of them, against k leads."""
+        """The lead of O from which other tags do not pay: k of them in a row gain no more than the transitions into,
+        within and out of them, against k leads."""
         move, first = self.w["move"], self.w["first"]
         stay = move[0, 0]
         enter = max(float((move[0, 1:] - stay).max()), float((first[1:] - first[0]).max()))
@@ -118,13 +153,46 @@ class Tagger:
         return max(enter + leave, within, 0.0)
 
     def tag(self, codes: np.ndarray) -> np.ndarray:
-        """Tags of windows; where O leads by so much that no sequence can win, none is searched."""
+        """Tags of windows. Other tags in a row pay only where their gains outweigh O's leads, so a place that lies in no
+        stretch of that kind is O; only what lies between such places is searched."""
         scores = self.emissions(codes)
+        length, batch, n = scores.shape
         tags = np.zeros(codes.shape, dtype=np.int8)
-        rest = scores[:, :, 1:].max(axis=2) - scores[:, :, 0]
-        live = np.flatnonzero((rest > -self.lead()).any(axis=0))
-        if len(live):
-            tags[live] = self.decode(np.ascontiguousarray(scores[:, live]))
+        best = scores[:, :, 1].copy()
+        for k in range(2, n):
+            np.maximum(best, scores[:, :, k], out=best)
+        best -= scores[:, :, 0]
+        best += self.lead() + 1e-3  # for rounding
+        before, behind = best.copy(), best.copy()  # the best sums of stretches that end and that begin at a place
+        for t in range(1, length):
+            before[t] += np.maximum(before[t - 1], 0)
+            behind[-1 - t] += np.maximum(behind[-t], 0)
+        searched = np.zeros((batch, length + 2), dtype=np.int8)
+        searched[:, 1:-1] = (before + behind - best > 0).T
+        edge = np.diff(searched, axis=1)
+        rows, starts = np.nonzero(edge > 0)
+        stops = np.nonzero(edge < 0)[1]
+        own = stops - starts
+        # Runs are filled up by places of O alone, of which one at least stands on each side that is not the window's edge.
+        front, back = starts > 0, stops < length
+        sizes = own + front + back
+        group = front + 2 * back
+        order = np.lexsort((sizes, group))
+        at = 0
+        while at < len(order):
+            same = order[at : at + 256]
+            fits = (group[same] == group[same[0]]) & (sizes[same] <= 2 * sizes[same[0]]) & (back[same] | front[same] | (sizes[same] == sizes[same[0]]))
+            same = same[: len(same) if fits.all() else int(fits.argmin())]
+            at += len(same)
+            size = int(sizes[same].max())
+            first = np.where(back[same], front[same], size - own[same])
+            part = np.full((size, len(same), n), -1e6, dtype=np.float32)
+            part[:, :, 0] = 0
+            for r, (m, a) in enumerate(zip(same, first)):
+                part[a : a + own[m], r] = scores[starts[m] : stops[m], rows[m]]
+            found = self.decode(part)
+            for r, (m, a) in enumerate(zip(same, first)):
+                tags[rows[m], starts[m] : stops[m]] = found[r, a : a + own[m]]
         return tags
 
     # -------------------------------------------------------------------------------------- training
@@ -134,7 +202,7 @@ class Tagger:
 
         mask (batch, length) is 0 on padding, which stands at the end of windows and counts as O.
         """
-        scores, joined, both, kept = self.emissions(codes, keep=True)
+        scores, joined, both, kept = self.forward(codes)
         length, batch, n = scores.shape
         move, first = self.w["move"].astype(np.float64), self.w["first"].astype(np.float64)
         s = scores.astype(np.float64)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from symloom.llm import pii, pii_train
-from symloom.llm.tagger import TAGS, Tagger
+from symloom.llm.tagger import KINDS, TAGS, Tagger
 
 
 @pytest.fixture(scope="module")
@@ -244,3 +244,49 @@ def test_no_sequence_is_skipped_that_could_win(tagger):
     wild = Tagger({k: v.copy() for k, v in tagger.w.items()})
     wild.w["move"] = rng.normal(size=wild.w["move"].shape).astype(np.float32) * 3
     assert (wild.tag(codes) == wild.decode(wild.emissions(codes))).all()
+
+
+class Everything:
+    """Tags all that it is given as one name."""
+
+    def tag(self, codes):
+        return np.full(codes.shape, 2 * KINDS.index("person") + 2, dtype=np.int8)
+
+
+@pytest.mark.parametrize("text", ["x", "the queue drains at night, nothing else.\n", "the queue drains at night. " * 60, "王小明住在北京。" * 90, "12 " * 500])
+def test_every_character_is_read(text):
+    """Also of a text without a digit, a capital or an '@'."""
+    assert pii.tag_texts(Everything(), [text, "", text]) == [[(0, len(text), "person")], [], [(0, len(text), "person")]]
+
+
+def test_whole_texts_hold_no_more_than_their_labels(tagger, spark):
+    """Code and prose without a sign of personal information give none."""
+    texts = ["state.audit(buf)\n\tlog.Debug(\"hydrate partial route\", row, 250)\n\tkey := fmt.Sprint", "the release desk loses its stream to a volatile window, unless the gauge shrinks", "limits.replicas.forEach((x) => dst.align(x, 512));\n  const row = into", "it shrinks to 462 for input 161 while the tokenizer emits"]
+    assert pii.find_in(tagger, texts) == [[]] * 4
+    assert pii.find(spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")).count() == 0
+
+
+def test_searched_places_are_enough(tagger):
+    """What is searched between places that must be O gives the best sequence of the whole window, at its edges too."""
+
+    class Given(Tagger):
+        def emissions(self, codes):
+            return self.scores
+
+    rng = np.random.default_rng(7)
+    seen = 0
+    for n in range(60):
+        own = Given({k: v.copy() for k, v in tagger.w.items()})
+        if n % 2:
+            own.w["move"] = rng.normal(size=own.w["move"].shape).astype(np.float32)
+        own.scores = rng.normal(size=(int(rng.integers(1, 60)), 40, len(TAGS))).astype(np.float32) * 2
+        own.scores[:, :, 0] += rng.choice([1, 3, 5, 6])
+        want = own.decode(own.scores)
+        seen += int((want > 0).any(axis=1).sum())
+        assert (own.tag(np.zeros(want.shape, dtype=np.uint8)) == want).all()
+    assert seen > 500
+
+
+def test_both_ways_to_the_scores_agree(tagger):
+    codes = np.random.default_rng(3).integers(0, 99, (30, 70)).astype(np.uint8)
+    assert np.abs(tagger.emissions(codes) - tagger.forward(codes)[0]).max() < 1e-3
