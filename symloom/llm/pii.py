@@ -24,7 +24,9 @@ WINDOW, OVERLAP = 96, 40
 #: Characters in a window when texts are tagged: the longer it is, the less is read twice.
 READ = 384
 #: Windows that are tagged at once.
-BATCH = 128
+BATCH = 512
+#: Texts that are cut into windows at once: the more there are, the more alike are the windows of a batch.
+PART = 4000
 
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person": "[PERSON]"}
 
@@ -211,8 +213,8 @@ def find(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", model
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tagger = Tagger(held)
         for batch in batches:
-            for k in range(0, len(batch), 1000):
-                part = batch.iloc[k : k + 1000]
+            for k in range(0, len(batch), PART):
+                part = batch.iloc[k : k + PART]
                 rows = [(key, a, b, kind) for key, spans in zip(part.doc_id, find_in(tagger, part.text.tolist())) for a, b, kind in spans]
                 yield pd.DataFrame(rows, columns=["doc_id", "first", "last", "pii_type"])
 
@@ -226,8 +228,8 @@ def redact(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tagger = Tagger(held)
         for batch in batches:
-            for k in range(0, len(batch), 1000):
-                part = batch.iloc[k : k + 1000]
+            for k in range(0, len(batch), PART):
+                part = batch.iloc[k : k + PART]
                 texts = part.text.tolist()
                 spans = find_in(tagger, texts)
                 yield pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "n_spans": [len(s) for s in spans], "redacted": [redacted(t, s) for t, s in zip(texts, spans)]})

@@ -9,12 +9,12 @@ from __future__ import annotations
 import random
 
 # Common first names and surnames of several languages.
-FIRST = "James Mary John Linda Robert Susan Michael Karen David Nancy Thomas Laura Daniel Emma Anna Peter Julia Hans Greta Klaus Heike Jürgen Ute Pierre Chloé Jean Marie Luc Élodie José María Carlos Lucía Javier Sofía Giulia Marco Ana João Ingrid Lars Piotr Agnieszka Ivan Olga Mehmet Fatma Ahmed Layla Ravi Priya Wei Mei Kenji Yuki Kwame Amina".split()
-LAST = "Smith Jones Brown Taylor Wilson Davies Evans Walker Green Baker Clark Hall Young King Wright Müller Schmidt Schneider Fischer Weber Becker Hoffmann Schäfer Dupont Durand Moreau Lefèvre Roux García Fernández López Sánchez Rossi Ferrari Silva Santos Hansen Nielsen Kowalski Nowak Petrov Ivanova Yılmaz Kaya Hassan Haddad Patel Sharma Chen Wang Tanaka Suzuki Mensah Okafor O'Brien McCarthy Van Dyke".split()
+FIRST = "James Mary John Linda Robert Susan Michael Karen David Nancy Thomas Laura Daniel Emma Anna Peter Julia Hans Greta Klaus Heike Jürgen Ute Pierre Chloé Jean Marie Luc Élodie José María Carlos Lucía Javier Sofía Giulia Marco Ana João Ingrid Lars Piotr Agnieszka Ivan Olga Mehmet Fatma Ahmed Layla Ravi Priya Wei Mei Kenji Yuki Kwame Amina Catherine Edmund Rebecca Gregory Florence Leonard Beatrice Howard Rosalind Stephen Winifred Duncan Matilda Sebastian Annika Gerhard Lieselotte Étienne Margaux Thibault Rodrigo Mercedes Ignacio Consuelo Federico Ludovica Henrik Astrid Dmitri Svetlana Stavros Eleni".split()
+LAST = "Smith Jones Brown Taylor Wilson Davies Evans Walker Green Baker Clark Hall Young King Wright Müller Schmidt Schneider Fischer Weber Becker Hoffmann Schäfer Dupont Durand Moreau Lefèvre Roux García Fernández López Sánchez Rossi Ferrari Silva Santos Hansen Nielsen Kowalski Nowak Petrov Ivanova Yılmaz Kaya Hassan Haddad Patel Sharma Chen Wang Tanaka Suzuki Mensah Okafor O'Brien McCarthy Van Dyke Hawthorne Blackwood Pemberton Fairchild Livingston Armstrong Richardson Bellamy Kensington Ashworth Thornton Gallagher Donovan Winchester Langford Marlowe Prescott Sinclair Hollis Wetherby Lindgren Bergström Holmqvist Steinmetz Brandauer Rosenthal Vogt Lehmann Winterfeld Delacourt Montclair Fontaine Rousselet Beauchamp Charpentier Villanueva Casares Montoya Salcedo Escalante Quiroga Bianchi Castellani Papadopoulos Georgiou Sokolov Kuznetsova Adeyemi".split()
 TITLES = {"en": ("Mr", "Mrs", "Ms", "Dr", "Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Miss"), "de": ("Frau", "Herr", "Herrn", "Dr."), "fr": ("Mme", "M.", "Mlle", "Monsieur", "Madame"), "es": ("Sr.", "Sra.", "Señor", "Señora", "Don")}
 ROADS = ("Street", "Road", "Lane", "Avenue", "Drive", "Close", "Court", "Way", "Terrace", "St", "St.", "Rd", "Ave", "Blvd", "Square")
 
-# {p} a person, {t} a title with a surname, {e} an e-mail address, {f} a phone number, {n} an identity number, {a} an address.
+# {p} a person, {t} a title with a surname, {e} an e-mail address, {f} a phone number, {n} an identity number, {a} an address, {w} a name that is nobody's.
 FRAMES = """My name is {p} and I live at {a}.
 name: {p}, phone: {f}, email: {e}
 Please call {p} on {f} before noon.
@@ -94,7 +94,57 @@ we gave it to {t} last night
 the keys are with {t} today
 i am {p}, from {a}
 my address is {a}
-it was sent to {a} on friday""".split("\n")
+it was sent to {a} on friday
+Our landlord {p} raised the rent again.
+In the evening {t} read the report aloud.
+Everyone at the table knew {p} from school.
+{p} plays the cello in {w}.
+Was it {p} who left the window open?
+The prize went to {p}, not to {p}.
+Since March {p} has led the {w} team.
+The lawyer of {p} declined to comment.
+Her cousin, {t}, owns the mill.
+A word from {t} would help.
+Nobody but {p} has the code.
+{p} joined {w} as an engineer.
+The nurses know {t} well.
+What {p} meant was not clear.
+According to {p}, {w} will close.
+They live opposite, at {a}, above the shop.
+The clinic has moved to {a}; parking is behind it.
+There was a fire at {a} this morning.
+Bills are to be sent to {a}.
+You will find us at {a}, second floor.
+Leave a message on {f}, or mail {e}.
+The new number of the shop is {f}.
+Text {f} if you are late.
+The line {f} was busy all day.
+The address {e} bounced.
+Replies to {e} only.
+Whoever finds it should tell {e}.
+His SSN, {n}, stood on the slip.
+The clerk copied passport number {n} twice.
+Her identity card, no. {n}, has expired.
+Am Abend rief {t} noch einmal zurück.
+Das Paket ist für {p} bestimmt.
+Der Vertrag mit {p} läuft aus.
+Kennen Sie {p}? Wohnhaft in {a}.
+Die Rechnung geht an {a}.
+Unsere Nummer ist {f}.
+Ensuite {t} a pris la parole.
+C'est {p} qui garde la clé.
+Elle habite {a} depuis un an.
+Le dossier de {t} est complet.
+La carta era para {p}.
+Ayer vimos a {t} en el mercado.
+Su vecino {p} trabaja en {w}.
+Vive en {a} con su hermana.
+Рядом с ним сидела {p}.
+Το γράμμα το έστειλε ο {p}.
+i saw {p} at the market
+tell {t} i said hello
+thanks, {p}
+call me on {f} or write to {e}""".split("\n")
 
 # Nothing of that kind, though it looks like it.
 PLAIN = """The North Gate opens at 10 and Main Hall closes at 18.
@@ -126,7 +176,34 @@ The total of 310 was paid in March.
 Nach Version 12 folgt Version 13, das Handbuch Teil 2 fehlt.
 Le Petit Journal publie 12 pages, El Gran Canal tiene 3 puertas.
 В разделе Общие Положения есть 12 пунктов.
-Call Center and Help Desk share one queue; Red Team and Blue Team do not.""".split("\n")
+Call Center and Help Desk share one queue; Red Team and Blue Team do not.
+{w} opens in June, {w} follows a week later.
+Today the {w} build failed, so {w} took over.
+We compared {w} with {w} on 12 hosts.
+The {w} page links to {w}.
+In {w} the harvest was late.
+{w}, {w} and {w} are on the list.
+Tickets for {w} cost 12 dollars.
+They flew to {w} and on to {w}.
+After {w} came {w}, in 2021.
+See {w}, Chapter 4, for the rest.
+From {w} to {w} it is 310 miles.
+{w} has 24 rooms and 3 halls.
+Die {w} tritt im Mai in Kraft.
+Der {w} und das {w} haben geöffnet.
+Le {w} et la {w} sont fermés.
+El {w} y la {w} abren a las 9.
+Set {w} to 12 before {w} starts.
+Dear {w} team, the job is done.
+Thanks to {w} the run took 40 seconds.""".split("\n")
+
+# Words of names that are nobody's: products, places, titles of things.
+PROPER = {
+    ("Blue", "Red", "Green", "Silver", "Golden", "Amber", "Iron", "Quiet", "Little", "Grand", "Great", "Old", "High", "Deep", "Open", "Royal", "Central", "National", "General", "Early", "Second", "Free", "White", "Black", "Clear", "Wild"): ("Harbor", "Canyon", "River", "Valley", "Falcon", "Summit", "Ledger", "Bridge", "Garden", "Museum", "Library", "Station", "Market", "Forest", "Lake", "Engine", "Stack", "Report", "Council", "Festival", "Court", "House", "Theatre", "Project", "Guide", "Line"),
+    ("North", "South", "East", "West", "Northern", "Southern", "New", "San", "Santa", "Saint", "Port", "Upper", "Lower", "Mount", "Cape", "Fort"): ("Carolina", "Dakota", "Macedonia", "Ireland", "Sudan", "Timor", "Virginia", "Jersey", "Mexico", "Hampshire", "Diego", "Barbara", "Moresby", "Town", "Saxony", "Marino", "Lucia", "Wales", "Territory", "Caledonia"),
+    ("Neue", "Neuer", "Alte", "Alter", "Große", "Großer", "Kleine", "Erste", "Zweite", "Hohe", "Deutsche", "Allgemeine"): ("Ordnung", "Vertrag", "Brücke", "Bericht", "Markt", "Bahn", "Bank", "Regel", "Ausgabe", "Halle", "Zeitung", "Rat"),
+    ("Petit", "Grand", "Nouveau", "Grande", "Nueva", "Gran", "Primera", "Buenos", "Costa", "Sierra"): ("Palais", "Théâtre", "Marché", "Plaza", "Norma", "Guía", "Aires", "Brava", "Nevada", "Edición"),
+}
 
 _AT = ("@", "@", "@", "@", " (at) ", " [at] ", "(at)")
 _CYRILLIC = dict(zip("abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопкрстувшкиз"))
@@ -138,11 +215,19 @@ def _digits(rng: random.Random, form: str) -> str:
 
 
 def _name(rng: random.Random, words: tuple[str, ...], coined) -> str:
-    return rng.choice(words) if rng.random() < 0.5 else coined(rng, rng.choice((2, 2, 3)))
+    """A common name, one coined of syllables, or the head of one common name with the tail of another."""
+    r = rng.random()
+    if r < 0.35:
+        return rng.choice(words)
+    if r < 0.6:
+        return coined(rng, rng.choice((2, 2, 3)))
+    head, tail = rng.choice(words), rng.choice(words)
+    made = head[: max(2, len(head) // 2)] + tail[len(tail) // 2 :].lower()
+    return made if made.isalpha() and made[1:].islower() else head
 
 
 def _value(kind: str, rng: random.Random, coined) -> tuple[str, str, str]:
-    """(text before, value, kind's letter)."""
+    """(text before, value, kind; none for names that are nobody's)."""
     first, last = _name(rng, FIRST, coined), _name(rng, LAST, coined)
     if kind == "p":
         r = rng.random()
@@ -154,6 +239,9 @@ def _value(kind: str, rng: random.Random, coined) -> tuple[str, str, str]:
     if kind == "t":
         title = rng.choice(rng.choice(list(TITLES.values())))
         return title + rng.choice((" ", " ", " ", "\n")), (rng.choice("ABCDEFGHJKLMNRST") + ". " if rng.random() < 0.1 else "") + last, "person"
+    if kind == "w":
+        before, behind = rng.choice(list(PROPER.items()))
+        return "", rng.choice(before) + " " + rng.choice(behind), ""
     if kind == "e" and rng.random() < 0.12:
         return "", f"{first.split()[0]}{rng.choice(('.', '_', ''))}{last.split()[0]} at {coined(rng, 2)} dot {rng.choice(('com', 'org', 'de', 'net', 'test'))}".lower().replace("'", ""), "email"
     if kind == "e":
@@ -186,10 +274,11 @@ def composed(rng: random.Random, coined, n: int) -> list[tuple[str, list[tuple[i
         for _ in range(rng.randint(1, 3)):
             frame = rng.choice(FRAMES if rng.random() < 0.8 else PLAIN)
             at = 0
-            while (k := frame.find("{", at)) >= 0 and frame[k + 1 : k + 3] in ("p}", "t}", "e}", "f}", "n}", "a}"):
+            while (k := frame.find("{", at)) >= 0 and frame[k + 1 : k + 3] in ("p}", "t}", "e}", "f}", "n}", "a}", "w}"):
                 text += frame[at:k]
                 before, value, kind = _value(frame[k + 1], rng, coined)
-                spans.append((len(text) + len(before), len(text) + len(before) + len(value), kind))
+                if kind:
+                    spans.append((len(text) + len(before), len(text) + len(before) + len(value), kind))
                 text += before + value
                 at = k + 3
             text += frame[at:] + rng.choice((" ", "\n", "\n\n"))

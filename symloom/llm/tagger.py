@@ -1,4 +1,4 @@
-"""A character-level bidirectional LSTM with CRF transitions, in numpy: tagging and training."""
+"""A character-level bidirectional recurrent network with CRF transitions, in numpy: tagging and training."""
 
 from __future__ import annotations
 
@@ -39,20 +39,22 @@ def encode(text: str) -> np.ndarray:
 class Tagger:
     """Weights, and the best tag sequence of each window.
 
-    The gates i, f, o are kept at half scale, so that one tanh serves all four: sigmoid(x) = (tanh(x / 2) + 1) / 2.
+    Each direction is a recurrent cell of two gates: h += f * (g - h), f = clip(z_f, 0, 1), g = clip(z_g, -1, 1), where z
+    is a line of `x` for the character plus h @ u. Clipping takes a twentieth of the time of exp and tanh.
+    x is (gate, direction, code, unit), u is (gate, direction, unit, unit).
     """
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = {k: np.asarray(v, dtype=np.float32) for k, v in weights.items()}
-        self.hidden = self.w["u"].shape[1]
+        self.hidden = self.w["u"].shape[-1]
 
     @classmethod
     def fresh(cls, hidden: int, seed: int = 5) -> Tagger:
         rng = np.random.default_rng(seed)
         n = len(TAGS)
-        x = rng.normal(0, 0.15, (2, VOCABULARY, 4 * hidden))
-        x[:, :, hidden : 2 * hidden] += 0.5  # forget less at first
-        u = rng.normal(0, hidden**-0.5 / 2, (2, hidden, 4 * hidden))
+        x = rng.normal(0, 0.25, (2, 2, VOCABULARY, hidden))
+        x[0] += 0.4  # neither stuck nor forgetful at first
+        u = rng.normal(0, hidden**-0.5 / 2, (2, 2, hidden, hidden))
         return cls({"x": x, "u": u, "out": rng.normal(0, hidden**-0.5, (2 * hidden, n)), "bias": np.zeros(n), "move": np.zeros((n, n)), "first": np.zeros(n)})
 
     @classmethod
@@ -63,68 +65,51 @@ class Tagger:
     def save(self, path) -> None:
         np.savez_compressed(path, **{k: v.astype(np.float16) for k, v in self.w.items()})
 
-    def emissions(self, codes: np.ndarray) -> np.ndarray:
-        """(length, batch, tags) scores of windows (batch, length).
+    def _lines(self, codes: np.ndarray) -> np.ndarray:
+        """(length, gate, direction, batch): the lines of all of `x` that the cells read."""
+        both = np.stack([codes.T, codes.T[::-1]], axis=1).astype(np.intp)  # time, direction, batch
+        return both[:, None] + np.arange(0, 4 * VOCABULARY, VOCABULARY).reshape(2, 2, 1)
 
-        Every step works in place. With all of z at -2 times its scale, exp serves the four gates:
-        sigmoid(2z) = 1 / (1 + exp(-2z)) and tanh(z) = 2 sigmoid(2z) - 1.
-        """
+    def emissions(self, codes: np.ndarray) -> np.ndarray:
+        """(length, batch, tags) scores of windows (batch, length). Every step works in place, on what the caches hold."""
         batch, length = codes.shape
         n = self.hidden
-        both = np.stack([codes.T, codes.T[::-1]]).astype(np.intp)  # direction, time, batch
-        u, x, out = self.w["u"] * -2, self.w["x"] * -2, self.w["out"]
+        u, x, out = self.w["u"], self.w["x"].reshape(-1, n), np.ascontiguousarray(self.w["out"].reshape(2, n, -1).swapaxes(1, 2))
+        lines = self._lines(codes)
+        z = np.empty((2, 2, batch, n), dtype=np.float32)
+        read = np.empty_like(z)
+        f, g = z
+        least, most = np.array([0, -1], dtype=np.float32).reshape(2, 1, 1, 1), np.float32(1)
         h = np.zeros((2, batch, n), dtype=np.float32)
-        c = np.zeros_like(h)
-        z = np.empty((2, batch, 4 * n), dtype=np.float32)
-        read = np.empty((batch, 4 * n), dtype=np.float32)
-        i, f, o, g = (z[..., k * n : (k + 1) * n] for k in range(4))
-        states = np.empty((2, length, batch, n), dtype=np.float32)
-        with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0, as it should be
-            for t in range(length):
-                np.matmul(h, u, out=z)
-                for k in range(2):
-                    z[k] += x[k].take(both[k, t], axis=0, out=read, mode="clip")
-                np.exp(z, out=z)
-                z += 1.0
-                np.reciprocal(z, out=z)
-                g *= 2.0
-                g -= 1.0
-                g *= i
-                c *= f
-                c += g
-                np.tanh(c, out=h)
-                h *= o
-                states[0, t], states[1, length - 1 - t] = h[0], h[1]
-        scores = states[0] @ out[:n]
-        scores += states[1] @ out[n:]
-        scores += self.w["bias"]
-        return scores
+        turned = h.swapaxes(1, 2)
+        scores = np.empty((length, 2, len(TAGS), batch), dtype=np.float32)
+        for t in range(length):
+            np.matmul(h, u, out=z)
+            z += x.take(lines[t], axis=0, out=read, mode="clip")
+            np.clip(z, least, most, out=z)
+            g -= h
+            g *= f
+            h += g
+            np.matmul(out, turned, out=scores[t])
+        scores[:, 0] += scores[::-1, 1]
+        scores[:, 0] += self.w["bias"][:, None]
+        return scores[:, 0].swapaxes(1, 2)
 
     def forward(self, codes: np.ndarray):
-        """Scores as `emissions` gives them, and all that a gradient needs."""
+        """Scores as `emissions` gives them, and all that a gradient needs: states (with the first, zero), gates, lines of x."""
         batch, length = codes.shape
-        h4 = self.hidden
-        both = np.stack([codes.T, codes.T[::-1]])  # direction, time, batch
-        h = np.zeros((2, batch, h4), dtype=np.float32)
-        c = np.zeros_like(h)
-        states = np.empty((length, 2, batch, h4), dtype=np.float32)
-        kept = []
+        n = self.hidden
+        lines = self._lines(codes)
+        gates = self.w["x"].reshape(-1, n)[lines]
+        states = np.zeros((length + 1, 2, batch, n), dtype=np.float32)
         for t in range(length):
-            z = np.matmul(h, self.w["u"])
-            z[0] += self.w["x"][0].take(both[0, t], axis=0)
-            z[1] += self.w["x"][1].take(both[1, t], axis=0)
-            a = np.tanh(z, out=z)
-            s = a[..., : 3 * h4] * 0.5 + 0.5
-            g = a[..., 3 * h4 :]
-            before = c
-            c = s[..., h4 : 2 * h4] * c + s[..., :h4] * g
-            tc = np.tanh(c)
-            previous = h
-            h = s[..., 2 * h4 :] * tc
-            states[t] = h
-            kept.append((s, g.copy(), before, tc, previous))
-        joined = np.concatenate([states[:, 0], states[::-1, 1]], axis=2)
-        return joined @ self.w["out"] + self.w["bias"], joined, both, kept
+            z = gates[t]
+            z += np.matmul(states[t], self.w["u"])
+            np.clip(z[0], 0, 1, out=z[0])
+            np.clip(z[1], -1, 1, out=z[1])
+            states[t + 1] = states[t] + z[0] * (z[1] - states[t])
+        joined = np.concatenate([states[1:, 0], states[:0:-1, 1]], axis=2)
+        return joined @ self.w["out"] + self.w["bias"], joined, states, gates, lines
 
     def decode(self, scores: np.ndarray) -> np.ndarray:
         """The best sequence of tags (batch, length) under the CRF."""
@@ -142,15 +127,15 @@ class Tagger:
             tags[:, t - 1] = back[t, rows, tags[:, t]]
         return tags
 
-    def lead(self) -> float:
-        """The lead of O from which other tags do not pay: k of them in a row gain no more than the transitions into,
-        within and out of them, against k leads."""
+    def gains(self) -> tuple[float, float]:
+        """The most that transitions give other tags in a row over O: at each place, and once more for the whole row
+        (into and out of it, instead of one within)."""
         move, first = self.w["move"], self.w["first"]
         stay = move[0, 0]
         enter = max(float((move[0, 1:] - stay).max()), float((first[1:] - first[0]).max()))
         leave = max(0.0, float((move[1:, 0] - stay).max()))  # at the end of a window there is no transition out
         within = float((move[1:, 1:] - stay).max())
-        return max(enter + leave, within, 0.0)
+        return within, enter + leave - within
 
     def tag(self, codes: np.ndarray) -> np.ndarray:
         """Tags of windows. Other tags in a row pay only where their gains outweigh O's leads, so a place that lies in no
@@ -162,13 +147,14 @@ class Tagger:
         for k in range(2, n):
             np.maximum(best, scores[:, :, k], out=best)
         best -= scores[:, :, 0]
-        best += self.lead() + 1e-3  # for rounding
+        within, once = self.gains()
+        best += within + 1e-3  # for rounding
         before, behind = best.copy(), best.copy()  # the best sums of stretches that end and that begin at a place
         for t in range(1, length):
             before[t] += np.maximum(before[t - 1], 0)
             behind[-1 - t] += np.maximum(behind[-t], 0)
         searched = np.zeros((batch, length + 2), dtype=np.int8)
-        searched[:, 1:-1] = (before + behind - best > 0).T
+        searched[:, 1:-1] = (before + behind - best + (once + 1e-3) > 0).T
         edge = np.diff(searched, axis=1)
         rows, starts = np.nonzero(edge > 0)
         stops = np.nonzero(edge < 0)[1]
@@ -202,55 +188,59 @@ class Tagger:
 
         mask (batch, length) is 0 on padding, which stands at the end of windows and counts as O.
         """
-        scores, joined, both, kept = self.forward(codes)
+        scores, joined, states, gates, lines = self.forward(codes)
         length, batch, n = scores.shape
         move, first = self.w["move"].astype(np.float64), self.w["first"].astype(np.float64)
         s = scores.astype(np.float64)
         rows = np.arange(batch)
-
-        def lse(x, axis):
-            m = x.max(axis=axis, keepdims=True)
-            return np.log(np.exp(x - m).sum(axis=axis)) + m.squeeze(axis)
-
-        alpha = np.empty_like(s)
-        alpha[0] = s[0] + first
-        for t in range(1, length):
-            alpha[t] = lse(alpha[t - 1][:, :, None] + move, 1) + s[t]
-        beta = np.zeros_like(s)
-        for t in range(length - 2, -1, -1):
-            beta[t] = lse(move + (s[t + 1] + beta[t + 1])[:, None, :], 2)
-        z = lse(alpha[-1], 1)
+        # Forward and backward sums, scaled at each place to stay in range.
+        highest = s.max(axis=2)
+        e, moves = np.exp(s - highest[:, :, None]), np.exp(move)
+        alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty((length, batch))
+        for t in range(length):
+            a = np.matmul(alpha[t - 1], moves) * e[t] if t else np.exp(first) * e[0]
+            scale[t] = a.sum(axis=1)
+            alpha[t] = a / scale[t][:, None]
+        ahead = e / scale[:, :, None]  # becomes what follows a place, with it
+        for t in range(length - 1, -1, -1):
+            ahead[t] *= beta[t]
+            if t:
+                beta[t - 1] = np.matmul(ahead[t], moves.T)
+        z = (np.log(scale) + highest).sum(axis=0)
         y = tags.T
-        gold = first[y[0]] + s[0, rows, y[0]]
-        ds = np.exp(alpha + beta - z[None, :, None])
-        dmove = np.zeros_like(move)
-        for t in range(1, length):
-            gold = gold + move[y[t - 1], y[t]] + s[t, rows, y[t]]
-            pair = np.exp(alpha[t - 1][:, :, None] + move + (s[t] + beta[t])[:, None, :] - z[:, None, None])
-            dmove += pair.sum(axis=0)
-            np.add.at(dmove, (y[t - 1], y[t]), -1.0)
+        gold = first[y[0]] + np.take_along_axis(s, y[:, :, None].astype(np.intp), 2).sum(axis=(0, 2)) + move[y[:-1], y[1:]].sum(axis=0)
+        ds = alpha * beta
+        dmove = moves * (alpha[:-1].reshape(-1, n).T @ ahead[1:].reshape(-1, n))
+        np.add.at(dmove, (y[:-1], y[1:]), -1.0)
         ds[np.arange(length)[:, None], rows[None, :], y] -= 1.0
         loss = float((z - gold).mean())
         dfirst = ds[0].sum(axis=0)
         d = (ds / batch).astype(np.float32)
         grads = {"move": (dmove / batch).astype(np.float32), "first": (dfirst / batch).astype(np.float32), "bias": d.sum(axis=(0, 1)), "out": np.tensordot(joined, d, axes=([0, 1], [0, 1]))}
         dj = d @ self.w["out"].T
-        h4 = self.hidden
-        du, dx = np.zeros_like(self.w["u"]), np.zeros_like(self.w["x"])
-        dh, dc = np.zeros((2, batch, h4), dtype=np.float32), np.zeros((2, batch, h4), dtype=np.float32)
+        m = self.hidden
+        back = self.w["u"].swapaxes(-1, -2)
+        dz = np.empty_like(gates)
+        dh = np.zeros((2, batch, m), dtype=np.float32)
         for t in range(length - 1, -1, -1):
-            gates, g, before, tc, previous = kept[t]
-            i, f, o = gates[..., :h4], gates[..., h4 : 2 * h4], gates[..., 2 * h4 :]
-            dh[0] += dj[t, :, :h4]
-            dh[1] += dj[length - 1 - t, :, h4:]
-            dc = dc + dh * o * (1 - tc * tc)
-            # The gates' halves: d sigmoid(2z)/dz = 2 s (1 - s).
-            dz = np.concatenate([dc * g * 2 * i * (1 - i), dc * before * 2 * f * (1 - f), dh * tc * 2 * o * (1 - o), dc * i * (1 - g * g)], axis=2)
-            du += np.matmul(previous.transpose(0, 2, 1), dz)
-            for k in range(2):
-                np.add.at(dx[k], both[k, t], dz[k])
-            dh = np.matmul(dz, self.w["u"].transpose(0, 2, 1))
-            dc = dc * f
+            dh[0] += dj[t, :, :m]
+            dh[1] += dj[length - 1 - t, :, m:]
+            f, g = gates[t]
+            by = dz[t]
+            np.multiply(dh, g - states[t], out=by[0])
+            by[0] *= (f > 0) & (f < 1)
+            np.multiply(dh, f, out=by[1])
+            dh = dh - by[1]
+            by[1] *= np.abs(g) < 1
+            dh += np.matmul(by, back).sum(axis=0)
+        du, dx = np.empty_like(self.w["u"]), np.empty_like(self.w["x"])
+        for k in range(2):
+            before = np.ascontiguousarray(states[:-1, k]).reshape(-1, m)
+            read = np.zeros((len(before), VOCABULARY), dtype=np.float32)
+            read[np.arange(len(before)), lines[:, 0, k].ravel() - k * VOCABULARY] = 1
+            for gate in range(2):
+                own = np.ascontiguousarray(dz[:, gate, k]).reshape(-1, m)
+                du[gate, k], dx[gate, k] = before.T @ own, read.T @ own
         return loss, grads | {"u": du, "x": dx}
 
 
